@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 from .queries_lines import OP1_SQL, op1_line_dedup
+from .queries_secrets import op10_secret_scan
+from .queries_shards import op8_sharding
 
-QUERIES = {"op1_line_dedup": op1_line_dedup}
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op8_sharding": op8_sharding,
+    "op10_secret_scan": op10_secret_scan,
+}
 SQL = {"op1_line_dedup": OP1_SQL}
