@@ -205,7 +205,7 @@ class RankMerger:
         return token[alive], np.bincount(owner[alive], minlength=len(pieces))
 
 
-# Letters and numbers that Unicode 16 adds to the tables of this Python (15.1).
+# Letters and numbers that Unicode 16 adds to version 15.1, the one of this Python's tables.
 NEW_LETTERS = (
     (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
     (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
@@ -218,37 +218,65 @@ NEW_NUMBERS = (
 )
 #: The code points with the property White_Space.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: The one pattern for which the standard library's engine has a faster form.
+#: The one pattern that gets these classes.
 KNOWN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def _class(letter: str, more: tuple[tuple[int, int], ...]) -> str:
-    """Ranges of a general category, for a character class."""
+def _spans(points: Iterable[int]) -> str:
+    """Code points in ascending order, as ranges of a character class."""
     spans: list[list[int]] = []
-    for i in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(i))[0] == letter:
-            if spans and spans[-1][1] == i - 1:
-                spans[-1][1] = i
-            else:
-                spans.append([i, i])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in [*spans, *more])
+    for i in points:
+        if spans and spans[-1][1] == i - 1:
+            spans[-1][1] = i
+        else:
+            spans.append([i, i])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
 
 
 def splitter(pattern: str) -> Callable[[str], list[str]]:
     """``findall`` of a pre-token pattern.
 
-    ``KNOWN`` is rewritten for the standard library's engine: categories as
-    ranges, and the most frequent alternative first (the alternatives but the
-    contractions and white space begin with characters of different classes).
-    Any other pattern goes to the regex library.
+    ``KNOWN`` is split as the tokenizer's own engine does, which has the
+    letters and numbers of Unicode 16. The regex library may have another
+    version: texts with a character on which the two differ go to a pattern
+    that spells the categories out, all others to the library's classes. The
+    most frequent alternative comes first (letters, numbers and contractions
+    begin with different characters).
     """
     if pattern != KNOWN:
         return regex.compile(pattern).findall
-    letters, numbers = _class("L", NEW_LETTERS), _class("N", NEW_NUMBERS)
+    known = {"L": bytearray(sys.maxunicode + 1), "N": bytearray(sys.maxunicode + 1)}
+    for letter, more in (("L", NEW_LETTERS), ("N", NEW_NUMBERS)):
+        flags = known[letter]
+        for i in range(sys.maxunicode + 1):
+            flags[i] = unicodedata.category(chr(i))[0] == letter
+        for first, last in more:
+            flags[first : last + 1] = b"\x01" * (last + 1 - first)
+    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    theirs = {k: {ord(c) for c in regex.findall(rf"\p{{{k}}}", everything)} for k in "LN"}
+    odd = sorted({i for k in "LN" for i in range(sys.maxunicode + 1) if known[k][i] != (i in theirs[k]) and not 0xD800 <= i < 0xE000})
     space = WHITE_SPACE
-    return re.compile(
-        f" ?[{letters}]+| ?[{numbers}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+"
-    ).findall
+
+    def compiled(letters: str, numbers: str) -> Callable[[str], list[str]]:
+        return regex.compile(
+            f" ?[{letters}]++| ?[{numbers}]++|'(?:s|t|re|ve|m|ll|d)| ?[^{space}{letters}{numbers}]++|[{space}]+(?![^{space}])|[{space}]+"
+        ).findall
+
+    quick = compiled(r"\p{L}", r"\p{N}")
+    if not odd:
+        return quick
+    spelled = [_spans(i for i in range(sys.maxunicode + 1) if known[k][i]) for k in "LN"]
+    exact: list[Callable[[str], list[str]]] = []
+    has_odd = re.compile(f"[{_spans(odd)}]").search
+
+    def split(text: str) -> list[str]:
+        if text.isascii() or not has_odd(text):
+            return quick(text)
+        if not exact:
+            exact.append(compiled(*spelled))
+        return exact[0](text)
+
+    return split
 
 
 class _Pieces(dict):

@@ -5,9 +5,11 @@ from __future__ import annotations
 from .queries_lines import OP1_SQL, op1_line_dedup
 from .queries_secrets import op10_secret_scan
 from .queries_shards import op8_sharding
+from .queries_tokens import op7_byte_bpe
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_sharding": op8_sharding,
     "op10_secret_scan": op10_secret_scan,
 }
