@@ -25,12 +25,24 @@ def fold_ascii(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def words_of(text: Column) -> Column:
-    """Words: maximal runs without white space, A-Z lower-cased."""
-    return F.filter(F.split(fold_ascii(text), SPACE_RUN, -1), lambda w: w != "")
-
-
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+def word_array(text: Column) -> Column:
+    """Words of a text (A-Z lower-cased), an empty array if it has none."""
+    trimmed = F.btrim(fold_ascii(text), F.lit(ASCII_SPACE))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN, -1))
+
+
+def shingle_hashes(words: Column, width: int) -> Column:
+    """64-bit hashes of the runs of ``width`` words, in order; empty for fewer words."""
+    return F.when(
+        F.size(words) >= width,
+        F.transform(
+            F.sequence(F.lit(0), F.size(words) - width),
+            lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]),
+        ),
+    ).otherwise(F.array().cast("array<bigint>"))
