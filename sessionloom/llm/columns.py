@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once for a row, also where ``body`` uses it within a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold_ascii(c: Column) -> Column:
     """Lower-case A-Z and nothing else.
 
@@ -33,16 +40,20 @@ def require(df: DataFrame, *names: str) -> None:
 
 def word_array(text: Column) -> Column:
     """Words of a text (A-Z lower-cased), an empty array if it has none."""
-    trimmed = F.btrim(fold_ascii(text), F.lit(ASCII_SPACE))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN, -1))
+    return let(
+        F.btrim(fold_ascii(text), F.lit(ASCII_SPACE)),
+        lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE_RUN, -1)),
+    )
 
 
 def shingle_hashes(words: Column, width: int) -> Column:
     """64-bit hashes of the runs of ``width`` words, in order; empty for fewer words."""
-    return F.when(
-        F.size(words) >= width,
-        F.transform(
-            F.sequence(F.lit(0), F.size(words) - width),
-            lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+    return let(
+        words,
+        lambda w: F.when(
+            F.size(w) >= width,
+            F.transform(
+                F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)])
+            ),
+        ).otherwise(F.array().cast("array<bigint>")),
+    )

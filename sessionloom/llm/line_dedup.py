@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .columns import ASCII_SPACE, fold_ascii, require, text_or_empty
+from .columns import ASCII_SPACE, fold_ascii, let, require, text_or_empty
 from .scratch import discard, materialize
 
 KEY = ["h1", "h2"]
@@ -125,11 +125,15 @@ class LineRuns:
 def without_positions(lines: Column, drops: Column) -> Column:
     """``lines`` without the 0-based, ascending positions ``drops``, in linear time."""
     edges = F.concat(F.array(F.lit(-1)), drops, F.array(F.size(lines)))
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.size(edges) - 2),
-        lambda i: F.slice(lines, F.get(edges, i) + 2, F.get(edges, i + 1) - F.get(edges, i) - 1),
+    return let(
+        F.struct(lines.alias("lines"), edges.alias("edges")),
+        lambda x: F.flatten(
+            F.transform(
+                F.sequence(F.lit(0), F.size(x["edges"]) - 2),
+                lambda i: F.slice(x["lines"], F.get(x["edges"], i) + 2, F.get(x["edges"], i + 1) - F.get(x["edges"], i) - 1),
+            )
+        ),
     )
-    return F.flatten(pieces)
 
 
 def dedup_lines(
