@@ -10,11 +10,13 @@ from .queries_secrets import op10_secret_scan
 from .queries_shards import op8_sharding
 from .queries_tokens import op7_byte_bpe
 from .queries_toxicity import op6_toxicity
+from .queries_vectors import op5_nearest
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_chat_format": op4_chat_format,
+    "op5_nearest": op5_nearest,
     "op6_toxicity": op6_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_sharding": op8_sharding,
