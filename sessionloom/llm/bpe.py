@@ -294,7 +294,7 @@ class _Pieces(dict):
 class Codec:
     """Encoder and decoder of one rank file, with a bounded memo of pre-tokens."""
 
-    def __init__(self, rank_file: bytes, pattern: str, memo: int = 400_000):
+    def __init__(self, rank_file: bytes, pattern: str, memo: int = 250_000):
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
         self.merger = RankMerger(ranks)
         self.split = splitter(pattern)
@@ -366,7 +366,7 @@ def _chunks(texts: Iterable[str], most: int) -> Iterator[list[str]]:
 
 
 def encode_tokens(
-    docs: DataFrame, rank_path: str, pattern: str, keep: list[str] | None = None, text: str = "text", chunk_chars: int = 12 << 20
+    docs: DataFrame, rank_path: str, pattern: str, keep: list[str] | None = None, text: str = "text", chunk_chars: int = 6 << 20
 ) -> DataFrame:
     """Token ids of every whole text, as column ``ids`` array<int>.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .queries_chat import OP4_SQL, op4_chat_format
 from .queries_leaks import OP3_SQL, op3_decontaminate
 from .queries_lines import OP1_SQL, op1_line_dedup
+from .queries_near import op2_ngram_join
 from .queries_pages import op9_html_extract
 from .queries_secrets import op10_secret_scan
 from .queries_shards import op8_sharding
@@ -14,6 +15,7 @@ from .queries_vectors import op5_nearest
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_ngram_join": op2_ngram_join,
     "op3_decontaminate": op3_decontaminate,
     "op4_chat_format": op4_chat_format,
     "op5_nearest": op5_nearest,
