@@ -66,11 +66,12 @@ def clamp_box(x: Column, y: Column, w: Column, h: Column, width: int, height: in
 
 
 def bhattacharyya(p: Column, q: Column) -> Column:
-    """Distance of two histograms, by the public definition."""
+    """Distance of two histograms, by the public definition; null if one is."""
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double"))
     shared = F.aggregate(F.zip_with(p, q, lambda x, y: F.sqrt(x.cast("double") * y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     scale = F.sqrt(total(p) * total(q))
-    return F.sqrt(F.greatest(F.lit(0.0), 1 - F.when(scale > 0, shared / scale).otherwise(F.lit(0.0))))
+    distance = F.sqrt(F.greatest(F.lit(0.0), 1 - F.when(scale > 0, shared / scale).otherwise(F.lit(0.0))))
+    return F.when(p.isNotNull() & q.isNotNull(), distance)
 
 
 def nearest_rank(values: str, p: float) -> Column:
