@@ -8,12 +8,19 @@ its estimated candidate cost makes cheapest, and a pair is verified only if it
 shares as many prefix shingles as the smaller of its two l.
 
 Groups of copies never become pairs within themselves. Equal sets are one
-class. Classes that meet in a MinHash key are compared with one pivot of the
-key, and what links to it forms stars. The prefix join then looks only for
-pairs of different components: of a shingle's documents, those outside its most
-frequent component are paired with the others. All pairs of linked components
-are still found, since a shared shingle's pair lies across components or is
-linked already.
+class. Classes that share MinHash keys with a pivot are compared with it, and
+what links to it forms stars. The join then looks only for pairs of different
+components: of a shingle's documents, those outside its most frequent component
+are paired with the others.
+
+Two classes of the same pivot are compared by what differs from it. The
+symmetric difference of the two sets is that of their differences, so a link
+needs a known share of the differences in common; their prefixes, rarest
+shingles first, take the place of the sets' own, and the distances to the pivot
+rule out most pairs at once. So a large group whose members drift apart costs
+what its edits have in common, not its square. All links between components are
+still found: a pair is linked already, or has the same pivot, or meets in a
+prefix of the sets.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import require
@@ -38,8 +45,10 @@ _RNG = np.random.default_rng(20240229)
 #: Random 64-bit values of the bytes, and odd multipliers.
 BYTES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = (int(_RNG.integers(1, 2**62)) * 8 + 5) % (1 << 64)
-MULTIPLIERS = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-KEYS = 4
+MULTIPLIERS = _RNG.integers(1, 2**63, 24, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+KEYS = 8
+#: MinHash keys that a class shares with a pivot to be compared with it.
+SHARED_KEYS = 3
 CHUNK = 2 << 20
 
 
@@ -239,46 +248,89 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "uid long, set array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, at: Threshold) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = full_sets(docs.join(ids, "doc_id", "left_semi"), width)
+def compared(docs: DataFrame, pairs: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
+    """Pairs (a, b) with their sets x, y and the number of shingles they share.
+
+    The documents that are needed are picked by a broadcast of their ids if
+    these are at most ``broadcast_rows`` (counted), else by a shuffle join.
+    """
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
+    picked = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+    sets = materialize(full_sets(docs.join(picked, "doc_id", "left_semi"), width), "pair-sets")
     left = pairs.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y")).cast("long")
-    union = F.size("x") + F.size("y") - shared
-    return both.where(at.den * shared >= at.num * union).select("a", "b")
+    return both.withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long"))
+
+
+def reached(at: Threshold) -> Column:
+    return at.den * F.col("shared") >= at.num * (F.size("x") + F.size("y") - F.col("shared"))
+
+
+def difference_prefixes(spokes: DataFrame, sketch: np.ndarray, at: Threshold, frequent: int) -> DataFrame:
+    """uid, pivot, n, dist and the prefix of what differs from the pivot.
+
+    ``spokes``: uid, pivot, n, delta (the symmetric difference with the pivot).
+    With |x| shingles, partners have at most |x| / t, so a link allows c(x)
+    differences; of dist differences a partner must have dist - c(x) in common.
+    """
+    mask = len(sketch) - 1
+    usual = int(sketch.mean())
+    shared = spokes.sparkSession.sparkContext.broadcast(np.maximum(sketch - usual, 0).astype(np.int32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        over = shared.value
+        for batch in batches:
+            n, dist, prefixes = np.asarray(batch.column(2)), [], []
+            for size, pivot, delta in zip(n, np.asarray(batch.column(1)), batch.column(3), strict=True):
+                own = np.sort(np.asarray(delta.values))
+                own = own[np.argsort(over[own & mask] > frequent, kind="stable")]
+                most = (int(size) + int(size) * at.den // at.num) * (at.den - at.num) // (at.den + at.num) + 1
+                dist.append(len(own))
+                taken = own[: len(own) - max(1, len(own) - most) + 1]
+                prefixes.append(mix(taken.view(np.uint64) + mix(np.array([pivot]).view(np.uint64), 12), 14).view(np.int64))
+            lens = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
+            flat = np.concatenate(prefixes) if prefixes else np.empty(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(np.array(dist, dtype=np.int64)), pa.ListArray.from_arrays(pa.array(lens), pa.array(flat))],
+                names=["uid", "pivot", "n", "dist", "prefix"],
+            )
+
+    return spokes.select("uid", "pivot", "n", "delta").mapInArrow(run, "uid long, pivot long, n long, dist long, prefix array<long>")
 
 
 def cross_pairs(rows: DataFrame, at: Threshold) -> DataFrame:
     """Pairs of different components that meet in a prefix shingle, one row for each such shingle.
 
-    Rows (token, uid, comp, n, matches) come sorted by token; a token's rows are
-    paired in blocks.
+    Rows (token, uid, comp, n, matches, pivot, dist) come sorted by token; a
+    token's rows are paired in blocks. Rows with matches of 0 are those of
+    differences: they pair within their pivot, the others across pivots.
     """
 
-    def pairs_of(uid: np.ndarray, comp: np.ndarray, n: np.ndarray, matches: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs_of(uid, comp, n, matches, pivot, dist) -> Iterator[pa.RecordBatch]:
         values, counts = np.unique(comp, return_counts=True)
         if len(values) < 2:
             return
-        outside = np.flatnonzero(comp != values[np.argmax(counts)])
-        inside_first = np.concatenate([np.flatnonzero(comp == values[np.argmax(counts)]), outside])
-        uid, comp, n, matches = uid[inside_first], comp[inside_first], n[inside_first], matches[inside_first]
-        m, total = len(outside), len(uid)
+        main = values[np.argmax(counts)]
+        order = np.concatenate([np.flatnonzero(comp == main), np.flatnonzero(comp != main)])
+        uid, comp, n, matches, pivot, dist = (c[order] for c in (uid, comp, n, matches, pivot, dist))
+        m, total = int(np.sum(comp != main)), len(uid)
+        within = matches[0] == 0
         step = max(1, 500_000 // total)
         for lo in range(total - m, total, step):
             x = np.arange(lo, min(total, lo + step))
             y = np.arange(x[-1])
             ok = (y[None, :] < x[:, None]) & (comp[y][None, :] != comp[x][:, None])
-            small, large = np.minimum(n[y][None, :], n[x][:, None]), np.maximum(n[y][None, :], n[x][:, None])
-            ok &= at.den * small >= at.num * large
+            nx, ny = n[x][:, None], n[y][None, :]
+            ok &= at.den * np.minimum(nx, ny) >= at.num * np.maximum(nx, ny)
+            same = pivot[y][None, :] == pivot[x][:, None]
+            ok &= same if within else ~same
+            if within:  # the distances to the pivot differ by no more than a link allows
+                ok &= (at.den + at.num) * np.abs(dist[x][:, None] - dist[y][None, :]) <= (at.den - at.num) * (nx + ny)
             i, j = np.nonzero(ok)
             if len(i):
                 p, q = uid[x[i]], uid[y[j]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(np.minimum(matches[x[i]], matches[y[j]]))],
-                    names=["a", "b", "need"],
-                )
+                need = np.maximum(np.minimum(matches[x[i]], matches[y[j]]), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(need)], names=["a", "b", "need"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -303,7 +355,7 @@ def cross_pairs(rows: DataFrame, at: Threshold) -> DataFrame:
 
 def link_documents(
     docs: DataFrame, width: int = 5, threshold: Threshold = Threshold(8, 10), most_matches: int = 4, sketch_bits: int = 20,
-    frequent: int = 200,
+    frequent: int = 200, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """Near-duplicate components of documents under word-shingle Jaccard.
 
@@ -317,8 +369,8 @@ def link_documents(
     Rows without doc_id take no part and are not returned. Rows that repeat a
     doc_id are one document, which has the links of each of them and the size
     of the largest. An empty table gives an empty one; further columns are
-    ignored. ``most_matches``, ``sketch_bits`` and ``frequent`` change the cost
-    only, never the result.
+    ignored. ``most_matches``, ``sketch_bits``, ``frequent`` and
+    ``broadcast_rows`` change the cost only, never the result.
     """
     require(docs, "doc_id", "text")
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -333,22 +385,47 @@ def link_documents(
     several = members.groupBy("doc_id").agg(F.min("uid").alias("a"), F.max("uid").alias("b")).where(F.col("a") != F.col("b"))
     ties = members.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("uid").alias("b"))
     reps = filled.join(classes.select("s1", "s2", "n", F.col("uid").alias("doc_id")), ["s1", "s2", "n", "doc_id"], "left_semi")
-    # Stars: classes that share a MinHash key, each against the key's pivot.
+    # Stars: classes that share keys with the pivot of each of these keys.
     keyed = reps.select(F.col("doc_id").alias("uid"), F.posexplode("keys").alias("at", "key"))
     pivots = keyed.groupBy("at", "key").agg(F.min("uid").alias("pivot"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     met = keyed.join(pivots.select("at", "key", "pivot"), ["at", "key"]).where(F.col("uid") != F.col("pivot"))
-    spokes = materialize(met.select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct(), "spokes")
-    stars = materialize(verified(docs, spokes, width, threshold).unionByName(ties).distinct(), "stars")
+    near = met.groupBy(F.col("pivot").alias("a"), F.col("uid").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
+    spokes = materialize(near.where(F.col("keys") >= SHARED_KEYS).select("a", "b"), "spokes")
+    measured = compared(docs, spokes, width, broadcast_rows)
+    delta = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    close = 3 * F.col("shared") >= F.size("x") + F.size("y") - F.col("shared")
+    measured = materialize(
+        measured.select(
+            "a", "b", reached(threshold).alias("linked"), F.size("y").cast("long").alias("n"),
+            F.when(close, delta).alias("delta"), close.alias("close"),
+        ),
+        "measured",
+    )
+    stars = materialize(measured.where("linked").select("a", "b").unionByName(ties).distinct(), "stars")
     comps = connected_components(stars)
-    # Pairs across the stars' components.
-    placed = reps.join(comps.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left").select(
-        F.explode("prefix").alias("token"), F.col("doc_id").alias("uid"), F.coalesce("comp", "doc_id").alias("comp"),
-        F.col("n").cast("long").alias("n"), F.col("matches").cast("long").alias("matches"),
+    # A class is seen from its most popular pivot (of those with one set).
+    popular = measured.where("close").groupBy("a").agg(F.count(F.lit(1)).alias("spokes"))
+    choice = Window.partitionBy("b").orderBy(F.desc("spokes"), "a")
+    single = measured.where("close").select("a", "b").join(several.select(F.col("doc_id").alias("a")), "a", "left_anti")
+    own = single.join(popular, "a").withColumn("r", F.row_number().over(choice)).where("r = 1").select("a", "b")
+    own = materialize(own, "own-pivot")
+    chosen = measured.where("close").join(own, ["a", "b"], "left_semi").select(F.col("b").alias("uid"), F.col("a").alias("pivot"), "n", "delta")
+    differences = difference_prefixes(chosen, sketch, threshold, frequent)
+    comp_of = comps.select(F.col("node").alias("uid"), "comp")
+    nothing = F.lit(-1).cast("long")
+    placed = (
+        reps.select(F.col("doc_id").alias("uid"), F.col("n").cast("long").alias("n"), F.col("matches").cast("long").alias("matches"), "prefix")
+        .join(own.select(F.col("b").alias("uid"), F.col("a").alias("pivot")), "uid", "left")
+        .select("uid", "n", "matches", F.coalesce("pivot", "uid").alias("pivot"), nothing.alias("dist"), "prefix")
+        .unionByName(differences.select("uid", "n", F.lit(0).cast("long").alias("matches"), "pivot", "dist", "prefix"))
+        .join(comp_of, "uid", "left")
+        .select(F.explode("prefix").alias("token"), "uid", F.coalesce("comp", "uid").alias("comp"), "n", "matches", "pivot", "dist")
     )
+    # Pairs across the stars' components.
     dealt = placed.repartition("token").sortWithinPartitions("token")
     counted = cross_pairs(dealt, threshold).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
     pairs = materialize(counted.where(F.col("shared") >= F.col("need")).select("a", "b"), "prefix-pairs")
-    links = verified(docs, pairs, width, threshold).unionByName(stars)
+    links = compared(docs, pairs, width, broadcast_rows).where(reached(threshold)).select("a", "b").unionByName(stars)
     final = connected_components(links)
     of_class = members.join(final.select(F.col("node").alias("uid"), "comp"), "uid", "left").select(
         "doc_id", F.coalesce("comp", "uid").alias("component_id")
