@@ -17,8 +17,9 @@ Two classes of the same pivot are compared by what differs from it. The
 symmetric difference of the two sets is that of their differences, so a link
 needs a known share of the differences in common; their prefixes, rarest
 shingles first, take the place of the sets' own, and the distances to the pivot
-rule out most pairs at once. So a large group whose members drift apart costs
-what its edits have in common, not its square. All links between components are
+rule out most pairs at once. So a large group whose members drift apart costs what its
+edits have in common, not its square. Of the pairs that are left, one for each
+class is verified first; those whose components it joins need no look. All links between components are
 still found: a pair is linked already, or has the same pivot, or meets in a
 prefix of the sets.
 """
@@ -254,7 +255,8 @@ def compared(docs: DataFrame, pairs: DataFrame, width: int, broadcast_rows: int)
     The documents that are needed are picked by a broadcast of their ids if
     these are at most ``broadcast_rows`` (counted), else by a shuffle join.
     """
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
+    side = lambda c: pairs.select(F.col(c).alias("doc_id")).distinct()
+    ids = materialize(side("a").unionByName(side("b")).distinct(), "pair-ids")
     picked = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
     sets = materialize(full_sets(docs.join(picked, "doc_id", "left_semi"), width), "pair-sets")
     left = pairs.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a")
@@ -424,8 +426,17 @@ def link_documents(
     # Pairs across the stars' components.
     dealt = placed.repartition("token").sortWithinPartitions("token")
     counted = cross_pairs(dealt, threshold).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
-    pairs = materialize(counted.where(F.col("shared") >= F.col("need")).select("a", "b"), "prefix-pairs")
-    links = compared(docs, pairs, width, broadcast_rows).where(reached(threshold)).select("a", "b").unionByName(stars)
+    pairs = materialize(counted.where(F.col("shared") >= F.col("need")).select("a", "b", "shared"), "prefix-pairs")
+    # One partner of each class first, the one with most prefix shingles in common: these links join most components.
+    best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
+    first = materialize(pairs.withColumn("r", F.row_number().over(best)).where("r = 1").select("a", "b"), "first-pairs")
+    found = materialize(compared(docs, first, width, broadcast_rows).where(reached(threshold)).select("a", "b").unionByName(stars), "links")
+    joined = connected_components(found)
+    # Of the others only those matter that lie between different components still.
+    of = lambda c: joined.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = materialize(rest.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b"), "other-pairs")
+    links = compared(docs, rest, width, broadcast_rows).where(reached(threshold)).select("a", "b").unionByName(found)
     final = connected_components(links)
     of_class = members.join(final.select(F.col("node").alias("uid"), "comp"), "uid", "left").select(
         "doc_id", F.coalesce("comp", "uid").alias("component_id")
