@@ -92,7 +92,7 @@ def fit_cumulative_link(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1
         w = p[:v]
         gaps = np.exp(p[v + 1 :])
         b = p[v] + np.concatenate([[0.0], np.cumsum(gaps)])
-        z = x @ w
+        z = (x @ w.astype(x.dtype)).astype(np.float64)
         ge = np.column_stack([np.ones(n), *[_sigmoid(z - bk) for bk in b], np.zeros(n)])
         prob = np.maximum(ge[np.arange(n), y] - ge[np.arange(n), y + 1], 1e-12)
         slope = ge * (1 - ge)  # of P(grade >= k) in z
@@ -101,7 +101,7 @@ def fit_cumulative_link(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1
         for k in range(1, grades + 1):
             d = np.where(y == k, slope[:, k], 0) - np.where(y + 1 == k, slope[:, k], 0)
             db[k - 1] = np.sum(d / prob) / n
-        grad = np.concatenate([x.T @ dz + l2 * w, [db.sum()], [db[k:].sum() * gaps[k - 1] for k in range(1, grades)]])
+        grad = np.concatenate([x.T @ dz.astype(x.dtype) + l2 * w, [db.sum()], [db[k:].sum() * gaps[k - 1] for k in range(1, grades)]])
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
         p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
     return p[:v], p[v] + np.concatenate([[0.0], np.cumsum(np.exp(p[v + 1 :]))])
@@ -146,26 +146,30 @@ def fit_toxicity(
     flat = lambda name: table[name].combine_chunks().flatten().to_numpy()
     ids, counts = flat("ids"), flat("counts")
     row = np.repeat(np.arange(len(toxic)), table["ids"].combine_chunks().value_lengths().to_numpy())
-    df1 = np.bincount(ids[toxic[row]], minlength=BUCKETS)
-    df0 = np.bincount(ids[~toxic[row]], minlength=BUCKETS)
+    del table
+    names, ids = np.unique(ids, return_inverse=True)  # the features of the sample, densely numbered
+    ids, row = ids.astype(np.int32), row.astype(np.int32)
+    bad = toxic[row]
+    df1, df0 = (np.bincount(ids[side], minlength=len(names)) for side in (bad, ~bad))
     odds = np.log((df1 + 0.5) / (n1 + 1)) - np.log((df0 + 0.5) / (n0 + 1))
     strength = np.where(df1 >= min(5, max(1, n1 // 10)), odds * np.sqrt(df1), 0)
     chosen = np.argsort(-strength, kind="stable")[:vocabulary]
     chosen = chosen[strength[chosen] > 0]
-    place = np.full(BUCKETS, -1)
+    place = np.full(len(names), -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
     used = place[ids] >= 0
     x = np.zeros((len(toxic), len(chosen)), dtype=np.float32)
     x[row[used], place[ids[used]]] = np.log1p(counts[used])
     # Marks of toxicity: in a fiftieth of the toxic rows, at most a hundredth of that share of the clean ones.
     marks = (df1 >= max(2, n1 / 50)) & ((df0 + 0.5) / (n0 + 1) < 0.01 * df1 / n1 + 0.5 / (n0 + 1))
-    hits = np.bincount(row, weights=np.where(marks[ids], counts, 0), minlength=len(toxic))
+    marked = marks[ids]
+    hits = np.bincount(row[marked], weights=counts[marked], minlength=len(toxic))
     cuts = np.unique(np.quantile(hits[toxic], [k / grades for k in range(1, grades)]))
     y = np.where(toxic, 1 + np.searchsorted(cuts, hits, side="left"), 0)
     levels = np.unique(y)
     y = np.searchsorted(levels, y)
-    w, b = fit_cumulative_link(x.astype(np.float64), y, len(levels) - 1)
-    return OrdinalModel(tuple(int(c) for c in chosen), tuple(float(v) for v in w), tuple(float(v) for v in b))
+    w, b = fit_cumulative_link(x, y, len(levels) - 1)
+    return OrdinalModel(tuple(int(names[c]) for c in chosen), tuple(float(v) for v in w), tuple(float(v) for v in b))
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, reject: float = 0.35) -> DataFrame:
