@@ -50,6 +50,9 @@ MULTIPLIERS = _RNG.integers(1, 2**63, 24, dtype=np.uint64) * np.uint64(2) + np.u
 KEYS = 8
 #: MinHash keys that a class shares with a pivot to be compared with it.
 SHARED_KEYS = 3
+#: Words of the bitmap of a set of differences, and their columns.
+MAP_WORDS = 4
+MAPS = [f"map{w}" for w in range(MAP_WORDS)]
 CHUNK = 2 << 20
 
 
@@ -269,7 +272,7 @@ def reached(at: Threshold) -> Column:
 
 
 def difference_prefixes(spokes: DataFrame, sketch: np.ndarray, at: Threshold, frequent: int) -> DataFrame:
-    """uid, pivot, n, dist and the prefix of what differs from the pivot.
+    """uid, pivot, n, dist, a bitmap (MAPS) and the prefix of what differs from the pivot.
 
     ``spokes``: uid, pivot, n, delta (the symmetric difference with the pivot).
     With |x| shingles, partners have at most |x| / t, so a link allows c(x)
@@ -283,8 +286,11 @@ def difference_prefixes(spokes: DataFrame, sketch: np.ndarray, at: Threshold, fr
         over = shared.value
         for batch in batches:
             n, dist, prefixes = np.asarray(batch.column(2)), [], []
-            for size, pivot, delta in zip(n, np.asarray(batch.column(1)), batch.column(3), strict=True):
+            maps = np.zeros((batch.num_rows, MAP_WORDS), dtype=np.uint64)
+            for k, (size, pivot, delta) in enumerate(zip(n, np.asarray(batch.column(1)), batch.column(3), strict=True)):
                 own = np.sort(np.asarray(delta.values))
+                bit = own.view(np.uint64) % np.uint64(64 * MAP_WORDS)
+                np.bitwise_or.at(maps[k], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
                 own = own[np.argsort(over[own & mask] > frequent, kind="stable")]
                 most = (int(size) + int(size) * at.den // at.num) * (at.den - at.num) // (at.den + at.num) + 1
                 dist.append(len(own))
@@ -293,28 +299,37 @@ def difference_prefixes(spokes: DataFrame, sketch: np.ndarray, at: Threshold, fr
             lens = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(np.array(dist, dtype=np.int64)), pa.ListArray.from_arrays(pa.array(lens), pa.array(flat))],
-                names=["uid", "pivot", "n", "dist", "prefix"],
+                [
+                    *batch.columns[:3], pa.array(np.array(dist, dtype=np.int64)), *[pa.array(maps[:, w].view(np.int64)) for w in range(MAP_WORDS)],
+                    pa.ListArray.from_arrays(pa.array(lens), pa.array(flat)),
+                ],
+                names=["uid", "pivot", "n", "dist", *MAPS, "prefix"],
             )
 
-    return spokes.select("uid", "pivot", "n", "delta").mapInArrow(run, "uid long, pivot long, n long, dist long, prefix array<long>")
+    return spokes.select("uid", "pivot", "n", "delta").mapInArrow(
+        run, f"uid long, pivot long, n long, dist long, {', '.join(f'{m} long' for m in MAPS)}, prefix array<long>"
+    )
 
 
 def cross_pairs(rows: DataFrame, at: Threshold) -> DataFrame:
     """Pairs of different components that meet in a prefix shingle, one row for each such shingle.
 
-    Rows (token, uid, comp, n, matches, pivot, dist) come sorted by token; a
-    token's rows are paired in blocks. Rows with matches of 0 are those of
-    differences: they pair within their pivot, the others across pivots.
+    Rows (token, uid, comp, n, matches, pivot, dist, bitmap) come sorted by
+    token; a token's rows are paired in blocks. Rows with matches of 0 are those
+    of differences: they pair within their pivot, the others across pivots.
+    A bit that one bitmap has and the other lacks is a difference not in
+    common, so bitmaps bound the differences in common from above; pairs whose
+    bound is under what a link needs are no candidates.
     """
 
-    def pairs_of(uid, comp, n, matches, pivot, dist) -> Iterator[pa.RecordBatch]:
+    def pairs_of(uid, comp, n, matches, pivot, dist, *maps) -> Iterator[pa.RecordBatch]:
         values, counts = np.unique(comp, return_counts=True)
         if len(values) < 2:
             return
         main = values[np.argmax(counts)]
         order = np.concatenate([np.flatnonzero(comp == main), np.flatnonzero(comp != main)])
         uid, comp, n, matches, pivot, dist = (c[order] for c in (uid, comp, n, matches, pivot, dist))
+        bits = np.stack([c[order] for c in maps], axis=1)
         m, total = int(np.sum(comp != main)), len(uid)
         within = matches[0] == 0
         step = max(1, 500_000 // total)
@@ -329,6 +344,12 @@ def cross_pairs(rows: DataFrame, at: Threshold) -> DataFrame:
             if within:  # the distances to the pivot differ by no more than a link allows
                 ok &= (at.den + at.num) * np.abs(dist[x][:, None] - dist[y][None, :]) <= (at.den - at.num) * (nx + ny)
             i, j = np.nonzero(ok)
+            if within and len(i):
+                bx, by, dx, dy = bits[x[i]], bits[y[j]], dist[x[i]], dist[y[j]]
+                lacking = lambda a, b: np.bitwise_count((a & ~b).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                most = np.minimum(dx - lacking(bx, by), dy - lacking(by, bx))
+                keep = 2 * (at.den + at.num) * most >= (at.den + at.num) * (dx + dy) - (at.den - at.num) * (n[x[i]] + n[y[j]])
+                i, j = i[keep], j[keep]
             if len(i):
                 p, q = uid[x[i]], uid[y[j]]
                 need = np.maximum(np.minimum(matches[x[i]], matches[y[j]]), 1)
@@ -418,10 +439,10 @@ def link_documents(
     placed = (
         reps.select(F.col("doc_id").alias("uid"), F.col("n").cast("long").alias("n"), F.col("matches").cast("long").alias("matches"), "prefix")
         .join(own.select(F.col("b").alias("uid"), F.col("a").alias("pivot")), "uid", "left")
-        .select("uid", "n", "matches", F.coalesce("pivot", "uid").alias("pivot"), nothing.alias("dist"), "prefix")
-        .unionByName(differences.select("uid", "n", F.lit(0).cast("long").alias("matches"), "pivot", "dist", "prefix"))
+        .select("uid", "n", "matches", F.coalesce("pivot", "uid").alias("pivot"), nothing.alias("dist"), *[nothing.alias(m) for m in MAPS], "prefix")
+        .unionByName(differences.select("uid", "n", F.lit(0).cast("long").alias("matches"), "pivot", "dist", *MAPS, "prefix"))
         .join(comp_of, "uid", "left")
-        .select(F.explode("prefix").alias("token"), "uid", F.coalesce("comp", "uid").alias("comp"), "n", "matches", "pivot", "dist")
+        .select(F.explode("prefix").alias("token"), "uid", F.coalesce("comp", "uid").alias("comp"), "n", "matches", "pivot", "dist", *MAPS)
     )
     # Pairs across the stars' components.
     dealt = placed.repartition("token").sortWithinPartitions("token")
