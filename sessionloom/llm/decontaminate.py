@@ -5,9 +5,9 @@ item's signature is its ``sketch`` smallest shingle hashes. A signature hash is
 a uniform draw from the item, so the share of an item's signature that a
 document holds estimates the containment of the item in it, however long the
 document is: the document is looked through whole, shingle by shingle, and its
-length doesn't blur the estimate. Each partition sets how many signature hashes
-a candidate must hold: with containment t and at most u shingles, a document
-misses at most floor((1-t)*u) of them, so ``sketch`` less that many are
+length doesn't blur the estimate. Each item sets how many signature hashes a
+candidate must hold: with containment t and n shingles, a document misses at
+most floor((1-t)*n) of them, so the signature's size less that many are
 certain; where that leaves none, the number that a true match misses with a
 probability under one in a million.
 
@@ -25,16 +25,21 @@ from .columns import require, shingle_hashes, text_or_empty, word_array
 from .scratch import materialize
 
 
-def needed_hits(upper: int, sketch: int, threshold: float) -> int:
-    """Signature hashes that a candidate must hold, for items of at most ``upper`` shingles."""
-    certain = min(sketch, upper) - math.floor((1 - threshold) * upper + 1e-9)
+def likely_hits(sketch: int, threshold: float) -> int:
+    """Signature hashes that a true match misses with a probability under one in a million."""
     likely, tail = 0, 0.0
     for k in range(sketch + 1):
         tail += math.comb(sketch, k) * threshold**k * (1 - threshold) ** (sketch - k)
         if tail > 1e-6:
             break
         likely = k + 1
-    return max(1, certain, likely if upper >= 4 * sketch else 1)
+    return max(1, likely)
+
+
+def needed_hits(n: int, sketch: int, threshold: float) -> int:
+    """Signature hashes that a candidate must hold, for an item of ``n`` shingles."""
+    certain = min(sketch, n) - math.floor((1 - threshold) * n + 1e-9)
+    return certain if certain >= 1 else min(n, likely_hits(sketch, threshold))
 
 
 def item_signatures(benchmark: DataFrame, width: int, sketch: int) -> DataFrame:
@@ -71,12 +76,11 @@ def contaminated(
     require(docs, "doc_id", "text")
     require(benchmark, "item_id", "text")
     items = materialize(item_signatures(benchmark, width, sketch), "benchmark")
-    parts = [r["part"] for r in items.select("part").distinct().orderBy("part").collect()]  # at most 31
-    needed = F.coalesce(
-        *[F.when(F.col("part") == p, needed_hits(2 ** (p + 1) - 1, sketch, threshold)) for p in parts], F.lit(1)
-    )
+    # The same as needed_hits, of each item's own size.
+    certain = F.size("signature") - F.floor(F.lit(1 - threshold) * F.col("n_item") + F.lit(1e-9))
+    likely = F.least(F.size("signature"), F.lit(likely_hits(sketch, threshold)))
     signatures = items.select(
-        "item_id", "n_item", F.least(needed, F.size("signature")).alias("needed"), F.explode("signature").alias("h")
+        "item_id", "n_item", F.when(certain >= 1, certain).otherwise(likely).cast("long").alias("needed"), F.explode("signature").alias("h")
     )
     small = items.count() * sketch <= broadcast_rows
     signatures = F.broadcast(signatures) if small else signatures

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm import secret_scan
 from sessionloom.llm.bpe import KNOWN, Codec, RankBitmap, decode_tokens, encode_tokens
+from sessionloom.llm.columns import shingle_hashes, word_array
 from sessionloom.llm.components import connected_components
 from sessionloom.llm.decontaminate import contaminated, decontaminate, needed_hits
 from sessionloom.llm.line_dedup import LineRuns, dedup_lines, line_table
@@ -190,6 +191,23 @@ def test_decontamination_against_brute_force(spark, empty):
     assert needed_hits(63, 16, 0.8) == 4 and needed_hits(15, 16, 0.8) == 12
 
 
+def test_partial_copies_of_items_of_every_size(spark):
+    items, singles = [], {}
+    for n in range(1, 80):
+        own = [f"i{n}x{j}" for j in range(n + 4)]
+        items.append((n, " ".join(own)))
+        singles.update({" ".join(own[j : j + 5]): n for j in range(n)})
+    hashed = docs(spark, enumerate(singles)).select("text", shingle_hashes(word_array(F.col("text")), 5)[0].alias("h"))
+    by = collections.defaultdict(list)
+    for r in hashed.orderBy("h").collect():
+        by[singles[r.text]].append(r.text)
+    # What a document lacks are the smallest hashes, so the signature misses all that it can.
+    held = {n: by[n][n - -(-8 * n // 10) :] for n in by}
+    rows = [(n, " | ".join(held[n])) for n in by] + [(100 + n, " | ".join(held[n][1:])) for n in by]
+    got = {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(n, n, n, -(-8 * n // 10)) for n in range(1, 80)}
+
+
 def reference_codec():
     import tiktoken
 
