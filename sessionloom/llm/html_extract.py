@@ -2,7 +2,8 @@
 
 Markup is stripped into lines, one for each block of the page. A line weighs
 the characters outside its links, and nothing within menus, headers, footers,
-sidebars, notices, adverts, forms and comments. Sums of the weights over a
+sidebars, notices, adverts, forms and comments; of these, wrappers that hold
+the article or most of the page's unlinked text stay. Sums of the weights over a
 sliding window of lines make the distribution; a region of main text begins
 where it surges over a threshold and ends where it dives to nothing.
 """
@@ -41,6 +42,18 @@ HINTS = frozenset(
     "recommended recommendations comment comments commentlist respond disqus discussion replies form search searchbox pagination "
     "pager copyright contentinfo complementary dialog toolbar".split()
 )
+#: Of HINTS, those of text that is never the page's own, however much of it there is.
+FOREIGN = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted cookie cookies consent gdpr "
+    "related recommended recommendations comment comments commentlist respond disqus discussion replies".split()
+)
+#: Words that say where or how many; a class of these and HINTS alone is one of HINTS, any other is not.
+NEUTRAL = frozenset(
+    "site page main global post article top bottom left right primary secondary inner outer wrap wrapper container box block area "
+    "section list item items posts articles stories bar button buttons link links text body title slot unit row col column".split()
+)
+#: Elements that often wrap a whole page.
+WRAPPERS = frozenset("form fieldset".split())
 HEADER_HINTS = frozenset("header".split())
 MAIN_HINTS = frozenset("main".split())
 
@@ -50,6 +63,9 @@ _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|/|=|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
+#: How an element is left out: as a wrapper that gives way to the page's text, by its meaning, or hidden.
+WRAPPER, MEANT, HIDDEN = 1, 2, 3
+
 
 @dataclass
 class Line:
@@ -57,6 +73,7 @@ class Line:
     weight: int
     article: bool
     main: bool
+    out: int = 0  # the left-out wrapper that holds it
 
 
 class _Scanner:
@@ -68,19 +85,21 @@ class _Scanner:
         self.parts: list[str] = []
         self.link = 0  # characters within links
         self.links = 0  # open <a>
-        self.open: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # name, left out, article, main
+        self.outer = [0]  # the wrapper around each left-out wrapper
+        # name, left out (a wrapper's number, -MEANT or -HIDDEN), article, main
+        self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             self.parts.clear()
             _, out, article, main = self.open[-1]
-            if text and not out:
-                self.lines.append(Line(text, max(0, len(text) - self.link), article, main))
+            if text and out >= 0:
+                self.lines.append(Line(text, max(0, len(text) - self.link), article, main, out))
         self.link = 0
 
     def text(self, piece: str) -> None:
-        if piece and not self.open[-1][1]:
+        if piece and self.open[-1][1] >= 0:
             self.parts.append(piece)
             if self.links:
                 self.link += len(piece)
@@ -95,22 +114,31 @@ class _Scanner:
             if name in BLOCK:
                 self.flush()
                 self.links = 0
-            if name in LEAF and self.left_out(name, attributes):
-                self.push(name, True, attributes)
+            if name in LEAF and (out := self.left_out(name, attributes)):
+                self.push(name, out, attributes)
             return
         if name in BLOCK or name in BOILERPLATE:
             self.flush()
             self.links = 0
             self.push(name, self.left_out(name, attributes), attributes)
-        elif attributes and self.left_out(name, attributes):
-            self.push(name, True, attributes)
+        elif attributes and (out := self.left_out(name, attributes)):
+            self.push(name, out, attributes)
 
-    def push(self, name: str, out: bool, attributes: str) -> None:
+    def push(self, name: str, out: int, attributes: str) -> None:
         _, was_out, article, main = self.open[-1]
         if name != "a" and out:
             self.flush()
+        if out == WRAPPER and name != "a" and was_out >= 0:
+            self.outer.append(was_out)
+            now = len(self.outer) - 1
+        elif out:
+            now = min(was_out, -MEANT if out == WRAPPER else -out)
+        elif name == "main" and was_out != -HIDDEN or name == "article" and was_out > 0:
+            now = 0  # the article reopens what wraps it
+        else:
+            now = was_out
         words = self.words(attributes)
-        self.open.append((name, was_out or out, article or name == "article", main or name == "main" or bool(words & MAIN_HINTS)))
+        self.open.append((name, now, article or name == "article", main or name == "main" or bool(words & MAIN_HINTS)))
 
     @staticmethod
     def words(attributes: str) -> frozenset[str]:
@@ -118,20 +146,37 @@ class _Scanner:
             return frozenset()
         return frozenset(w for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[1].lower()))
 
-    def left_out(self, name: str, attributes: str) -> bool:
+    @staticmethod
+    def hints(attributes: str) -> set[str]:
+        """Words of HINTS and HEADER_HINTS from class, id and role tokens that say nothing else."""
+        found: set[str] = set()
+        if "=" in attributes:
+            for m in _NAMES.finditer(attributes):
+                for token in m[1].lower().strip("\"'").split():
+                    words = set(_WORD.findall(token))
+                    named = words & (HINTS | HEADER_HINTS)
+                    if named and words <= named | NEUTRAL:
+                        found |= named
+        return found
+
+    def left_out(self, name: str, attributes: str) -> int:
         if name in ("body", "html", "main"):
-            return False
-        if name in BOILERPLATE:
-            return True
+            return 0
+        if attributes and name not in BOILERPLATE and name != "article" and _HIDDEN.search(attributes):
+            return HIDDEN
+        if name in BOILERPLATE and name not in WRAPPERS:
+            return MEANT
         inside = self.open[-1][2]
         if name == "header" and not inside:
-            return True
-        if not attributes:
-            return False
-        words = self.words(attributes)
-        if name == "article" and not words & frozenset(("comment", "comments", "ad", "ads", "advert", "related", "sponsored")):
-            return False
-        return bool(words & HINTS) or (not inside and bool(words & HEADER_HINTS)) or bool(_HIDDEN.search(attributes))
+            return MEANT
+        words = self.hints(attributes) if attributes else set()
+        if name == "article":
+            return MEANT if words & frozenset(("comment", "comments", "ad", "ads", "advert", "related", "sponsored")) else 0
+        if inside:
+            words -= HEADER_HINTS
+        if words & FOREIGN:
+            return MEANT
+        return WRAPPER if words or name in WRAPPERS else 0
 
     def end(self, name: str) -> None:
         if name == "a":
@@ -188,7 +233,20 @@ class _Scanner:
             else:
                 self.start(name, tag[3])
         self.flush()
-        return self.lines
+        return self.settled()
+
+    def settled(self) -> list[Line]:
+        """The lines without left-out wrappers, but for those that hold most of the page's unlinked text."""
+        held = [0] * len(self.outer)
+        for x in self.lines:
+            held[x.out] += x.weight
+        total = sum(held)
+        opened = [k == 0 for k in range(len(held))]
+        for k in range(len(held) - 1, 0, -1):  # inner wrappers first
+            if 2 * held[k] > total:
+                opened[k] = True
+                held[self.outer[k]] += held[k]
+        return [x for x in self.lines if opened[x.out]]
 
 
 def main_lines(lines: list[Line], window: int = 3, surge: int = 60) -> list[Line]:

@@ -130,6 +130,29 @@ def test_main_text_of_a_page():
     assert extract(article) == "A\nB"
 
 
+STORY = "<h1>Title</h1><p>A paragraph of the story that is long enough to be taken for main text.</p><p>And a second one of the same kind, to make most of the page.</p>"
+SIDE = "<div class='left-sidebar'><p>Words beside the story, forty of them at least.</p></div><div id='cookie-notice'>We use cookies.</div>"
+
+
+@pytest.mark.parametrize(
+    "wrap", ["div class='content-sidebar-wrap'", "div class='layout has-sidebar'", "div id='page' class='with-comments'", "form action='/x'", "div class='sidebar'", "div role='search' class='page'"]
+)
+def test_wrappers_of_the_story_are_not_left_out(wrap):
+    name, want = wrap.split()[0], extract(STORY)
+    assert want.count("\n") == 2
+    assert extract(f"<body><{wrap}><div>{STORY}</div>{SIDE}</{name}><footer>Foot</footer></body>") == want
+    assert extract(f"<body><{wrap}>{SIDE}<article>{STORY}</article></{name}></body>") == want
+    assert extract(f"<body><{wrap}>{SIDE}<main>{STORY}</main></{name}></body>") == want
+    assert extract(f"<body><{wrap}><form>{STORY}</form>{SIDE}</{name}></body>") == want
+
+
+def test_foreign_text_stays_out_however_long():
+    talk = "<p>I have a long opinion on this matter and shall write it down here in full.</p>" * 20
+    for wrap in ("section class='comments'", "section id='post-comments'", "div class='related-posts'", "aside", "div style='display:none'"):
+        assert extract(f"<body><div>{STORY}</div><{wrap}><article>{talk}</article></{wrap.split()[0]}></body>") == extract(STORY)
+    assert extract(f"<div hidden><main>{talk}</main></div><div>{STORY}</div>") == extract(STORY)
+
+
 def test_odd_pages(spark):
     odd = [None, "", "plain", "a < b &amp; c", "<p>x", "<!-- open", "<script>open", "<div><div><div>deep", "<p>" * 5000 + "end", "<a href='x", "&nbsp;", "<b>bold</b>" * 2000]
     rows = [(i, f"u{i}", h, "clash") for i, h in enumerate(odd)] + [(1, "u1", "plain", "clash"), (None, None, "<p>n</p>", None)]
