@@ -5,13 +5,15 @@ the characters outside its links, and nothing within menus, headers, footers,
 sidebars, notices, adverts, forms and comments; of these, wrappers that hold
 the article or most of the page's unlinked text stay. Sums of the weights over a
 sliding window of lines make the distribution; a region of main text begins
-where it surges over a threshold and ends where it dives to nothing.
+where it surges over a threshold and ends where it dives to nothing. The
+container of a region is kept whole, and so are article and main elements.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,6 +56,8 @@ NEUTRAL = frozenset(
 )
 #: Elements that often wrap a whole page.
 WRAPPERS = frozenset("form fieldset".split())
+#: Elements whose own lines belong together, also through lists, quotes and figures in them.
+CONTAINERS = frozenset("article body center dialog div html main section".split())
 HEADER_HINTS = frozenset("header".split())
 MAIN_HINTS = frozenset("main".split())
 
@@ -74,6 +78,8 @@ class Line:
     article: bool
     main: bool
     out: int = 0  # the left-out wrapper that holds it
+    box: int = 0  # the container that holds it
+    table: bool = False  # through a table
 
 
 class _Scanner:
@@ -86,16 +92,17 @@ class _Scanner:
         self.link = 0  # characters within links
         self.links = 0  # open <a>
         self.outer = [0]  # the wrapper around each left-out wrapper
-        # name, left out (a wrapper's number, -MEANT or -HIDDEN), article, main
-        self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        self.boxes = 0
+        # name, left out (a wrapper's number, -MEANT or -HIDDEN), article, main, container, within a table of it
+        self.open: list[tuple[str, int, bool, bool, int, bool]] = [("", 0, False, False, 0, False)]
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             self.parts.clear()
-            _, out, article, main = self.open[-1]
+            _, out, article, main, box, table = self.open[-1]
             if text and out >= 0:
-                self.lines.append(Line(text, max(0, len(text) - self.link), article, main, out))
+                self.lines.append(Line(text, max(0, len(text) - self.link), article, main, out, box, table))
         self.link = 0
 
     def text(self, piece: str) -> None:
@@ -125,7 +132,7 @@ class _Scanner:
             self.push(name, out, attributes)
 
     def push(self, name: str, out: int, attributes: str) -> None:
-        _, was_out, article, main = self.open[-1]
+        _, was_out, article, main, box, table = self.open[-1]
         if name != "a" and out:
             self.flush()
         if out == WRAPPER and name != "a" and was_out >= 0:
@@ -138,7 +145,11 @@ class _Scanner:
         else:
             now = was_out
         words = self.words(attributes)
-        self.open.append((name, now, article or name == "article", main or name == "main" or bool(words & MAIN_HINTS)))
+        if name in CONTAINERS:
+            self.boxes += 1
+            box, table = self.boxes, False
+        main = main or name == "main" or bool(words & MAIN_HINTS)
+        self.open.append((name, now, article or name == "article", main, box, table or name == "table"))
 
     @staticmethod
     def words(attributes: str) -> frozenset[str]:
@@ -250,38 +261,40 @@ class _Scanner:
 
 
 def main_lines(lines: list[Line], window: int = 3, surge: int = 60) -> list[Line]:
-    """The lines between surges and dives of the windowed weights."""
+    """The lines of the article or main element, else those between surges and dives of the windowed weights.
+
+    A container whose own lines reach the surge within a region is kept whole,
+    with its linked and short lines.
+    """
     weights = [x.weight for x in lines]
     for inside in ([x.article for x in lines], [x.main for x in lines]):
-        if any(inside) and any(w for w, i in zip(weights, inside, strict=True) if i):
-            weights = [w if i else 0 for w, i in zip(weights, inside, strict=True)]
-            lines = [x if i else Line("", 0, False, False) for x, i in zip(lines, inside, strict=True)]
-            break
+        if any(w for w, i in zip(weights, inside, strict=True) if i):
+            return [x for x, i in zip(lines, inside, strict=True) if i]
     n = len(weights)
     sums = [0] * (n + window)
     for i in range(n - 1, -1, -1):
         sums[i] = sums[i + 1] + weights[i] - (weights[i + window] if i + window < n else 0)
     threshold = min(surge, max(sums, default=0))
-    kept: list[Line] = []
+    kept = [False] * n
     i = 0
     while i < n:
         if weights[i] and sums[i] >= threshold > 0:  # surge
             end = i
             while end < n and sums[end]:  # dive
                 end += 1
-            first = len(kept)
-            kept += lines[i:end]
             # Back to the region's first line: lines of weight right above it belong to it.
-            k = i - 1
-            above: list[Line] = []
-            while k >= 0 and weights[k]:
-                above.append(lines[k])
+            k = i
+            while k and weights[k - 1]:
                 k -= 1
-            kept[first:first] = above[::-1]
+            kept[k:end] = [True] * (end - k)
             i = end
         else:
             i += 1
-    return [x for x in kept if x.text]
+    own = Counter[int]()
+    for x, taken in zip(lines, kept, strict=True):
+        if taken and not x.table:
+            own[x.box] += x.weight
+    return [x for x, taken in zip(lines, kept, strict=True) if taken or own[x.box] >= threshold > 0]
 
 
 def extract(page: str | None, window: int = 3, surge: int = 60) -> str:

@@ -153,6 +153,19 @@ def test_foreign_text_stays_out_however_long():
     assert extract(f"<div hidden><main>{talk}</main></div><div>{STORY}</div>") == extract(STORY)
 
 
+def test_linked_and_short_lines_of_the_story():
+    links = "".join(f"<li><a href='/{k}'>Source number {k}</a></li>" for k in range(5))
+    story = f"<h1><a href='/'>Linked headline</a></h1><p>{'w' * 200}</p><ul>{links}</ul><p>Short closing paragraph.</p><p><a href='/z'>Read on</a></p>"
+    want = "\n".join(["Linked headline", "w" * 200, *[f"Source number {k}" for k in range(5)], "Short closing paragraph.", "Read on"])
+    menu = "<div class='x'><ul>" + "".join(f"<li><a href='/m{k}'>Menu entry {k}</a></li>" for k in range(9)) + "</ul></div>"
+    for name in ("article", "main", "div", "section"):
+        assert extract(f"<body>{menu}<{name}>{story}</{name}>{menu}<footer>Foot</footer></body>") == want
+    cells = "".join(f"<td><a href='/c{k}'>Cell {k}</a></td>" for k in range(4))
+    assert extract(f"<div><p>{'w' * 200}</p><table><tr>{cells}</table><p>End.</p></div>") == "\n".join(["w" * 200, *[f"Cell {k}" for k in range(4)], "End."])
+    layout = f"<table><tr><td><a href='/'>Home</a></td><td><a href='/n'>News</a></td></tr><tr><td>{'w' * 200}</td></tr></table>"
+    assert extract(layout) == "w" * 200
+
+
 def test_odd_pages(spark):
     odd = [None, "", "plain", "a < b &amp; c", "<p>x", "<!-- open", "<script>open", "<div><div><div>deep", "<p>" * 5000 + "end", "<a href='x", "&nbsp;", "<b>bold</b>" * 2000]
     rows = [(i, f"u{i}", h, "clash") for i, h in enumerate(odd)] + [(1, "u1", "plain", "clash"), (None, None, "<p>n</p>", None)]
