@@ -2,8 +2,9 @@
 
 Candidates are matched in every whole text. Their values are hashed and
 aggregated over the corpus by distinct repositories and distinct owners: a
-value that many owners hold is a copied example; one that a single owner holds
-and that looks like a live credential is reported as such.
+value that many owners or many repositories hold is a copied example; one that
+a single owner holds in few repositories and that looks like a live credential
+is reported as such.
 """
 
 from __future__ import annotations
@@ -87,8 +88,7 @@ def ownership(values: DataFrame) -> DataFrame:
     the shuffle and in its tasks.
     """
     once = values.groupBy("h1", "h2", "repo", "owner").agg(F.count(F.lit(1)).alias("n"))
-    by_owner = once.groupBy("h1", "h2", "owner").agg(F.count_distinct("repo").alias("repos"))
-    return by_owner.groupBy("h1", "h2").agg(F.sum("repos").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
+    return once.groupBy("h1", "h2").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
 
 
 def scan_secrets(
@@ -97,16 +97,18 @@ def scan_secrets(
     owner: str | Column = "source",
     example_owners: int = 3,
     live_chars: int = 16,
+    example_repos: int = 10,
 ) -> DataFrame:
     """Base spans of every whole text, and spans of values classed by ownership.
 
     Returns doc_id, ``found`` (array of start, rank, end, kind, from, value:
     the base spans by start, then kind as listed) and ``classed`` (array of
     start, rank, end, kind with kind ``example`` for values that at least
-    ``example_owners`` distinct owners hold, and ``live`` for values of a
-    single owner with at least ``live_chars`` code points among which are a
-    digit and a letter). A span of ``classed`` covers the value alone. Offsets
-    are code points, the end exclusive.
+    ``example_owners`` distinct owners hold or that are in at least
+    ``example_repos`` distinct repositories, of one owner or more, and ``live``
+    for other values of a single owner with at least ``live_chars`` code points
+    among which are a digit and a letter). A span of ``classed`` covers the
+    value alone. Offsets are code points, the end exclusive.
 
     A null text has no spans. A null repository or owner counts as one of its
     own. Rows that repeat a doc_id each come back with their own spans. An
@@ -125,7 +127,8 @@ def scan_secrets(
     hashed = spans.select("*", F.xxhash64(value).alias("h1"), F.xxhash64(F.lit(7), value).alias("h2"))
     owners = ownership(hashed.select("h1", "h2", "repo", "owner"))
     looks_live = (F.char_length(value) >= live_chars) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    kind = F.when(F.col("n_owners") >= example_owners, "example").when((F.col("n_owners") == 1) & looks_live, "live")
+    copied = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
+    kind = F.when(copied, "example").when((F.col("n_owners") == 1) & looks_live, "live")
     classed = (
         hashed.join(owners, ["h1", "h2"])
         .withColumn("kind", kind)

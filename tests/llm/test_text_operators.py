@@ -294,6 +294,23 @@ def test_secrets_against_brute_force(spark, empty):
     assert scan_secrets(empty).count() == 0
 
 
+def test_repositories_make_an_example(spark):
+    value = lambda k: f"{k}a2b4c6d8e0" * 2
+    one, few, two, same = map(value, "wxyz")
+    rows = [(3 * i, f"token={one}") for i in range(10)] + [(3 * i, f"token={few}") for i in range(9)]  # all of s0
+    rows += [(i, f"token={two}") for i in range(12) if i % 3]  # eight of s1 and s2
+    rows += [(3, f"token={same}")] * 40  # one repository
+    kinds = collections.defaultdict(set)
+    for r in scan_secrets(docs(spark, rows)).collect():
+        kinds[r.doc_id] |= {c.kind for c in r.classed}
+    assert kinds[27] == {"example"} and kinds[3] == {"example", "live"} and kinds[1] == set()
+    more = [(i, f"token={two}") for i in range(15) if i % 3]  # ten of s1 and s2
+    assert {c.kind for r in scan_secrets(docs(spark, more)).collect() for c in r.classed} == {"example"}
+    both = docs(spark, more[:5]).select("doc_id", "text").crossJoin(spark.createDataFrame([("a",), ("b",)], "source string"))
+    assert all(not r.classed for r in scan_secrets(both).collect())  # five repositories, whoever owns them
+    assert all(c.kind == "live" for r in scan_secrets(docs(spark, [(3, f"token={same}")] * 40)).collect() for c in r.classed)
+
+
 def test_digests_of_the_queries(spark):
     import os
 
