@@ -4,7 +4,8 @@ The turns of a conversation get prefix sums of their tokens. A turn belongs to
 the span in which its prefix sum ends, spans being equal slices of the token
 line; so spans are turn-aligned and depend on prefix sums alone. A window is
 the conversation's system turn, the turns at the end of the span before it
-(limited history) and the span's own turns. Only the assistant texts of the
+(limited history) and the span's own turns. Where a long turn leaves the span
+before it empty, the history is that of the turns right before it. Only the assistant texts of the
 span's own turns are targets: repeated ones are masked, so each assistant text
 is under the loss once over all windows.
 
@@ -57,6 +58,30 @@ def turn_tokens(text: Column) -> Column:
     return (F.ceil(F.octet_length(text) / 4) + 4).cast("long")
 
 
+def before_long_turns(summed: DataFrame, span_tokens: int, history_tokens: int) -> DataFrame:
+    """The history of windows whose first own turn leaves the span before them empty.
+
+    Only a turn of more than ``span_tokens`` does. Its history is the turns
+    before it that have at most ``history_tokens`` tokens together. They end in
+    the slice of ``history_tokens`` in which the long turn begins or in the one
+    before it, so the join is on slices and meets few turns in each.
+    """
+    size = max(1, history_tokens)
+    begin = F.col("end") - F.col("tokens")
+    long_turns = (
+        summed.where((F.col("tokens") > span_tokens) & (begin > 0))
+        .select(F.col("conv_id").alias("c"), begin.alias("from"), F.col("span").alias("window"))
+        .where(F.expr(f"(`from` - 1) div {span_tokens}") < F.col("window") - 1)
+        .withColumn("slice", F.explode(F.array(F.expr(f"`from` div {size}") - 1, F.expr(f"`from` div {size}"))))
+    )
+    turns = summed.select("conv_id", "t", F.col("span").alias("own"), "end", begin.alias("begin"), F.expr(f"end div {size}").alias("at"))
+    return turns.join(
+        long_turns,
+        F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("at") == F.col("slice")) & (F.col("end") <= F.col("from"))
+        & (F.col("begin") >= F.col("from") - history_tokens),
+    ).select("conv_id", "t", "window", "own")
+
+
 def format_chats(
     conversations: DataFrame, span_tokens: int = 1024, history_tokens: int = 256, system_role: str = "system",
     target_role: str = "assistant", block: int = 128,
@@ -111,7 +136,7 @@ def format_chats(
         "conv_id", body.alias("t"),
         F.explode(F.when(history, F.array(F.col("span"), F.col("span") + 1)).otherwise(F.array("span"))).alias("window"),
         F.col("span").alias("own"),
-    )
+    ).unionByName(before_long_turns(summed.withColumn("t", body), span_tokens, history_tokens))
     windows = placed.groupBy("conv_id", "window").agg(
         F.sort_array(F.collect_list(F.when(F.col("own") == F.col("window"), F.col("t")))).alias("own"),
         F.sort_array(F.collect_list(F.when(F.col("own") != F.col("window"), F.col("t")))).alias("past"),

@@ -62,6 +62,21 @@ def test_chat_windows_read_back(spark):
     assert chat_digests(format_chats(chats(spark, []))).count() == 0
 
 
+def test_long_turns_keep_their_history(spark):
+    rows = [(1, 0, "system", "sys"), (1, 1, "user", "far " * 60), (1, 2, "user", "context"), (1, 3, "user", "question"), (1, 4, "assistant", "a" * 4 * 2500)]
+    rows += [(1, 5, "user", "next"), (1, 6, "assistant", "b" * 4 * 1900), (1, 7, "user", "too long " * 40), (1, 8, "assistant", "c" * 4 * 900)]
+    rows += [(None, 0, "user", "of null"), (None, 1, "assistant", "d" * 4 * 5000), (2, 0, "assistant", "e" * 4 * 3000), (3, 0, "system", "s"), (3, 1, "assistant", "f" * 4 * 3000)]
+    windows = format_chats(chats(spark, rows), span_tokens=300, history_tokens=60).collect()
+    by = {}
+    for r in windows:
+        parts = [p.split("\n", 1)[1] for p in r.formatted.split("<|end|>\n")[:-1]]
+        by[r.conv_id, parts[r.n_context][:4]] = parts[: r.n_context]
+        assert r.n_turns == len(parts) and len(r.loss_spans) == sum(p[:3] in {x * 3 for x in "abcdef"} for p in parts[r.n_context :])
+    assert by[1, "aaaa"] == ["sys", "context", "question"] and by[1, "bbbb"] == ["sys", "next"] and by[1, "cccc"] == ["sys"]
+    assert by[None, "dddd"] == ["of null"] and by[2, "eeee"] == [] and by[3, "ffff"] == ["s"]
+    assert {r.conv_id: r.n_turns for r in chat_digests(spark.createDataFrame(windows)).collect()} == {1: 9, None: 2, 2: 1, 3: 2}
+
+
 VEC = "vec_id long, embedding array<float>, score string"
 
 
