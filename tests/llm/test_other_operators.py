@@ -110,6 +110,23 @@ def test_vectors_recall_and_ties(spark):
     assert [i for i, _ in got[200]] == want[200]
 
 
+def test_recall_of_the_query(spark):
+    import os
+
+    from sessionloom.llm.registry import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding").collect()
+    ids, v = [r.vec_id for r in rows], np.array([r.embedding for r in rows], dtype=float)
+    got = collections.defaultdict(set)
+    for r in QUERIES["op5_nearest"](spark, sf).collect():
+        got[r.query_id].add(r.vec_id)
+    want = brute_nearest(ids, v, 20, 20)
+    assert set(got) == set(want) and np.mean([len(got[q] & set(want[q])) / 20 for q in want]) >= 0.9
+
+
 def test_few_vectors(spark):
     one = spark.createDataFrame([(0, [1.0, 2.0], "x")], VEC)
     assert search_vectors(one).count() == 0 and search_vectors(one.limit(0)).count() == 0
