@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .columns import require
+from .memory import released
 
 _SHIFT = 20  # ids are below 2**20
 
@@ -291,53 +292,110 @@ class _Pieces(dict):
         return number
 
 
-class Codec:
-    """Encoder and decoder of one rank file, with a bounded memo of pre-tokens."""
+#: Beyond this many characters a text is split in runs.
+RUN_CHARS = 1 << 20
 
-    def __init__(self, rank_file: bytes, pattern: str, memo: int = 250_000):
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
-        self.merger = RankMerger(ranks)
-        self.split = splitter(pattern)
-        self.memo = memo
-        by_id = [b""] * self.merger.size
+
+def runs_of(text: str, pattern: str) -> Iterator[str]:
+    """A long text in runs of about ``RUN_CHARS`` that are split alike.
+
+    ``KNOWN`` never matches across the place between a character that is no
+    white space and a blank, and looks ahead only: such a place is the end of a
+    match whatever follows it. Other patterns get the whole text.
+    """
+    at = 0
+    while pattern == KNOWN and len(text) - at > RUN_CHARS:
+        cut = text.find(" ", at + RUN_CHARS)
+        while cut > 0 and text[cut - 1].isspace():
+            cut = text.find(" ", cut + 1)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:] if at else text
+
+
+class Vocabulary:
+    """Bytes of the tokens of a rank file, by id."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by_id = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             by_id[rank] = token
         self.token_len = np.array([len(t) for t in by_id], dtype=np.int64)
         self.token_at = np.concatenate([[0], np.cumsum(self.token_len)[:-1]])
         self.blob = np.frombuffer(b"".join(by_id), dtype=np.uint8)
-        self._forget()
 
-    def _forget(self) -> None:
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of a run of ids."""
+        n = self.token_len[ids]
+        total = int(n.sum())
+        return self.blob[np.repeat(self.token_at[ids] - np.cumsum(n) + n, n) + np.arange(total)]
+
+
+def read_ranks(rank_file: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
+
+
+class Codec:
+    """Encoder and decoder of one rank file, with a bounded memo of pre-tokens."""
+
+    def __init__(self, rank_file: bytes, pattern: str, memo: int = 150_000):
+        ranks = read_ranks(rank_file)
+        self.merger = RankMerger(ranks)
+        self.pattern = pattern
+        self.split = splitter(pattern)
+        self.memo = memo
+        self.vocabulary = Vocabulary(ranks)
+        self.forget()
+
+    def forget(self) -> None:
         self.pieces = _Pieces()
         self.ids = np.empty(0, dtype=np.int32)
         self.counts = np.empty(0, dtype=np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end (int32) and the number of ids of each text."""
-        if len(self.pieces) > self.memo:
-            self._forget()
-        look = self.pieces.__getitem__
-        numbers = [np.fromiter(map(look, self.split(t)), dtype=np.int64) for t in texts]
+    def _learn(self) -> None:
+        """Merge the pre-tokens that are new."""
         if self.pieces.fresh:
             ids, counts = self.merger.merge([p.encode("utf-8") for p in self.pieces.fresh])
             self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
             self.counts = np.concatenate([self.counts, counts])
             self.pieces.fresh.clear()
+
+    def _ids_of(self, numbers: list[np.ndarray]) -> list[np.ndarray]:
+        self._learn()
         starts = np.concatenate([[0], np.cumsum(self.counts)])
-        flat: list[np.ndarray] = []
-        lens = np.zeros(len(texts), dtype=np.int64)
-        for i, own in enumerate(numbers):
+        out = []
+        for own in numbers:
             n = self.counts[own]
-            lens[i] = total = int(n.sum())
-            if total:
-                flat.append(self.ids[np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(total)])
+            total = int(n.sum())
+            out.append(self.ids[np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(total)])
+        return out
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end (int32) and the number of ids of each text.
+
+        Whenever the memo is full, also within a text of several runs, the ids
+        so far are made and the memo begins anew.
+        """
+        flat: list[np.ndarray] = []
+        owner: list[int] = []
+        held: list[np.ndarray] = []
+        for i, text in enumerate(texts):
+            for run in runs_of(text, self.pattern):
+                held.append(np.fromiter(map(self.pieces.__getitem__, self.split(run)), dtype=np.int32))
+                owner.append(i)
+                if len(self.pieces) > self.memo:
+                    flat += self._ids_of(held)
+                    held.clear()
+                    self.forget()
+        flat += self._ids_of(held)
+        lens = np.bincount(owner, weights=[len(x) for x in flat], minlength=len(texts)).astype(np.int64)
         return (np.concatenate(flat) if flat else np.empty(0, dtype=np.int32)), lens
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of a run of ids."""
-        n = self.token_len[ids]
-        total = int(n.sum())
-        return self.blob[np.repeat(self.token_at[ids] - np.cumsum(n) + n, n) + np.arange(total)]
+        return self.vocabulary.decode(ids)
 
 
 _CODECS: dict[tuple[int, int, str], Codec] = {}
@@ -352,6 +410,12 @@ def codec(rank_file: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
+def forget_codecs() -> None:
+    """Empty the memos; the tables of the rank file stay for the worker's next task."""
+    for own in _CODECS.values():
+        own.forget()
+
+
 def _chunks(texts: Iterable[str], most: int) -> Iterator[list[str]]:
     held: list[str] = []
     size = 0
@@ -365,22 +429,30 @@ def _chunks(texts: Iterable[str], most: int) -> Iterator[list[str]]:
         yield held
 
 
+def _list_bytes(own: Codec | Vocabulary, lists: pa.ListArray) -> pa.Array:
+    return pa.array([own.decode(np.asarray(x.values)).tobytes() if x.is_valid else b"" for x in lists], pa.binary())
+
+
 def encode_tokens(
-    docs: DataFrame, rank_path: str, pattern: str, keep: list[str] | None = None, text: str = "text", chunk_chars: int = 6 << 20
+    docs: DataFrame, rank_path: str, pattern: str, keep: list[str] | None = None, text: str = "text", chunk_chars: int = 3 << 20, decoded: bool = False
 ) -> DataFrame:
     """Token ids of every whole text, as column ``ids`` array<int>.
 
     ``rank_path`` is a rank file on the driver; its bytes (a fixed vocabulary)
     are broadcast. Each match of ``pattern`` is encoded by itself, without
     special tokens. Returns the columns ``keep`` (all but ``text`` if none are
-    named; a column named ``ids`` is replaced) and ``ids``. A null or empty
-    text has no ids. Every row gives one row; an empty table gives an empty one.
+    named; a column named ``ids`` is replaced) and ``ids``; with ``decoded``
+    also the bytes that the ids decode to, as ``decode_tokens`` gives them,
+    without a second way through Python. A null or empty text has no ids. Every
+    row gives one row; an empty table gives an empty one.
     """
     require(docs, text)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "ids")]
+    added = ("ids", "decoded") if decoded else ("ids",)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, *added)]
     with open(rank_path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    fields = [*[docs.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
+    schema = T.StructType(fields + ([T.StructField("decoded", T.BinaryType())] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks.value, pattern)
@@ -392,14 +464,14 @@ def encode_tokens(
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32))
                 rows = batch.slice(done, len(chunk))
                 done += len(chunk)
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns[: len(keep)], pa.ListArray.from_arrays(offsets, pa.array(ids))], names=[*keep, "ids"]
-                )
+                lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
+                more = [_list_bytes(own, lists)] if decoded else []
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], lists, *more], names=[*keep, *added])
 
-    return docs.select(*[f"`{c}`" for c in keep], text).mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in keep], text).mapInArrow(released(run, forget_codecs), schema)
 
 
-def decode_tokens(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids") -> DataFrame:
+def decode_tokens(df: DataFrame, rank_path: str, ids: str = "ids") -> DataFrame:
     """``df`` with ``decoded`` binary, the bytes of each row's ids (null ids: no bytes)."""
     require(df, ids)
     df = df.drop("decoded")
@@ -409,9 +481,8 @@ def decode_tokens(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids")
     at = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks.value, pattern)
+        own = Vocabulary(read_ranks(ranks.value))
         for batch in batches:
-            decoded = [own.decode(np.asarray(x.values)).tobytes() if x.is_valid else b"" for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _list_bytes(own, batch.column(at))], names=[*batch.schema.names, "decoded"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)

@@ -38,6 +38,14 @@ def require(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def fresh_name(df: DataFrame, *wanted: str) -> str:
+    """A column name that ``df`` lacks in any letter case."""
+    taken, name = {c.lower() for c in df.columns}, "_".join(("", *wanted))
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def word_array(text: Column) -> Column:
     """Words of a text (A-Z lower-cased), an empty array if it has none."""
     return let(

@@ -8,8 +8,8 @@ document is: the document is looked through whole, shingle by shingle, and its
 length doesn't blur the estimate. Each item sets how many signature hashes a
 candidate must hold: with containment t and n shingles, a document misses at
 most floor((1-t)*n) of them, so the signature's size less that many are
-certain; where that leaves none, the number that a true match misses with a
-probability under one in a million.
+certain. Signatures of longer items are longer by as much as they may miss, so
+that at least ``SURE`` hits are certain at every size, and no link is lost.
 
 Candidates are verified by exact shingle containment.
 """
@@ -21,38 +21,37 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import require, shingle_hashes, text_or_empty, word_array
+from .columns import fresh_name, require, shingle_hashes, text_or_empty, word_array
 from .scratch import materialize
 
 
-def likely_hits(sketch: int, threshold: float) -> int:
-    """Signature hashes that a true match misses with a probability under one in a million."""
-    likely, tail = 0, 0.0
-    for k in range(sketch + 1):
-        tail += math.comb(sketch, k) * threshold**k * (1 - threshold) ** (sketch - k)
-        if tail > 1e-6:
-            break
-        likely = k + 1
-    return max(1, likely)
+#: Signature hashes that every true match of an item of more shingles holds for certain.
+SURE = 4
+
+
+def signature_size(n: int, sketch: int, threshold: float) -> int:
+    """Hashes in the signature of an item of ``n`` shingles."""
+    return min(n, max(sketch, math.floor((1 - threshold) * n + 1e-9) + SURE))
 
 
 def needed_hits(n: int, sketch: int, threshold: float) -> int:
-    """Signature hashes that a candidate must hold, for an item of ``n`` shingles."""
-    certain = min(sketch, n) - math.floor((1 - threshold) * n + 1e-9)
-    return certain if certain >= 1 else min(n, likely_hits(sketch, threshold))
+    """Signature hashes that a document with at least ``threshold`` of an item of ``n`` shingles holds for certain."""
+    return signature_size(n, sketch, threshold) - math.floor((1 - threshold) * n + 1e-9)
 
 
-def item_signatures(benchmark: DataFrame, width: int, sketch: int) -> DataFrame:
-    """item_id, n_item, part, shingles, signature; items without a shingle are left out."""
+def item_signatures(benchmark: DataFrame, width: int, sketch: int, threshold: float) -> DataFrame:
+    """item_id, n_item, part, shingles, signature, needed (as ``needed_hits``); items without a shingle are left out."""
     shingles = F.array_distinct(shingle_hashes(word_array(text_or_empty("text")), width))
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", shingles.alias("shingles"))
     # Rows that repeat an item_id are one item.
     items = items.groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
     items = items.where(F.size("shingles") > 0)
+    size = F.size("shingles")
+    misses = F.floor(F.lit(1 - threshold) * size + F.lit(1e-9)).cast("int")
+    taken = F.least(size, F.greatest(F.lit(sketch), misses + SURE))
     return items.select(
-        "item_id", F.size("shingles").cast("long").alias("n_item"),
-        F.floor(F.log2(F.size("shingles"))).cast("int").alias("part"), "shingles",
-        F.slice(F.sort_array("shingles"), 1, sketch).alias("signature"),
+        "item_id", size.cast("long").alias("n_item"), F.floor(F.log2(size)).cast("int").alias("part"), "shingles",
+        F.slice(F.sort_array("shingles"), F.lit(1), taken).alias("signature"), (taken - misses).cast("long").alias("needed"),
     )
 
 
@@ -75,15 +74,10 @@ def contaminated(
     """
     require(docs, "doc_id", "text")
     require(benchmark, "item_id", "text")
-    items = materialize(item_signatures(benchmark, width, sketch), "benchmark")
-    # The same as needed_hits, of each item's own size.
-    certain = F.size("signature") - F.floor(F.lit(1 - threshold) * F.col("n_item") + F.lit(1e-9))
-    likely = F.least(F.size("signature"), F.lit(likely_hits(sketch, threshold)))
-    signatures = items.select(
-        "item_id", "n_item", F.when(certain >= 1, certain).otherwise(likely).cast("long").alias("needed"), F.explode("signature").alias("h")
-    )
-    small = items.count() * sketch <= broadcast_rows
-    signatures = F.broadcast(signatures) if small else signatures
+    items = materialize(item_signatures(benchmark, width, sketch, threshold), "benchmark")
+    signatures = items.select("item_id", "n_item", "needed", F.explode("signature").alias("h"))
+    total = items.agg(F.coalesce(F.sum(F.size("signature")), F.lit(0))).first()[0]
+    signatures = F.broadcast(signatures) if total <= broadcast_rows else signatures
     whole = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     shingles = shingle_hashes(word_array(F.col("text")), width)
     exploded = whole.select("doc_id", F.explode(shingles).alias("h"))
@@ -109,5 +103,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 5, thresho
 
     All columns and all other rows stay as they are; rows without doc_id stay.
     """
-    leaks = contaminated(docs, benchmark, width, threshold).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("__leak"), "left_anti")
+    leak = fresh_name(docs, "leak")
+    leaks = contaminated(docs, benchmark, width, threshold).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(leaks, F.col("doc_id") == F.col(leak), "left_anti")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .columns import ASCII_SPACE, fold_ascii, let, require, text_or_empty
+from .columns import ASCII_SPACE, fold_ascii, fresh_name, let, require, text_or_empty
 from .scratch import discard, materialize
 
 KEY = ["h1", "h2"]
@@ -137,7 +137,7 @@ def without_positions(lines: Column, drops: Column) -> Column:
 
 
 def dedup_lines(
-    docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 3, fanout: int = 3
+    docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 3, fanout: int = 3, broadcast_rows: int = 500_000
 ) -> DataFrame:
     """Drop the lines that many documents hold, but in the largest doc_id that holds them.
 
@@ -150,6 +150,11 @@ def dedup_lines(
     back empty. Rows that repeat a doc_id count as one document. A row without
     doc_id takes no part and keeps its lines. Columns of the input named
     ``n_lines`` or ``n_dropped`` are replaced. An empty table gives an empty one.
+
+    The repeated hashes are written before the lines are joined with them. At
+    most ``broadcast_rows`` of them (counted) are broadcast, so that the lines
+    stay where they are; more are joined by a shuffle of two written tables,
+    whose hot hashes adaptive execution splits.
     """
     require(docs, "doc_id", "text")
     spark = docs.sparkSession
@@ -158,22 +163,23 @@ def dedup_lines(
     index = LineRuns(spark, fanout)
     for batch in range(batches):
         index.add(staged.where(F.col("batch") == batch))
+    repeated = materialize(index.repeated(min_docs), "line-repeated")
+    repeated = F.broadcast(repeated) if repeated.count() <= broadcast_rows else repeated
+    names = docs.columns
+    doc, row, hash_, gone = (fresh_name(docs, "line", n) for n in ("doc", "row", "hash", "drops"))
     drops = (
         staged.drop("batch")
-        .join(index.repeated(min_docs), KEY)
+        .join(repeated, KEY)
         .where(F.col("doc_id") != F.col("keeper"))
-        .groupBy(F.col("doc_id").alias("__doc"), F.col("row_hash").alias("__row"))
-        .agg(F.sort_array(F.collect_set("pos")).alias("__drops"))
+        .groupBy(F.col("doc_id").alias(doc), F.col("row_hash").alias(row))
+        .agg(F.sort_array(F.collect_set("pos")).alias(gone))
     )
-    names = docs.columns
     text = text_or_empty("text")
-    joined = docs.withColumn("__hash", F.xxhash64(text)).join(
-        drops, (F.col("doc_id") == F.col("__doc")) & (F.col("__hash") == F.col("__row")), "left"
-    )
+    joined = docs.withColumn(hash_, F.xxhash64(text)).join(drops, (F.col("doc_id") == F.col(doc)) & (F.col(hash_) == F.col(row)), "left")
     lines = F.split(text, "\n", -1)
-    kept = F.when(F.col("__drops").isNull(), text).otherwise(F.array_join(without_positions(lines, F.col("__drops")), "\n"))
+    kept = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(without_positions(lines, F.col(gone)), "\n"))
     return joined.select(
         *[kept.alias("text") if n == "text" else F.col(f"`{n}`") for n in names],
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"),
     )

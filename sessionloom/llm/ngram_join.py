@@ -34,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import require
+from .columns import fresh_name, require
 from .components import connected_components
+from .memory import released
 from .scratch import materialize
 
 SPACE = np.zeros(256, dtype=bool)
@@ -53,7 +54,7 @@ SHARED_KEYS = 3
 #: Words of the bitmap of a set of differences, and their columns.
 MAP_WORDS = 4
 MAPS = [f"map{w}" for w in range(MAP_WORDS)]
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -63,26 +64,39 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, as far as needed."""
+#: Bytes that are hashed at a time; a longer word is hashed by itself.
+BLOCK = 1 << 20
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
 
-    @staticmethod
-    def _grow(base: int, size: int) -> np.ndarray:
-        steps = np.full(size, np.uint64(base))
-        steps[0] = 1
-        return np.multiply.accumulate(steps)
+def _powers(base: int, size: int) -> np.ndarray:
+    """Powers of ``base`` modulo 2**64."""
+    steps = np.full(size, np.uint64(base))
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            self.up, self.down = (self._grow(b, size) for b in (BASE, pow(BASE, -1, 1 << 64)))
-        return self.up, self.down
 
+INVERSE = pow(BASE, -1, 1 << 64)
+UP, DOWN = _powers(BASE, 1 << 16), _powers(INVERSE, 1 << 16)
 
-_POWERS = _Powers()
+
+def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word's bytes, in blocks of about ``BLOCK`` bytes, so that a long text needs no more room than a short one."""
+    global UP, DOWN
+    out = np.empty(len(starts), dtype=np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + BLOCK, side="right")))
+        first, size = int(starts[lo]), int(ends[hi - 1] - starts[lo])
+        if len(UP) < size <= BLOCK:
+            UP, DOWN = _powers(BASE, BLOCK), _powers(INVERSE, BLOCK)
+        up = UP[:size] if size <= len(UP) else _powers(BASE, size)
+        sums = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum(BYTES[flat[first : first + size]] * up, out=sums[1:])
+        at = starts[lo:hi] - first
+        down = DOWN[at] if hi - lo > 1 else np.ones(1, dtype=np.uint64)
+        out[lo:hi] = mix((sums[ends[lo:hi] - first] - sums[at]) * down)
+        lo = hi
+    return out
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -105,10 +119,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     after[-1], after[:-1] = True, space[1:]
     after[edge[1:][edge[1:] > 0] - 1] = True
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    up, down = _POWERS.get(n)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(BYTES[flat] * up[:n], out=sums[1:])
-    words = mix((sums[ends] - sums[starts]) * down[starts])
+    words = word_hashes(flat, starts, ends)
     first = np.searchsorted(starts, edge)  # words before each text
     hashes = words[: max(0, len(words) - width + 1)].copy() if width <= len(words) else np.empty(0, dtype=np.uint64)
     for k in range(1, width):
@@ -176,7 +187,7 @@ def frequency_sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
         return pa.table({"lo": [key[0].as_py()], "part": pa.array([parts.sum(axis=0).tolist()], pa.list_(pa.int64()))})
 
     schema = "lo long, part array<long>"
-    partial = docs.select("text").mapInArrow(count, schema)
+    partial = docs.select("text").mapInArrow(released(count), schema)
     out = np.zeros(1 << bits, dtype=np.int64)
     for row in partial.groupBy("lo").applyInArrow(add, schema).toLocalIterator():
         out[row["lo"] : row["lo"] + piece] = row["part"]
@@ -232,7 +243,8 @@ def document_sets(docs: DataFrame, sketch: np.ndarray, width: int, at: Threshold
                 )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n int, s1 long, s2 long, keys array<long>, matches int, prefix array<long>"
+        released(run),
+        "doc_id long, n int, s1 long, s2 long, keys array<long>, matches int, prefix array<long>",
     )
 
 
@@ -249,7 +261,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
                     names=["uid", "set"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "uid long, set array<long>")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "uid long, set array<long>")
 
 
 def compared(docs: DataFrame, pairs: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
@@ -307,36 +319,65 @@ def difference_prefixes(spokes: DataFrame, sketch: np.ndarray, at: Threshold, fr
             )
 
     return spokes.select("uid", "pivot", "n", "delta").mapInArrow(
-        run, f"uid long, pivot long, n long, dist long, {', '.join(f'{m} long' for m in MAPS)}, prefix array<long>"
+        released(run), f"uid long, pivot long, n long, dist long, {', '.join(f'{m} long' for m in MAPS)}, prefix array<long>"
+    )
+
+
+def in_cells(rows: DataFrame, tokens: DataFrame, most: int, broadcast_rows: int) -> DataFrame:
+    """``rows`` with the cells of their tokens: cell and side.
+
+    ``tokens`` has the token of each row, and nothing else. A token of at most
+    ``most`` rows (counted) is one cell, 0. The rows of a more frequent one are
+    dealt to blocks by hash, and each two blocks are a cell, as are the pairs
+    within one: so no task holds more than two blocks, and each pair of rows is
+    in one cell. Side is 0 in a cell of one block, 1 and 2 in one of two.
+    """
+    hot = tokens.groupBy("token").count().where(F.col("count") > most).select("token", F.ceil(F.col("count") / most).cast("long").alias("blocks"))
+    hot = materialize(hot, "hot-tokens")
+    n = hot.count()
+    if not n:
+        return rows.withColumns({"cell": F.lit(0).cast("long"), "side": F.lit(0).cast("long")})
+    placed = rows.join(F.broadcast(hot) if n <= broadcast_rows else hot, "token", "left")
+    block, other = F.pmod(F.xxhash64(F.lit(23), "uid"), F.col("blocks")), F.col("other")
+    dealt = placed.withColumn("block", block).withColumn(
+        "other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     )
+    cell = F.least("block", other) * F.col("blocks") + F.greatest(F.col("block"), other)
+    side = F.when(F.col("block") < other, 1).when(F.col("block") > other, 2).otherwise(0)
+    zero = F.lit(0).cast("long")
+    return dealt.select(*rows.columns, F.coalesce(cell, zero).alias("cell"), F.when(F.col("blocks").isNull(), zero).otherwise(side.cast("long")).alias("side"))
 
 
 def cross_pairs(rows: DataFrame, at: Threshold) -> DataFrame:
     """Pairs of different components that meet in a prefix shingle, one row for each such shingle.
 
-    Rows (token, uid, comp, n, matches, pivot, dist, bitmap) come sorted by
-    token; a token's rows are paired in blocks. Rows with matches of 0 are those
+    Rows (token, cell, side, uid, comp, n, matches, pivot, dist, bitmap) come
+    sorted by token and cell; a cell's rows are paired in blocks, in a cell of
+    two sides across these. Rows with matches of 0 are those
     of differences: they pair within their pivot, the others across pivots.
     A bit that one bitmap has and the other lacks is a difference not in
     common, so bitmaps bound the differences in common from above; pairs whose
     bound is under what a link needs are no candidates.
     """
 
-    def pairs_of(uid, comp, n, matches, pivot, dist, *maps) -> Iterator[pa.RecordBatch]:
+    def pairs_of(side, uid, comp, n, matches, pivot, dist, *maps) -> Iterator[pa.RecordBatch]:
         values, counts = np.unique(comp, return_counts=True)
         if len(values) < 2:
             return
         main = values[np.argmax(counts)]
         order = np.concatenate([np.flatnonzero(comp == main), np.flatnonzero(comp != main)])
-        uid, comp, n, matches, pivot, dist = (c[order] for c in (uid, comp, n, matches, pivot, dist))
+        side, uid, comp, n, matches, pivot, dist = (c[order] for c in (side, uid, comp, n, matches, pivot, dist))
         bits = np.stack([c[order] for c in maps], axis=1)
         m, total = int(np.sum(comp != main)), len(uid)
         within = matches[0] == 0
+        two_sided = side[0] > 0
         step = max(1, 500_000 // total)
         for lo in range(total - m, total, step):
             x = np.arange(lo, min(total, lo + step))
             y = np.arange(x[-1])
             ok = (y[None, :] < x[:, None]) & (comp[y][None, :] != comp[x][:, None])
+            if two_sided:
+                ok &= side[y][None, :] != side[x][:, None]
             nx, ny = n[x][:, None], n[y][None, :]
             ok &= at.den * np.minimum(nx, ny) >= at.num * np.maximum(nx, ny)
             same = pivot[y][None, :] == pivot[x][:, None]
@@ -361,24 +402,24 @@ def cross_pairs(rows: DataFrame, at: Threshold) -> DataFrame:
             cols = [np.asarray(c).astype(np.int64) for c in batch.columns]
             if held:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-            token = cols[0]
+            token, cell = cols[:2]
             if not len(token):
                 continue
-            heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            heads = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])]))
             ends = np.append(heads[1:], len(token))
             many = (ends - heads > 1)[:-1]
             for lo, hi in zip(heads[:-1][many], ends[:-1][many], strict=True):
-                yield from pairs_of(*(c[lo:hi] for c in cols[1:]))
+                yield from pairs_of(*(c[lo:hi] for c in cols[2:]))
             held = [c[heads[-1] :] for c in cols]
         if held and len(held[0]) > 1:
-            yield from pairs_of(*held[1:])
+            yield from pairs_of(*held[2:])
 
-    return rows.mapInArrow(run, "a long, b long, need long")
+    return rows.mapInArrow(released(run), "a long, b long, need long")
 
 
 def link_documents(
     docs: DataFrame, width: int = 5, threshold: Threshold = Threshold(8, 10), most_matches: int = 4, sketch_bits: int = 20,
-    frequent: int = 200, broadcast_rows: int = 1_000_000,
+    frequent: int = 200, broadcast_rows: int = 1_000_000, cell_rows: int = 50_000,
 ) -> DataFrame:
     """Near-duplicate components of documents under word-shingle Jaccard.
 
@@ -392,8 +433,8 @@ def link_documents(
     Rows without doc_id take no part and are not returned. Rows that repeat a
     doc_id are one document, which has the links of each of them and the size
     of the largest. An empty table gives an empty one; further columns are
-    ignored. ``most_matches``, ``sketch_bits``, ``frequent`` and
-    ``broadcast_rows`` change the cost only, never the result.
+    ignored. ``most_matches``, ``sketch_bits``, ``frequent``, ``broadcast_rows``
+    and ``cell_rows`` change the cost only, never the result.
     """
     require(docs, "doc_id", "text")
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -433,20 +474,24 @@ def link_documents(
     own = single.join(popular, "a").withColumn("r", F.row_number().over(choice)).where("r = 1").select("a", "b")
     own = materialize(own, "own-pivot")
     chosen = measured.where("close").join(own, ["a", "b"], "left_semi").select(F.col("b").alias("uid"), F.col("a").alias("pivot"), "n", "delta")
-    differences = difference_prefixes(chosen, sketch, threshold, frequent)
+    differences = materialize(difference_prefixes(chosen, sketch, threshold, frequent), "differences")
     comp_of = comps.select(F.col("node").alias("uid"), "comp")
     nothing = F.lit(-1).cast("long")
     placed = (
         reps.select(F.col("doc_id").alias("uid"), F.col("n").cast("long").alias("n"), F.col("matches").cast("long").alias("matches"), "prefix")
         .join(own.select(F.col("b").alias("uid"), F.col("a").alias("pivot")), "uid", "left")
-        .select("uid", "n", "matches", F.coalesce("pivot", "uid").alias("pivot"), nothing.alias("dist"), *[nothing.alias(m) for m in MAPS], "prefix")
+        .select(
+            "uid", "n", "matches", F.coalesce("pivot", "uid").alias("pivot"), nothing.alias("dist"),
+            *[nothing.alias(m) for m in MAPS], "prefix",
+        )
         .unionByName(differences.select("uid", "n", F.lit(0).cast("long").alias("matches"), "pivot", "dist", *MAPS, "prefix"))
         .join(comp_of, "uid", "left")
         .select(F.explode("prefix").alias("token"), "uid", F.coalesce("comp", "uid").alias("comp"), "n", "matches", "pivot", "dist", *MAPS)
     )
     # Pairs across the stars' components.
-    dealt = placed.repartition("token").sortWithinPartitions("token")
-    counted = cross_pairs(dealt, threshold).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
+    tokens = reps.select(F.explode("prefix").alias("token")).unionByName(differences.select(F.explode("prefix").alias("token")))
+    celled = in_cells(placed, tokens, cell_rows, broadcast_rows).select("token", "cell", "side", *placed.columns[1:])
+    counted = cross_pairs(celled.repartition("token", "cell").sortWithinPartitions("token", "cell"), threshold).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
     pairs = materialize(counted.where(F.col("shared") >= F.col("need")).select("a", "b", "shared"), "prefix-pairs")
     # One partner of each class first, the one with most prefix shingles in common: these links join most components.
     best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
@@ -474,4 +519,5 @@ def one_of_each(docs: DataFrame, width: int = 5, threshold: Threshold = Threshol
     doc_id all stay.
     """
     linked = link_documents(docs, width, threshold).where(F.col("doc_id") != F.col("component_id"))
-    return docs.join(linked.select(F.col("doc_id").alias("__copy")), F.col("doc_id") == F.col("__copy"), "left_anti")
+    copy = fresh_name(docs, "copy")
+    return docs.join(linked.select(F.col("doc_id").alias(copy)), F.col("doc_id") == F.col(copy), "left_anti")

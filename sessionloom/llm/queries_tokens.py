@@ -7,10 +7,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import KNOWN, decode_tokens, encode_tokens
+from .bpe import KNOWN, encode_tokens
 
-#: The pattern of the rank file below (the vocabulary package names the same one).
-PATTERN = KNOWN
+try:  # the pattern of the rank file below
+    from public_tokenizers import PATTERN
+except ModuleNotFoundError as missing:  # only the files are here, in SESSIONLOOM_TOKENIZERS
+    if missing.name != "public_tokenizers":
+        raise
+    PATTERN = KNOWN
 
 
 def rank_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
@@ -24,9 +28,7 @@ def rank_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
-    encoded = encode_tokens(docs.select("doc_id", "text"), path, pattern)
-    decoded = decode_tokens(encoded, path, pattern)
-    return decoded.select(
+    return encode_tokens(docs, path, pattern, keep=["doc_id"], decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import require
+from .columns import fresh_name, require
+from .memory import release, released
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 #: Buckets of the hashed features.
 BUCKETS = 1 << 22
 #: A word gives itself and its beginnings of these lengths.
 BEGINNINGS = (4, 5)
-MEMO = 400_000
+#: Words of a worker's memo.
+MEMO = 100_000
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -79,7 +81,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit_cumulative_link(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.05):
+@dataclass(frozen=True)
+class SparseRows:
+    """A sparse matrix as triples."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    shape: tuple[int, int]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=self.value * w[self.column], minlength=self.shape[0])
+
+    def transposed_times(self, z: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, weights=self.value * z[self.row], minlength=self.shape[1])
+
+
+def fit_cumulative_link(x: SparseRows, y: np.ndarray, grades: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.05):
     """Weights and ascending thresholds by Adam on the exact likelihood."""
     n, v = x.shape
     w = np.zeros(v)
@@ -92,7 +110,7 @@ def fit_cumulative_link(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1
         w = p[:v]
         gaps = np.exp(p[v + 1 :])
         b = p[v] + np.concatenate([[0.0], np.cumsum(gaps)])
-        z = (x @ w.astype(x.dtype)).astype(np.float64)
+        z = x.times(w)
         ge = np.column_stack([np.ones(n), *[_sigmoid(z - bk) for bk in b], np.zeros(n)])
         prob = np.maximum(ge[np.arange(n), y] - ge[np.arange(n), y + 1], 1e-12)
         slope = ge * (1 - ge)  # of P(grade >= k) in z
@@ -101,7 +119,7 @@ def fit_cumulative_link(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1
         for k in range(1, grades + 1):
             d = np.where(y == k, slope[:, k], 0) - np.where(y + 1 == k, slope[:, k], 0)
             db[k - 1] = np.sum(d / prob) / n
-        grad = np.concatenate([x.T @ dz.astype(x.dtype) + l2 * w, [db.sum()], [db[k:].sum() * gaps[k - 1] for k in range(1, grades)]])
+        grad = np.concatenate([x.transposed_times(dz) + l2 * w, [db.sum()], [db[k:].sum() * gaps[k - 1] for k in range(1, grades)]])
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
         p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
     return p[:v], p[v] + np.concatenate([[0.0], np.cumsum(np.exp(p[v + 1 :]))])
@@ -138,7 +156,7 @@ def fit_toxicity(
                 names=["doc_id", "toxic", "ids", "counts"],
             )
 
-    table = rows.mapInArrow(featurize, "doc_id long, toxic int, ids array<int>, counts array<int>").toArrow().sort_by("doc_id")
+    table = rows.mapInArrow(released(featurize), "doc_id long, toxic int, ids array<int>, counts array<int>").toArrow().sort_by("doc_id")
     toxic = table["toxic"].to_numpy() > 0
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0:
@@ -158,8 +176,7 @@ def fit_toxicity(
     place = np.full(len(names), -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
     used = place[ids] >= 0
-    x = np.zeros((len(toxic), len(chosen)), dtype=np.float32)
-    x[row[used], place[ids[used]]] = np.log1p(counts[used])
+    x = SparseRows(row[used], place[ids[used]], np.log1p(counts[used]), (len(toxic), len(chosen)))
     # Marks of toxicity: in a fiftieth of the toxic rows, at most a hundredth of that share of the clean ones.
     marks = (df1 >= max(2, n1 / 50)) & ((df0 + 0.5) / (n0 + 1) < 0.01 * df1 / n1 + 0.5 / (n0 + 1))
     marked = marks[ids]
@@ -182,37 +199,51 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, reject: float = 0.35) -
     Every row gives one row, an empty table an empty one.
     """
     require(docs, "text")
-    added = ("expected_severity", "grade", "toxic")
-    docs = docs.drop(*added)
-    at = docs.columns.index("text")
+    return _with_scores(docs, model, reject, "text")
+
+
+def _with_scores(docs: DataFrame, model: OrdinalModel, reject: float, text: str) -> DataFrame:
+    """Only the texts go through Python; the other columns wait in the JVM."""
     schema = T.StructType(
-        [*docs.schema.fields, T.StructField("expected_severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())]
+        [T.StructField("expected_severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())]
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = _Memo({f: i for i, f in enumerate(model.features)})
-        for batch in batches:
-            out = []
-            for x in batch.column(at):
-                found = count_features(x.as_py(), memo)
-                out.append(model.exceedance(sum(model.weights[i] * float(np.log1p(n)) for i, n in sorted(found.items()))))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns,
-                    pa.array([round(sum(p), 6) for p in out], pa.float64()),
-                    pa.array([sum(q >= 0.5 for q in p) for p in out], pa.int32()),
-                    pa.array([p[0] >= reject for p in out], pa.bool_()),
-                ],
-                names=[*batch.schema.names, *added],
-            )
-
-    return docs.mapInArrow(run, schema)
+        weights, step = np.array(model.weights), 1 << 10
+        try:
+            for batch in texts:
+                parts = []
+                for lo in range(0, max(1, len(batch)), step):
+                    out = []
+                    for x in batch.slice(lo, step):
+                        found = count_features(x.as_py(), memo)
+                        at = np.array(sorted(found), dtype=np.int64)
+                        out.append(model.exceedance(float(weights[at] @ np.log1p([found[i] for i in at.tolist()])) if found else 0.0))
+                    parts.append(
+                        pa.StructArray.from_arrays(
+                            [
+                                pa.array([round(sum(p), 6) for p in out], pa.float64()), pa.array([sum(q >= 0.5 for q in p) for p in out], pa.int32()),
+                                pa.array([p[0] >= reject for p in out], pa.bool_()),
+                            ],
+                            names=schema.names,
+                        )
+                    )
+                yield pa.concat_arrays(parts)
+        finally:
+            memo.clear()
+            release()
+
+    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    score = F.arrow_udf(run, schema)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in schema.names]
+    inner = fresh_name(docs, "score")
+    return docs.select(*kept, score(F.col(text)).alias(inner)).select(*kept, *[F.col(f"{inner}.{c}").alias(c) for c in schema.names])
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the fitted model calls toxic."""
     model = fit_toxicity(docs, labels)
-    scored = score_toxicity(docs.withColumns({f"__{c}": F.col(c) for c in ("expected_severity", "grade", "toxic") if c in docs.columns}), model)
-    return scored.where(~F.col("toxic")).select(
-        *[F.col(f"__{c}").alias(c) if c in ("expected_severity", "grade", "toxic") else F.col(f"`{c}`") for c in docs.columns]
-    )
+    names = {c: fresh_name(docs, c) for c in docs.columns if c in ("expected_severity", "grade", "toxic")}
+    scored = score_toxicity(docs.withColumnsRenamed(names), model).where(~F.col("toxic"))
+    return scored.select(*[F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns])
