@@ -51,8 +51,8 @@ MULTIPLIERS = _RNG.integers(1, 2**63, 24, dtype=np.uint64) * np.uint64(2) + np.u
 KEYS = 8
 #: MinHash keys that a class shares with a pivot to be compared with it.
 SHARED_KEYS = 3
-#: Words of the bitmap of a set of differences, and their columns.
-MAP_WORDS = 4
+#: Words of the bitmap of a set or of a set of differences, and their columns. All -1: no bitmap.
+MAP_WORDS = 8
 MAPS = [f"map{w}" for w in range(MAP_WORDS)]
 CHUNK = 1 << 20
 
@@ -194,8 +194,19 @@ def frequency_sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     return out
 
 
+def parity_maps(flat: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Bitmaps of the sets that begin at ``heads``: a shingle flips one bit.
+
+    Of two bitmaps, the bits that differ are at most as many as the shingles
+    that only one of the sets has.
+    """
+    bit = (flat.view(np.uint64) >> np.uint64(20)) % np.uint64(64 * MAP_WORDS)
+    word, flips = bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63))
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == w, flips, np.uint64(0)), heads) for w in range(MAP_WORDS)])
+
+
 def document_sets(docs: DataFrame, sketch: np.ndarray, width: int, at: Threshold, most_matches: int, frequent: int) -> DataFrame:
-    """doc_id, n, s1, s2 (the set's identity), keys (MinHash), matches (its l) and prefix of every document."""
+    """doc_id, n, s1, s2 (the set's identity), keys (MinHash), a bitmap (MAPS), matches (its l) and prefix of every document."""
     mask = len(sketch) - 1
     usual = int(sketch.mean())
     shared = docs.sparkSession.sparkContext.broadcast(np.maximum(sketch - usual, 0).astype(np.int32))
@@ -210,10 +221,11 @@ def document_sets(docs: DataFrame, sketch: np.ndarray, width: int, at: Threshold
                 flat = np.concatenate(sets)
                 heads = np.concatenate([[0], np.cumsum(n)])[:-1]
                 some = n > 0
-                s = np.zeros((2 + KEYS, len(sets)), dtype=np.uint64)
+                s, maps = (np.zeros((rows, len(sets)), dtype=np.uint64) for rows in (2 + KEYS, MAP_WORDS))
                 if some.any():
                     for i in range(2 + KEYS):
                         s[i, some] = (np.add if i < 2 else np.minimum).reduceat(mix(flat.view(np.uint64) ^ MULTIPLIERS[8 + i], i), heads[some])
+                    maps[:, some] = parity_maps(flat, heads[some])
                 costs = over[flat & mask]
                 prefixes, matches = [], np.ones(len(sets), dtype=np.int32)
                 for i, own in enumerate(sets):
@@ -237,14 +249,15 @@ def document_sets(docs: DataFrame, sketch: np.ndarray, width: int, at: Threshold
                     [
                         ids, pa.array(n), pa.array(signed[0]), pa.array(signed[1]),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * KEYS), pa.array(keys)),
-                        pa.array(matches), pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate(prefixes))),
+                        *map(pa.array, maps.view(np.int64)), pa.array(matches),
+                        pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate(prefixes))),
                     ],
-                    names=["doc_id", "n", "s1", "s2", "keys", "matches", "prefix"],
+                    names=["doc_id", "n", "s1", "s2", "keys", *MAPS, "matches", "prefix"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(
         released(run),
-        "doc_id long, n int, s1 long, s2 long, keys array<long>, matches int, prefix array<long>",
+        f"doc_id long, n int, s1 long, s2 long, keys array<long>, {', '.join(f'{m} long' for m in MAPS)}, matches int, prefix array<long>",
     )
 
 
@@ -355,9 +368,11 @@ def cross_pairs(rows: DataFrame, at: Threshold) -> DataFrame:
     sorted by token and cell; a cell's rows are paired in blocks, in a cell of
     two sides across these. Rows with matches of 0 are those
     of differences: they pair within their pivot, the others across pivots.
-    A bit that one bitmap has and the other lacks is a difference not in
-    common, so bitmaps bound the differences in common from above; pairs whose
-    bound is under what a link needs are no candidates.
+    Of differences, a bit that one bitmap has and the other lacks is a
+    difference not in common; of whole sets, each bit that differs is a shingle
+    not in common. So bitmaps bound from above what two sets share; pairs whose
+    bound is under what a link needs are no candidates. A row whose bitmap is
+    all -1 has none and is not bounded.
     """
 
     def pairs_of(side, uid, comp, n, matches, pivot, dist, *maps) -> Iterator[pa.RecordBatch]:
@@ -368,6 +383,7 @@ def cross_pairs(rows: DataFrame, at: Threshold) -> DataFrame:
         order = np.concatenate([np.flatnonzero(comp == main), np.flatnonzero(comp != main)])
         side, uid, comp, n, matches, pivot, dist = (c[order] for c in (side, uid, comp, n, matches, pivot, dist))
         bits = np.stack([c[order] for c in maps], axis=1)
+        mapped = (bits != -1).any(axis=1)
         m, total = int(np.sum(comp != main)), len(uid)
         within = matches[0] == 0
         two_sided = side[0] > 0
@@ -391,6 +407,11 @@ def cross_pairs(rows: DataFrame, at: Threshold) -> DataFrame:
                 most = np.minimum(dx - lacking(bx, by), dy - lacking(by, bx))
                 keep = 2 * (at.den + at.num) * most >= (at.den + at.num) * (dx + dy) - (at.den - at.num) * (n[x[i]] + n[y[j]])
                 i, j = i[keep], j[keep]
+            elif len(i):
+                differing = np.bitwise_count((bits[x[i]] ^ bits[y[j]]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                keep = (at.den + at.num) * differing <= (at.den - at.num) * (n[x[i]] + n[y[j]])
+                keep |= ~(mapped[x[i]] & mapped[y[j]])
+                i, j = i[keep], j[keep]
             if len(i):
                 p, q = uid[x[i]], uid[y[j]]
                 need = np.maximum(np.minimum(matches[x[i]], matches[y[j]]), 1)
@@ -477,12 +498,15 @@ def link_documents(
     differences = materialize(difference_prefixes(chosen, sketch, threshold, frequent), "differences")
     comp_of = comps.select(F.col("node").alias("uid"), "comp")
     nothing = F.lit(-1).cast("long")
+    # Classes with a pivot, and pivots, are where many sets are much alike: they carry the bitmaps of their sets.
+    with_pivot = own.select(F.col("b").alias("uid"), F.col("a").alias("pivot")).unionByName(own.select(F.col("a").alias("uid"), F.lit(None).cast("long").alias("pivot")))
+    crowd = with_pivot.groupBy("uid").agg(F.max("pivot").alias("pivot"), F.lit(True).alias("crowded"))
     placed = (
-        reps.select(F.col("doc_id").alias("uid"), F.col("n").cast("long").alias("n"), F.col("matches").cast("long").alias("matches"), "prefix")
-        .join(own.select(F.col("b").alias("uid"), F.col("a").alias("pivot")), "uid", "left")
+        reps.select(F.col("doc_id").alias("uid"), F.col("n").cast("long").alias("n"), F.col("matches").cast("long").alias("matches"), *MAPS, "prefix")
+        .join(crowd, "uid", "left")
         .select(
             "uid", "n", "matches", F.coalesce("pivot", "uid").alias("pivot"), nothing.alias("dist"),
-            *[nothing.alias(m) for m in MAPS], "prefix",
+            *[F.when(F.col("crowded"), F.col(m)).otherwise(nothing).alias(m) for m in MAPS], "prefix",
         )
         .unionByName(differences.select("uid", "n", F.lit(0).cast("long").alias("matches"), "pivot", "dist", *MAPS, "prefix"))
         .join(comp_of, "uid", "left")
