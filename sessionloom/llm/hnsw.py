@@ -19,12 +19,13 @@ import io
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .columns import require
+from .memory import released
 from .scratch import materialize
 
 
@@ -237,9 +238,25 @@ def valid_vectors(df: DataFrame) -> DataFrame:
     )
 
 
+def usual_length(rows: DataFrame) -> int:
+    """The most frequent length of the vectors, the longer of equals; 0 without rows."""
+    top = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
+    return top[0]["d"] if top else 0
+
+
+def _whole_partition(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    held = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(held) if held else None
+
+
+def _matrix(lists: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    flat = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
 def search_vectors(
     df: DataFrame, query_every: int = 20, k: int = 20, shard_rows: int = 100_000, least_shards: int = 6, degree: int = 16,
-    build_breadth: int = 80, search_breadth: int = 120, block: int = 2048,
+    build_breadth: int = 80, search_breadth: int = 120, block: int = 200_000,
 ) -> DataFrame:
     """The ``k`` nearest rows by inner product of every row whose vec_id is divisible by ``query_every``.
 
@@ -247,16 +264,20 @@ def search_vectors(
     product of the original vectors), nearest first, equal scores by smaller
     vec_id; all candidates if there are fewer than ``k``. A row is no candidate
     of its own. Vectors that are null, empty or zero, or hold null or
-    non-finite components take no part, nor do rows without vec_id. Of rows
-    that repeat a vec_id with the same vector one counts. All vectors have one
-    length. An empty table gives an empty result; further columns are ignored.
+    non-finite components take no part, nor do rows without vec_id, nor vectors
+    of another length than the most frequent one (the longer of two as
+    frequent). Of rows that repeat a vec_id with the same vector one counts. An
+    empty table gives an empty result; further columns are ignored.
 
     Every row is indexed. Of the rows of an equal vector the k + 1 smallest
     vec_ids can be among a query's nearest; they stand for the node. The number
-    of shards is ``least_shards`` or what holds ``shard_rows`` nodes each.
+    of shards is ``least_shards`` or what holds ``shard_rows`` nodes each. A
+    shard's index goes to one task for each ``block`` queries; the queries of a
+    task stream past it.
     """
     require(df, "vec_id", "embedding")
-    rows = valid_vectors(df).distinct()
+    rows = valid_vectors(df)
+    rows = rows.where(F.size("embedding") == usual_length(rows)).distinct()
     by_vector = W.partitionBy("embedding").orderBy("vec_id")
     ranked = rows.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
     nodes = ranked.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
@@ -265,55 +286,68 @@ def search_vectors(
         rows.where(F.col("vec_id") % query_every == 0).select("vec_id", F.xxhash64("embedding").alias("node"), "embedding"), "vector-queries"
     )
     shards = max(least_shards, -(-nodes.count() // shard_rows))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(shards)).cast("int"))
-
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", kind="stable")
-        vectors = np.stack(pdf["embedding"].to_numpy())
-        graph = Graph(vectors, degree, breadth=build_breadth)
-        lens = pdf["ids"].map(len).to_numpy()
-        ids = np.concatenate(pdf["ids"].to_numpy())
-        return pd.DataFrame({
-            "shard": [key[0]], "graph": [graph.dump()], "vectors": [vectors.tobytes()], "dim": [vectors.shape[1]],
-            "ids": [ids.astype(np.int64).tobytes()], "lens": [lens.astype(np.int64).tobytes()],
-        })
-
-    index = materialize(
-        dealt.groupBy("shard").applyInPandas(build, "shard int, graph binary, vectors binary, dim int, ids binary, lens binary"), "hnsw"
-    )
-    # A query for each distinct vector, in blocks, to every shard.
-    distinct = queries.groupBy("node", "embedding").agg(F.count(F.lit(1)).alias("copies"))
+    shard_of = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(shards)).cast("int")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _whole_partition(batches)
+        if table is not None:
+            table = table.sort_by("node")
+            vectors = _matrix(table["embedding"], table.num_rows)
+            lists = table["ids"].combine_chunks()
+            graph = Graph(vectors, degree, breadth=build_breadth)
+            yield pa.RecordBatch.from_pydict({
+                "shard": pa.array([table["shard"][0].as_py()], pa.int32()), "graph": [graph.dump()], "vectors": [vectors.tobytes()],
+                "dim": pa.array([vectors.shape[1]], pa.int32()), "own": [lists.flatten().to_numpy().astype(np.int64).tobytes()],
+                "lens": [lists.value_lengths().to_numpy().astype(np.int64).tobytes()],
+            })
+
+    # A partition for each shard, however their numbers hash.
+    packed = "shard int, graph binary, vectors binary, dim int, own binary, lens binary"
+    dealt = nodes.withColumn("shard", shard_of).repartitionById(shards, "shard")
+    index = materialize(dealt.select("shard", "node", "embedding", "ids").mapInArrow(released(build), packed), "hnsw")
+    # A query for each distinct vector to every shard, behind the shard's index.
+    distinct = queries.select("node", "embedding").distinct()
     blocks = max(1, -(-queries.count() // block))
-    placed = distinct.withColumn("block", F.pmod("node", F.lit(blocks)).cast("int")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    )
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"node": [], "vec_id": [], "score": []}
-        if len(left) and len(right):
-            graph = Graph.load(right["graph"].iloc[0])
-            vectors = np.frombuffer(right["vectors"].iloc[0]).reshape(-1, int(right["dim"].iloc[0]))
-            ids = np.frombuffer(right["ids"].iloc[0], dtype=np.int64)
-            lens = np.frombuffer(right["lens"].iloc[0], dtype=np.int64)
-            starts = np.concatenate([[0], np.cumsum(lens)])
-            left = left.sort_values("node", kind="stable")
-            q_all = np.stack(left["embedding"].to_numpy())
-            for lo in range(0, len(left), 128):
-                q = q_all[lo : lo + 128]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = distinct.withColumn("block", F.pmod("node", F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
+    streamed = index.withColumn("block", every(blocks)).unionByName(asked, allowMissingColumns=True)
+    task = (F.col("shard") * blocks + F.col("block")).cast("int")
+    streamed = streamed.withColumn("task", task).repartitionById(shards * blocks, "task").sortWithinPartitions(F.col("graph").isNull(), "node")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = None
+        for batch in batches:
+            at = 0
+            if graph is None:
+                if not batch.num_rows or not batch["graph"][0].is_valid:
+                    continue  # a shard without vectors
+                at = 1  # the index comes first
+                graph = Graph.load(batch["graph"][0].as_py())
+                vectors = np.frombuffer(batch["vectors"][0].as_py()).reshape(-1, batch["dim"][0].as_py())
+                ids, lens = (np.frombuffer(batch[c][0].as_py(), dtype=np.int64) for c in ("own", "lens"))
+                starts = np.concatenate([[0], np.cumsum(lens)])
+            for lo in range(at, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                q = _matrix(part["embedding"], part.num_rows)
                 found, valid = graph.nearest(q, max(search_breadth, k + 1))
                 scores = (vectors[found] * q[:, None, :]).sum(axis=2)
-                for i, node in enumerate(left["node"].iloc[lo : lo + 128]):
+                out: list[tuple[np.ndarray, np.ndarray]] = []
+                for i in range(part.num_rows):
                     own, s = found[i][valid[i]], scores[i][valid[i]]
                     rows = np.concatenate([np.arange(starts[f], starts[f + 1]) for f in own])
                     s = np.repeat(s, lens[own])
                     best = np.lexsort((ids[rows], -s))[: k + 1]
-                    out["node"] += [node] * len(best)
-                    out["vec_id"] += ids[rows[best]].tolist()
-                    out["score"] += s[best].tolist()
-        return pd.DataFrame(out).astype({"node": "int64", "vec_id": "int64", "score": "float64"})
+                    out.append((ids[rows[best]], s[best]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(part["node"].to_numpy(), [len(x) for x, _ in out])), pa.array(np.concatenate([x for x, _ in out])),
+                        pa.array(np.concatenate([y for _, y in out])),
+                    ],
+                    names=["node", "vec_id", "score"],
+                )
 
-    found = placed.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInPandas(look, "node long, vec_id long, score double")
+    wanted = ["graph", "vectors", "dim", "own", "lens", "node", "embedding"]
+    found = streamed.select(*wanted).mapInArrow(released(look), "node long, vec_id long, score double")
     nearest = W.partitionBy("node").orderBy(F.desc("score"), "vec_id")
     merged = found.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1)
     lists = merged.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
