@@ -16,12 +16,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .columns import require
+from .memory import released
 
 # Element names of HTML by what they mean here.
 RAW = frozenset("script style noscript template iframe svg math object textarea select canvas audio video title head".split())
@@ -67,6 +69,14 @@ _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|/|=|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
+
+
+@cache
+def _end_of(name: str) -> re.Pattern[str]:
+    """The end tag of an element of RAW, by its whole name."""
+    return re.compile(rf"</{name}(?![a-z0-9:-])", re.I)
+
+
 #: How an element is left out: as a wrapper that gives way to the page's text, by its meaning, or hidden.
 WRAPPER, MEANT, HIDDEN = 1, 2, 3
 
@@ -89,7 +99,7 @@ class _Scanner:
         self.page = page
         self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.link = 0  # characters within links
+        self.linked: list[str] = []  # the text within links
         self.links = 0  # open <a>
         self.outer = [0]  # the wrapper around each left-out wrapper
         self.boxes = 0
@@ -102,14 +112,15 @@ class _Scanner:
             self.parts.clear()
             _, out, article, main, box, table = self.open[-1]
             if text and out >= 0:
-                self.lines.append(Line(text, max(0, len(text) - self.link), article, main, out, box, table))
-        self.link = 0
+                linked = " ".join(html.unescape("".join(self.linked)).split())
+                self.lines.append(Line(text, max(0, len(text) - len(linked)), article, main, out, box, table))
+        self.linked.clear()
 
     def text(self, piece: str) -> None:
         if piece and self.open[-1][1] >= 0:
             self.parts.append(piece)
             if self.links:
-                self.link += len(piece)
+                self.linked.append(piece)
 
     def start(self, name: str, attributes: str) -> None:
         if name == "br":
@@ -117,6 +128,7 @@ class _Scanner:
             return
         if name == "a":
             self.links = 1
+            self.linked.append(" ")
         if name in VOID or name in LEAF:
             if name in BLOCK:
                 self.flush()
@@ -206,10 +218,11 @@ class _Scanner:
 
     def run(self) -> list[Line]:
         page, at, size = self.page, 0, len(self.page)
-        low: str | None = None
+        last = page.rfind(">")  # what comes after it holds no tag
+        unclosed: set[str] = set()  # elements without an end tag from here on
         while at < size:
             lt = page.find("<", at)
-            if lt < 0:
+            if lt < 0 or lt > last and not page.startswith(("<!", "<?"), lt):
                 self.text(page[at:])
                 break
             self.text(page[at:lt])
@@ -232,15 +245,14 @@ class _Scanner:
                 self.end(name)
             elif name in RAW and not tag[3].endswith("/"):
                 self.flush()
-                if low is None:
-                    low = page.lower() if len(page.lower()) == size else page
-                close = low.find(f"</{name}", at)
-                if close < 0:
+                close = None if name in unclosed else _end_of(name).search(page, at)
+                if close is None:
+                    unclosed.add(name)
                     # An open <head> and the like must not swallow the page; opaque content does.
                     at = size if name in OPAQUE else at
                 else:
-                    close = page.find(">", close)
-                    at = size if close < 0 else close + 1
+                    past = page.find(">", close.end())
+                    at = size if past < 0 else past + 1
             else:
                 self.start(name, tag[3])
         self.flush()
@@ -325,4 +337,4 @@ def extract_pages(pages: DataFrame, html_column: str = "html", window: int = 3,
                 names=[*keep, "text", "n_chars"],
             )
 
-    return pages.select(*[f"`{c}`" for c in keep], html_column).mapInArrow(run, schema)
+    return pages.select(*[f"`{c}`" for c in keep], html_column).mapInArrow(released(run), schema)

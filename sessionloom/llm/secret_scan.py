@@ -98,6 +98,7 @@ def scan_secrets(
     example_owners: int = 3,
     live_chars: int = 16,
     example_repos: int = 10,
+    broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """Base spans of every whole text, and spans of values classed by ownership.
 
@@ -128,11 +129,13 @@ def scan_secrets(
     owners = ownership(hashed.select("h1", "h2", "repo", "owner"))
     looks_live = (F.char_length(value) >= live_chars) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     copied = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
-    kind = F.when(copied, "example").when((F.col("n_owners") == 1) & looks_live, "live")
+    kind = F.when(copied, "example").when((F.col("n_owners") == 1) & F.col("live"), "live")
+    # One row for each classed value, written first: a join with a written table is broadcast or split at hot values.
+    named_kinds = hashed.select("h1", "h2", looks_live.alias("live")).distinct().join(owners, ["h1", "h2"])
+    kinds = materialize(named_kinds.select("h1", "h2", kind.alias("kind")).where(F.col("kind").isNotNull()), "secret-kinds")
+    kinds = F.broadcast(kinds) if kinds.count() <= broadcast_rows else kinds
     classed = (
-        hashed.join(owners, ["h1", "h2"])
-        .withColumn("kind", kind)
-        .where(F.col("kind").isNotNull())
+        hashed.join(kinds, ["h1", "h2"])
         .select(
             "row",
             F.struct(

@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import math
+import re
 
 import numpy as np
 import pytest
@@ -12,7 +14,7 @@ from sessionloom.llm.chat_format import ESCAPES, escape, format_chats, read_wind
 from sessionloom.llm.hnsw import Graph, search_vectors
 from sessionloom.llm.html_extract import extract, extract_pages
 from sessionloom.llm.queries_chat import chat_digests
-from sessionloom.llm.toxicity import OrdinalModel, fit_cumulative_link, fit_toxicity, keep_clean, score_toxicity
+from sessionloom.llm.toxicity import OrdinalModel, SparseRows, fit_cumulative_link, fit_toxicity, keep_clean, score_toxicity, word_features
 
 CHAT = "conv_id long, turn long, role string, text string, window string"
 
@@ -248,12 +250,31 @@ def test_toxicity_edges(spark):
     assert score_toxicity(odd, model).count() == 4 and score_toxicity(odd.limit(0), model).count() == 0
 
 
+def test_scores_against_brute_force(spark):
+    docs, labels, _ = labelled(spark, 120)
+    model = fit_toxicity(docs, labels)
+    weight = dict(zip(model.features, model.weights, strict=True))
+    odd = spark.createDataFrame([(9000, None, "mine"), (9001, "", "mine"), (9002, "idiot " * 3000 + "Ünknown wörds 42", "mine")], "doc_id long, text string, toxic string")
+    table = docs.select("doc_id", "text").withColumn("toxic", F.lit("mine")).unionByName(odd)
+    scored = score_toxicity(table, model).collect()
+    assert sorted(r.doc_id for r in scored) == sorted(r.doc_id for r in table.collect())
+    for r in scored:
+        counts = collections.Counter(f for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()) for f in word_features(w))
+        z = sum(weight[f] * math.log1p(n) for f, n in counts.items() if f in weight)
+        above = [1 / (1 + math.exp(b - z)) for b in model.thresholds]
+        assert r.expected_severity == pytest.approx(sum(above), abs=2e-6)
+        assert r.grade == sum(p >= 0.5 for p in above) and r.toxic == (above[0] >= 0.35)
+    kept = keep_clean(table, labels)
+    assert kept.columns == table.columns and {r.toxic for r in kept.collect()} == {"mine"}
+
+
 def test_cumulative_link_recovers_the_order():
     rng = np.random.default_rng(13)
     x = rng.normal(size=(2000, 3))
     z = x @ np.array([2.0, -1.0, 0.0])
     y = (z[:, None] + rng.logistic(size=(2000, 1)) > np.array([-1.0, 1.0, 3.0])).sum(axis=1)
-    w, b = fit_cumulative_link(x, y, 3, steps=600)
+    rows, columns = np.divmod(np.arange(x.size), 3)
+    w, b = fit_cumulative_link(SparseRows(rows, columns, x.ravel(), x.shape), y, 3, steps=600)
     assert np.allclose(w, [2, -1, 0], atol=0.35) and np.allclose(b, [-1, 1, 3], atol=0.4)
 
 
@@ -281,6 +302,71 @@ def test_pipeline_stages_and_columns(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(left)
 
 
+def test_pipeline_without_rows_and_with_odd_ones(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    odd = [(None, None, None, None, None, "a"), (None, "no id here at all", "x", None, 3, None), (1, "twice the same", "x", "s", 14, "b"), (1, "twice the same", "x", "s", 14, "b"), (2, "", "x", "s", 0, "c")]
+    long_text = " ".join(f"w{k % 9973}" for k in range(40_000))
+    for name, rows, n in (("none", [], 0), ("odd", [*odd, (3, long_text, "x", "s", 1, "d")], 6)):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, d).collect()
+        assert len(out) == n
+        assert not [r for r in out if r.n_tokens != len(r.ids)] and (n == 0 or max(r.n_tokens for r in out) > 40_000)
+
+
+def test_vectors_of_another_length_take_no_part(spark):
+    few = spark.createDataFrame([(i, [1.0, float(i)], "x") for i in range(5)] + [(20, [9.0], "x"), (21, [9.0, 9.0, 9.0], "x")], VEC)
+    assert {r.query_id for r in search_vectors(few).collect()} == {0} and 21 not in {r.vec_id for r in search_vectors(few, block=1).collect()}
+
+
+def test_queries_in_several_blocks(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)], "x") for i in range(400)], VEC)
+    rows = lambda **more: sorted(map(tuple, search_vectors(df, query_every=2, k=5, **more).collect()))
+    assert rows() == rows(block=40, least_shards=6)
+
+
+def line_blocks(page):
+    """The windowed line weights, by definition, over paragraphs without markup inside."""
+    lines = [" ".join(x.split()) for x in re.findall(r"<p>(.*?)</p>", page, re.S)]
+    lines = [x for x in lines if x]
+    return [len(x) for x in lines], lines
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_regions_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    page = "".join(f"<div><p>{'x' * int(n)}</p></div>" if n else "<div><p><a href=q>linked words here</a></p></div>" for n in rng.choice([0, 0, 0, 4, 12, 30, 90], 40))
+    lines = re.findall(r"<p>(.*?)</p>", page)
+    weights = [0 if x.startswith("<a") else len(x) for x in lines]
+    sums = [sum(weights[i : i + 3]) for i in range(len(lines))]
+    threshold = min(60, max(sums))
+    kept = set()
+    for i, w in enumerate(weights):
+        if w and sums[i] >= threshold > 0:
+            stop = next((k for k in range(i, len(lines)) if not sums[k]), len(lines))
+            begin = i
+            while begin and weights[begin - 1]:
+                begin -= 1
+            kept |= set(range(begin, stop))
+    want = [re.sub("<[^>]*>", "", x) for i, x in enumerate(lines) if i in kept]
+    assert extract(page).split("\n") == want
+
+
+def test_markup_that_never_closes_is_read_in_linear_time():
+    import time
+
+    for piece, n in (("<svg>", 40_000), ("<a title='", 16_000), ("<head>", 20_000), ("<div class='", 16_000)):
+        began = time.perf_counter()
+        extract(f"<p>{'words of a story ' * 9}</p>" + piece * n)
+        assert time.perf_counter() - began < 2, piece
+    story = "words of a story " * 9
+    assert extract(f"<head><meta x><body><header>Top</header><article><p>{story}</p></article></body>") == story.strip()
+    assert extract(f"<body><p><a href=x>{' ' * 500}{story}</a></p><p>{story}</p>").count("\n") == 1
+
+
 @pytest.fixture(autouse=True)
 def _quiet(spark):
     spark.catalog.clearCache()

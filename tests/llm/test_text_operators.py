@@ -19,7 +19,7 @@ from sessionloom.llm.line_dedup import LineRuns, dedup_lines, line_table
 from sessionloom.llm.ngram_join import Threshold, link_documents, one_of_each, shingle_sets
 from sessionloom.llm.queries_tokens import rank_path
 from sessionloom.llm.secret_scan import scan_secrets
-from sessionloom.llm.shard_shuffle import external_shuffle
+from sessionloom.llm.shard_shuffle import external_shuffle, scatter
 
 DOC = "doc_id long, text string, source string, n_lines string, shard string, h1 string"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -140,7 +140,13 @@ def near_rows():
 def test_near_copies_against_brute_force(spark, width, num, den):
     rows = near_rows()
     got = link_documents(docs(spark, rows), width, Threshold(num, den), sketch_bits=10, frequent=5)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, width, num, den)
+    want = brute_components(rows, width, num, den)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+    if width != 3:
+        return
+    # Frequent tokens in cells of a few rows.
+    got = link_documents(docs(spark, rows), width, Threshold(num, den), sketch_bits=10, frequent=5, cell_rows=3, broadcast_rows=0)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
 
 
 def test_near_copies_edges(spark, empty):
@@ -149,6 +155,12 @@ def test_near_copies_edges(spark, empty):
     rows = [(5, text), (3, text), (3, text), (None, text), (9, "a b c d e f")]
     got = link_documents(docs(spark, rows), sketch_bits=8)
     assert {r.doc_id: r.component_id for r in got.collect()} == {3: 3, 5: 3, 9: 9}
+    clash = docs(spark, rows).withColumns({"_copy": F.lit("a"), "__copy": F.lit("b")})
+    assert one_of_each(clash).columns == clash.columns and one_of_each(clash.limit(0)).count() == 0
+    leak = clash.withColumnsRenamed({"_copy": "_leak", "__copy": "__leak"})
+    assert decontaminate(leak, leak.select(F.col("doc_id").alias("item_id"), "text")).columns == leak.columns
+    lines = leak.withColumnsRenamed({"_leak": "_line_hash", "__leak": "_line_drops"})
+    assert {r["_line_hash"] for r in dedup_lines(lines, min_chars=3).collect()} == {"a"}
     kept = one_of_each(docs(spark, rows))
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["3", "3", "9", "None"]
     assert kept.columns == DOC.replace(" long", "").replace(" string", "").split(", ")
@@ -157,6 +169,10 @@ def test_near_copies_edges(spark, empty):
 def test_shingles_do_not_depend_on_the_chunk():
     texts = [b"a b c d", b"", b"A  b\tc", b"x", "é ü ß ö".encode()]
     alone = [shingle_sets([t], 3)[0].tolist() for t in texts]
+    long = b" ".join([b"word%d" % (k % 70_001) for k in range(400_000)] + [b"x" * (3 << 20)])  # blocks, and a word longer than one
+    parts = long.split(b" ")
+    some = [b" ".join(parts[k : k + 3]) for k in (0, 5, 123_456, 399_998)]
+    assert {int(shingle_sets([t], 3)[0][0]) for t in some} <= set(shingle_sets([long], 3)[0].tolist())
     assert [s.tolist() for s in shingle_sets(texts, 3)] == alone
     assert len(alone[0]) == 2 and alone[1] == [] and alone[2] == [x for x in alone[0] if x in alone[2]] and len(alone[3]) == 1
 
@@ -188,12 +204,13 @@ def test_decontamination_against_brute_force(spark, empty):
     assert shuffled == {x[:2] for x in want}
     assert {r.doc_id for r in decontaminate(docs(spark, rows), benchmark).collect()} == {i for i, _ in rows} - {x[0] for x in want}
     assert contaminated(empty, benchmark).count() == 0 and contaminated(docs(spark, rows), benchmark.limit(0)).count() == 0
-    assert needed_hits(63, 16, 0.8) == 4 and needed_hits(15, 16, 0.8) == 12
+    assert needed_hits(63, 16, 0.8) == 4 and needed_hits(15, 16, 0.8) == 12 and needed_hits(8, 16, 0.8) == 7 and needed_hits(400, 16, 0.8) == 4
 
 
 def test_partial_copies_of_items_of_every_size(spark):
     items, singles = [], {}
-    for n in range(1, 80):
+    sizes = [*range(1, 131), 400]
+    for n in sizes:
         own = [f"i{n}x{j}" for j in range(n + 4)]
         items.append((n, " ".join(own)))
         singles.update({" ".join(own[j : j + 5]): n for j in range(n)})
@@ -203,9 +220,9 @@ def test_partial_copies_of_items_of_every_size(spark):
         by[singles[r.text]].append(r.text)
     # What a document lacks are the smallest hashes, so the signature misses all that it can.
     held = {n: by[n][n - -(-8 * n // 10) :] for n in by}
-    rows = [(n, " | ".join(held[n])) for n in by] + [(100 + n, " | ".join(held[n][1:])) for n in by]
+    rows = [(n, " | ".join(held[n])) for n in by] + [(1000 + n, " | ".join(held[n][1:])) for n in by]
     got = {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got == {(n, n, n, -(-8 * n // 10)) for n in range(1, 80)}
+    assert got == {(n, n, n, -(-8 * n // 10)) for n in sizes}
 
 
 def reference_codec():
@@ -228,7 +245,12 @@ def test_tokens_equal_the_reference_library(spark, empty):
         assert ids[edge[i] : edge[i + 1]].tolist() == want.encode_ordinary(t), t
     rows = [(i, t) for i, t in enumerate(texts[:20])] + [(99, None), (None, "x y"), (7, "same"), (7, "same")]
     df = docs(spark, rows).withColumn("ids", F.lit("clash"))
-    out = decode_tokens(encode_tokens(df, rank_path(), KNOWN, chunk_chars=500), rank_path(), KNOWN)
+    whole = " ".join(f"wörd{k} {k}\n\n  {'x' * (k % 9)}'s" for k in range(90_000)) + "y" * 300_000
+    small = Codec(data, KNOWN, memo=1000)
+    long_ids, long_lens = small.encode(["a", whole, "b"])
+    assert long_ids.tolist() == [t for x in ("a", whole, "b") for t in want.encode_ordinary(x)] and long_lens[0] == 1
+    assert len(small.pieces) < 90_000
+    out = decode_tokens(encode_tokens(df, rank_path(), KNOWN, chunk_chars=500), rank_path())
     got = sorted((str(r.doc_id), r.ids, bytes(r.decoded)) for r in out.collect())
     assert got == sorted((str(i), want.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows)
     assert encode_tokens(empty, rank_path(), KNOWN).count() == 0
@@ -266,6 +288,17 @@ def test_sharding_is_gapless_balanced_and_repeatable(spark, empty):
     assert external_shuffle(empty).count() == 0 and external_shuffle(docs(spark, [(1, "a")])).first().slot == 0
 
 
+def test_equal_rows_are_spread_over_the_buckets(spark):
+    texts = docs(spark, [(None, f"t{i}") for i in range(2000)])
+    per = lambda df, copies: sorted(r["count"] for r in scatter(df, "doc_id", "text", 17, 50, copies, "b").groupBy("b").count().collect())
+    assert len(per(texts, 100)) == 50 and per(texts, 100)[-1] < 80
+    copies = docs(spark, [(7, "same")] * 2000)
+    assert per(copies, 5000) == [2000] and len(per(copies, 100)) == 50 and per(copies, 100)[-1] < 80
+    got = external_shuffle(copies.withColumn("_bucket", F.lit("mine")), shards=7, bucket_bytes=4000, copies=100).collect()
+    sizes = collections.Counter(r.shard for r in got)
+    assert sorted(sizes.values()) == [285] * 2 + [286] * 5 and len({(r.shard, r.slot) for r in got}) == 2000 and {r._bucket for r in got} == {"mine"}
+
+
 SECRETS = (("assign", secret_scan.ASSIGN, 2, 6), ("access", secret_scan.ACCESS, 0, 20), ("hex", "[0-9a-f]+", 0, 24))
 
 
