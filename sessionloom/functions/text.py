@@ -10,6 +10,16 @@ ALIASES = {"mic": "microphone", "potted_plant": "plant"}
 SYMMETRIC = ("co_visible_with", "visually_close_to", "overlaps_in_image")
 
 
+#: White space as a character class: what Unicode and the ASCII separators make one.
+SPACES = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def joined_words(s: Column, glue: str) -> Column:
+    """The words of a string with ``glue`` between them and none at the ends."""
+    inner = F.regexp_replace(s, SPACES, " ")
+    return F.replace(F.btrim(inner, F.lit(" ")), F.lit(" "), F.lit(glue))
+
+
 def letters(s: Column) -> Column:
     """Lower-case letters and numbers only."""
     return F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]", "")
@@ -18,9 +28,10 @@ def letters(s: Column) -> Column:
 def bigrams(s: Column) -> Column:
     """Distinct character pairs of ``letters``; a single character stands for itself."""
     t = letters(s)
-    pairs = F.transform(F.sequence(F.lit(1), F.char_length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
+    chars = F.filter(F.split(t, ""), lambda c: c != "")
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars)), lambda a, b: F.concat(a, b))
     return (
-        F.when(F.char_length(t) >= 2, F.array_distinct(pairs))
+        F.when(F.char_length(t) >= 2, F.array_distinct(F.filter(pairs, lambda p: p.isNotNull())))
         .when(F.char_length(t) == 1, F.array(t))
         .otherwise(F.array().cast("array<string>"))
     )
@@ -33,15 +44,15 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def object_key(s: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(s)), r"\s+", "_")
+    return joined_words(F.lower(s), "_")
 
 
 def evaluation_label(s: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.translate(s, "_", " ")), r"\s+", " "))
+    return joined_words(F.lower(F.translate(s, "_", " ")), " ")
 
 
 def canonical_label(s: Column) -> Column:
-    key = F.regexp_replace(F.regexp_replace(F.lower(F.trim(s)), "[-]", " "), r"\s+", "_")
+    key = joined_words(F.lower(F.translate(s, "-", " ")), "_")
     named = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
     return F.coalesce(F.element_at(named, key), key)
 
@@ -50,7 +61,7 @@ def join_texts(parts: Column) -> Column:
     """Texts end to end, with a space only between ASCII letters or digits."""
 
     def add(acc: Column, x: Column) -> Column:
-        glue = F.when(acc.rlike("[A-Za-z0-9]$") & x.rlike("^[A-Za-z0-9]"), F.lit(" ")).otherwise(F.lit(""))
+        glue = F.when(acc.rlike(r"[A-Za-z0-9]\z") & x.rlike("^[A-Za-z0-9]"), F.lit(" ")).otherwise(F.lit(""))
         return F.concat(acc, glue, x)
 
     return F.aggregate(parts, F.lit(""), add)

@@ -51,7 +51,7 @@ def bridge_views(groups: DataFrame, max_ms: int = 30_000) -> DataFrame:
         while i + 2 < len(held):
             left, mid, right = held[i : i + 3]
             one = left[0].category == mid[0].category == right[0].category
-            lasting = max(x.end_ms for x in mid) - min(x.start_ms for x in mid)
+            lasting = sum(x.end_ms - x.start_ms for x in mid)
             if one and len(mid) <= 2 and lasting <= max_ms and {x.view for x in left} & {x.view for x in right}:
                 held[i : i + 3] = [left + mid + right]
                 i = max(0, i - 2)  # further left nothing has changed
@@ -120,11 +120,13 @@ def interactions(rows: DataFrame) -> DataFrame:
     )
 
 
-#: Event types of edge predicates; the rest goes by the kind of the source.
+#: Event types of edge predicates; the rest goes by the type of the source node.
 EVENT_TYPES = {
-    "present_in": "person_seen", "speaking": "person_speaking", "contains": "object_seen", "identity_candidate": "identity_updated", "followed_by": "relation_observed",
+    "present_in": "person_seen", "contains": "object_detected", "speaking": "person_speaking", "identity_candidate": "identity_candidate",
     "expresses": "dialogue_linked", "about": "dialogue_linked", "has_intent": "dialogue_linked", "occurred_in": "dialogue_linked", "discussed_in": "dialogue_linked",
+    "followed_by": "relation_observed",
 }
+PEOPLE = ("person", "visual_identity")
 
 
 def graph_events(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -132,17 +134,22 @@ def graph_events(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``nodes``: sid, n, id, type, start_ms; ``edges``: sid, n, id, source,
     target, predicate, start_ms. Scenes come first at equal times, then edges,
-    then nodes without edges that are no scenes.
+    then nodes without edges that are no scenes. Returns sid, t, kind, type,
+    subject, object (null for nodes), ref (the edge or node) and sequence.
     """
+    none = F.lit(None).cast("string")
     linked = edges.select("sid", F.col("source").alias("id")).unionByName(edges.select("sid", F.col("target").alias("id"))).distinct()
-    scenes = nodes.where("type = 'scene'").select("sid", F.col("start_ms").alias("t"), F.lit(0).alias("kind"), "n", F.lit("scene_changed").alias("type"), F.col("id").alias("ref"))
-    alone = nodes.where("type <> 'scene'").join(linked, ["sid", "id"], "left_anti")
-    alone = alone.select("sid", F.col("start_ms").alias("t"), F.lit(2).alias("kind"), "n", F.lit("node_revealed").alias("type"), F.col("id").alias("ref"))
+    of_node = lambda df, kind, name: df.select(
+        "sid", F.col("start_ms").alias("t"), F.lit(kind).alias("kind"), "n", F.lit(name).alias("type"), F.col("id").alias("subject"), none.alias("object"), F.col("id").alias("ref")
+    )
+    scenes = of_node(nodes.where("type = 'scene'"), 0, "scene_changed")
+    alone = of_node(nodes.where("type <> 'scene'").join(linked, ["sid", "id"], "left_anti"), 2, "node_available")
     named = F.element_at(F.create_map(*[F.lit(x) for kv in EVENT_TYPES.items() for x in kv]), F.col("predicate"))
-    person = F.col("source").rlike("^(person|visual_identity):")
-    kinds = edges.select(
+    people = nodes.where(F.col("type").isin(*PEOPLE)).select("sid", F.col("id").alias("source"), F.lit(True).alias("person")).distinct()
+    kinds = edges.join(people, ["sid", "source"], "left").select(
         "sid", F.col("start_ms").alias("t"), F.lit(1).alias("kind"), "n",
-        F.coalesce(named, F.when(person, F.lit("interaction_detected")).otherwise(F.lit("relation_observed"))).alias("type"), F.col("id").alias("ref"),
+        F.coalesce(named, F.when(F.col("person"), F.lit("interaction_detected")).otherwise(F.lit("relation_observed"))).alias("type"),
+        F.col("source").alias("subject"), F.col("target").alias("object"), F.col("id").alias("ref"),
     )
     w = W.partitionBy("sid").orderBy("t", "kind", "n")
     return scenes.unionByName(kinds).unionByName(alone).withColumn("sequence", F.row_number().over(w)).drop("n")
@@ -156,6 +163,17 @@ def snapshot(events: DataFrame, at_ms: Column | int, window: int = 100) -> DataF
     return past.withColumn("n_past", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("sequence")))).where(F.col("k") <= window).drop("k")
 
 
+def revealed(events: DataFrame, at_ms: Column | int) -> DataFrame:
+    """Nodes and edges that the events up to a time have shown: sid, what (node or edge), id."""
+    at = at_ms if isinstance(at_ms, Column) else F.lit(at_ms)
+    shown = F.array(
+        F.struct(F.lit("node").alias("what"), F.col("subject").alias("id")), F.struct(F.lit("node").alias("what"), F.col("object").alias("id")),
+        F.struct(F.lit("edge").alias("what"), F.when(F.col("kind") == 1, F.col("ref")).alias("id")),
+    )
+    past = events.where(F.col("t") <= at).select("sid", F.explode(shown).alias("x"))
+    return past.select("sid", "x.what", "x.id").where("id IS NOT NULL").distinct()
+
+
 def current_scene(scenes: DataFrame, at_ms: int) -> DataFrame:
     """The last scene of each session that holds the time (at the very end, the one that ends there)."""
     last = F.max("end_ms").over(W.partitionBy("sid"))

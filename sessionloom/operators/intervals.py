@@ -70,47 +70,96 @@ def split_long(df: DataFrame, most_ms: int) -> DataFrame:
     )
 
 
+def padded_coverage(tracklets: DataFrame, keys: list[str], period_ms: int, duration: Column | int) -> DataFrame:
+    """Merged coverage of an entity: each tracklet lasts one sample longer, but not beyond the duration."""
+    limit = duration if isinstance(duration, Column) else F.lit(duration)
+    padded = tracklets.withColumn("end_ms", F.least(limit, F.col("end_ms") + period_ms)).where("end_ms > start_ms")
+    return merge_intervals(padded, keys).drop("n_merged")
+
+
+def full_coverage(shots: DataFrame, sessions: DataFrame, keys: list[str]) -> DataFrame:
+    """Shots that reach to the end of each session.
+
+    ``sessions``: keys and duration_ms. The last shot ends with the session; a
+    session without shots is one shot. Adds ``shot`` (from 1).
+    """
+    order = W.partitionBy(*keys).orderBy("start_ms", "end_ms")
+    joined = sessions.join(shots.select(*keys, "start_ms", "end_ms"), keys, "left")
+    last = F.lead("start_ms").over(order).isNull()
+    whole = joined.withColumn("end_ms", F.when(last, F.col("duration_ms")).otherwise(F.col("end_ms"))).withColumn("start_ms", F.coalesce("start_ms", F.lit(0)))
+    return whole.withColumn("shot", F.row_number().over(order)).select(*keys, "shot", "start_ms", "end_ms")
+
+
 def elementary_states(
     speech: DataFrame, coverage: DataFrame, cuts: DataFrame, keys: list[str], occlusion_max_ms: int = 1200, tolerance_ms: int = 240,
+    bucket_ms: int = 3_600_000,
 ) -> DataFrame:
     """Visibility states of speech intervals of a bound entity.
 
-    ``coverage`` has merged intervals of the entity by the same keys. A speech
-    interval is cut at the ends of the coverage inside it; a covered piece is
-    visible, a short piece at the interval's ends too; a gap of at most
-    ``occlusion_max_ms`` between two covers without a cut (both ends included)
-    is occluded; the rest is offscreen. Adds state, reason, and the piece.
+    ``coverage`` has merged intervals of the entity by the same keys. Clipped
+    to a speech interval they are its visible pieces; between two of them lies
+    a gap, which is occluded if it is at most ``occlusion_max_ms`` long and
+    holds no cut (both ends included). What is left at an end of the interval
+    is visible if at most ``tolerance_ms`` long. All else is offscreen.
+    Returns the keys, the piece, state, reason and confidence (null where
+    visible).
     """
-    base = speech.withColumn("speech_start", F.col("start_ms")).withColumn("speech_end", F.col("end_ms"))
-    inner = base.join(coverage.select(*keys, F.col("start_ms").alias("c0"), F.col("end_ms").alias("c1")), keys, "left")
-    grouped = inner.groupBy(*keys, "speech_start", "speech_end").agg(F.array_sort(F.collect_set(F.struct("c0", "c1"))).alias("cover"))
-    grouped = grouped.withColumn("cover", F.filter("cover", lambda c: c["c0"].isNotNull()))
-    inside = lambda p: F.least(F.greatest(p, F.col("speech_start")), F.col("speech_end"))
-    points = F.array_sort(
-        F.array_distinct(
-            F.concat(
-                F.array("speech_start", "speech_end"), F.transform("cover", lambda c: inside(c["c0"])), F.transform("cover", lambda c: inside(c["c1"]))
-            )
-        )
-    )
-    grouped = grouped.withColumn("points", points)
-    pieces = grouped.select(*keys, "speech_start", "speech_end", "cover", F.explode(F.expr("transform(sequence(0, greatest(size(points) - 2, 0)), i -> struct(points[i] AS s, points[i + 1] AS e))")).alias("p"))
-    pieces = pieces.select(*keys, "speech_start", "speech_end", "cover", F.col("p.s").alias("start_ms"), F.col("p.e").alias("end_ms")).where("end_ms > start_ms")
-    middle = F.expr("(start_ms + end_ms) div 2")
-    pieces = pieces.withColumns({
-        "covered": F.exists("cover", lambda c: (c["c0"] <= middle) & (middle < c["c1"])),
-        "prev_end": F.array_max(F.transform(F.filter("cover", lambda c: c["c1"] <= F.col("start_ms")), lambda c: c["c1"])),
-        "next_start": F.array_min(F.transform(F.filter("cover", lambda c: c["c0"] >= F.col("end_ms")), lambda c: c["c0"])),
-    })
-    session = keys[0]
-    marks = cuts.groupBy(session).agg(F.array_sort(F.collect_set("cut_ms")).alias("cuts"))
-    pieces = pieces.join(marks, session, "left")
-    cut_between = F.coalesce(F.exists("cuts", lambda c: c.between(F.col("prev_end"), F.col("next_start"))), F.lit(False))
-    at_edge = ((F.col("start_ms") == F.col("speech_start")) | (F.col("end_ms") == F.col("speech_end"))) & (F.col("end_ms") - F.col("start_ms") <= tolerance_ms)
-    bridged = F.col("prev_end").isNotNull() & F.col("next_start").isNotNull() & (F.col("next_start") - F.col("prev_end") <= occlusion_max_ms) & ~cut_between
-    state = F.when(F.col("covered") | at_edge, "visible").when(bridged, "occluded").otherwise("offscreen")
-    reason = F.when(F.col("covered"), "covered").when(at_edge, "timestamp_boundary_tolerance").when(bridged, "short_gap").otherwise("no_coverage")
-    return pieces.select(*keys, "start_ms", "end_ms", state.alias("state"), reason.alias("reason"))
+    own = [*keys, "speech_start", "speech_end"]
+    rows = speech.select(*keys, "start_ms", "end_ms").distinct().where("end_ms > start_ms")
+    rows = rows.withColumns({"speech_start": F.col("start_ms"), "speech_end": F.col("end_ms")})
+    seen = overlap_join(rows, coverage.select(*keys, "start_ms", "end_ms"), keys, bucket_ms)
+    seen = seen.select(*own, F.col("overlap_start").alias("start_ms"), F.col("overlap_end").alias("end_ms"))
+    order = W.partitionBy(*own).orderBy("start_ms")
+    before = seen.select(*own, F.coalesce(F.lag("end_ms").over(order), F.col("speech_start")).alias("a"), F.col("start_ms").alias("b"), F.lag("end_ms").over(order).isNotNull().alias("inner"))
+    last = seen.groupBy(*own).agg(F.max("end_ms").alias("a"))
+    after = rows.select(*own).join(last, own, "left").select(*own, F.coalesce("a", "speech_start").alias("a"), F.col("speech_end").alias("b"), F.lit(False).alias("inner"))
+    gaps = before.unionByName(after).where("b > a").withColumnsRenamed({"a": "start_ms", "b": "end_ms"})
+    length = F.col("end_ms") - F.col("start_ms")
+    short = gaps.where(F.col("inner") & (length <= occlusion_max_ms)).select(*own, "start_ms", "end_ms")
+    cut = points_within(short, cuts, keys[:1], "cut_ms", bucket_ms).withColumn("cut", F.lit(True))
+    gaps = gaps.join(cut, [*own, "start_ms", "end_ms"], "left")
+    occluded = F.col("inner") & (length <= occlusion_max_ms) & F.col("cut").isNull()
+    edge = ~F.col("inner") & (length <= tolerance_ms)
+    pick = lambda visible, hidden, gone: F.when(edge, visible).when(occluded, hidden).otherwise(gone)
+    none = F.lit(None).cast("double")
+    # Reasons and confidences.
+    missing = gaps.select(
+        *keys, "start_ms", "end_ms", pick(F.lit("visible"), F.lit("occluded"), F.lit("offscreen")).alias("state"),
+        pick(F.lit("timestamp_boundary_tolerance"), F.lit("short_gap_within_same_shot"), F.lit("bound_face_absent")).alias("reason"),
+        pick(none, F.lit(0.65), F.lit(0.85)).alias("confidence"),
+    )
+    visible = seen.select(*keys, "start_ms", "end_ms", F.lit("visible").alias("state"), F.lit("face_track_present").alias("reason"), none.alias("confidence"))
+    return visible.unionByName(missing)
+
+
+def classify_visibility(
+    speech: DataFrame, associations: DataFrame, coverage: DataFrame, cuts: DataFrame, occlusion_max_ms: int = 1200, tolerance_ms: int = 240,
+) -> DataFrame:
+    """Visibility of each speaker while speaking, joined where nothing changes.
+
+    ``speech``: sid, speaker, start_ms, end_ms; ``associations``: sid, speaker,
+    face_id, status, confidence; ``coverage``: sid, face_id, start_ms, end_ms.
+    Without a settled association the state is unknown, without a face
+    offscreen; the others have the states of their face's coverage, none more
+    certain than the association.
+    """
+    bound = associations.select("sid", "speaker", "face_id", "status", F.col("confidence").alias("bound"))
+    rows = speech.select("sid", "speaker", "start_ms", "end_ms").join(bound, ["sid", "speaker"], "left")
+    unsettled = F.col("status").isNull() | F.col("status").isin("candidate", "ambiguous")
+    faceless = ~unsettled & ((F.col("status") == "offscreen") | F.col("face_id").isNull())
+    # States, reasons and confidences without a confirmed face.
+    unknown = rows.where(unsettled).select(
+        "sid", "speaker", "face_id", "start_ms", "end_ms", F.lit("unknown").alias("state"), F.lit("identity_binding_unresolved").alias("reason"), F.lit(0.9).alias("confidence"),
+    )
+    away = rows.where(faceless).select(
+        "sid", "speaker", F.lit(None).cast("string").alias("face_id"), "start_ms", "end_ms", F.lit("offscreen").alias("state"), F.lit("no_bound_visible_face").alias("reason"),
+        F.lit(0.75).alias("confidence"),
+    )
+    settled = rows.where(~unsettled & ~faceless)
+    cover = bound.join(coverage, ["sid", "face_id"]).select("sid", "speaker", "face_id", "start_ms", "end_ms")
+    states = elementary_states(settled, cover, cuts, ["sid", "speaker", "face_id"], occlusion_max_ms, tolerance_ms)
+    states = states.join(bound.select("sid", "speaker", "bound"), ["sid", "speaker"]).withColumn("confidence", F.least("confidence", "bound")).drop("bound")
+    return merge_states(unknown.unionByName(away).unionByName(states), ["sid"], ["speaker", "face_id", "state", "reason", "confidence"])
 
 
 def merge_states(df: DataFrame, session: list[str], same: list[str], order: list[str] | None = None) -> DataFrame:
@@ -129,8 +178,11 @@ def merge_states(df: DataFrame, session: list[str], same: list[str], order: list
     return marked.groupBy(*session, "__g", *same).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("n_rows")).drop("__g")
 
 
-def interpolate(df: DataFrame, keys: list[str], step: int, values: list[str], at: str = "t") -> DataFrame:
-    """Linear interpolation of ``values`` on a grid of ``step`` from each key's first point to its last."""
+def interpolate(df: DataFrame, keys: list[str], step: int, values: list[str], at: str = "t", max_gap: int | None = None) -> DataFrame:
+    """Linear interpolation of ``values`` on a grid of ``step`` from each key's first point to its last.
+
+    Between two points more than ``max_gap`` apart only the points themselves stay.
+    """
     w = W.partitionBy(*keys).orderBy(at)
     first = F.min(at).over(W.partitionBy(*keys))
     nxt = df.withColumn("__first", first).withColumn("__n", F.lead(at).over(w))
@@ -138,6 +190,8 @@ def interpolate(df: DataFrame, keys: list[str], step: int, values: list[str], at
         nxt = nxt.withColumn(f"__n_{v}", F.lead(v).over(w))
     off = F.col("__first") + F.ceil((F.col(at) - F.col("__first")) / step) * step
     grid = F.when(F.col("__n").isNull(), F.when(off == F.col(at), F.array(F.col(at)))).when(off < F.col("__n"), F.sequence(off, F.col("__n") - 1, F.lit(step).cast("bigint")))
+    if max_gap is not None:
+        grid = F.when(F.col("__n") - F.col(at) > max_gap, F.when(off == F.col(at), F.array(F.col(at)))).otherwise(grid)
     rows = nxt.withColumn("__g", F.explode(grid))
     part = (F.col("__g") - F.col(at)) / (F.col("__n") - F.col(at))
     line = lambda v: F.when(F.col("__n").isNull() | (F.col("__g") == F.col(at)), F.col(v)).otherwise(F.col(v) + (F.col(f"__n_{v}") - F.col(v)) * part)

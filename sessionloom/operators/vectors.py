@@ -105,7 +105,9 @@ def _box_iou(a: np.ndarray, b: np.ndarray) -> float:
 def track(detections: DataFrame, max_gap: int, reid: float = 0.75, greedy: bool = False) -> DataFrame:
     """Detections of a session to tracks, frame by frame.
 
-    ``detections``: sid, frame, det, box (x, y, w, h), embedding. A track may
+    ``detections``: sid, frame, det, box (x, y, w, h), embedding, and quality
+    where it is known: a track's embedding is the mean of its detections'
+    weighted by quality, 0.05 at least (1 where it isn't known). A track may
     take a detection if their similarity is at least 0.25 and either their
     boxes overlap by 0.2 or the similarity reaches ``reid``; the cheapest
     assignment of a frame wins (``greedy``: the cheapest pair first). Returns
@@ -120,16 +122,21 @@ def track(detections: DataFrame, max_gap: int, reid: float = 0.75, greedy: bool
         sums: list[np.ndarray] = []
         out = []
         for frame, rows in pdf.groupby("frame", sort=True):
-            dets = [np.asarray(e, dtype=float) for e in rows["embedding"]]
-            dets = [e / max(float(np.linalg.norm(e)), 1e-12) for e in dets]
+            dets = np.stack([np.asarray(e, dtype=float) for e in rows["embedding"]])
+            dets = dets / np.maximum(np.linalg.norm(dets, axis=1), 1e-12)[:, None]
+            weights = np.maximum(0.05, rows["quality"].to_numpy(dtype=float)) if "quality" in rows else np.ones(len(dets))
             found = [np.asarray(b, dtype=float) for b in rows["box"]]
             live = [i for i, f in enumerate(last_frame) if frame - f <= max_gap]
             chosen: dict[int, int] = {}
             if live:
                 cost = np.full((len(live), len(dets)), 1e6)
+                own = np.stack([sums[i] for i in live])
+                similar = (own / np.maximum(np.linalg.norm(own, axis=1), 1e-12)[:, None]) @ dets.T
                 for (k, i), d in itertools.product(enumerate(live), range(len(dets))):
-                    own = sums[i] / max(float(np.linalg.norm(sums[i])), 1e-12)
-                    sim, over = float(own @ dets[d]), _box_iou(boxes[i], found[d])
+                    sim = float(similar[k, d])
+                    if sim < 0.25:
+                        continue
+                    over = _box_iou(boxes[i], found[d])
                     if sim >= 0.25 and (over >= 0.2 or sim >= reid):
                         cost[k, d] = 0.65 * (1 - sim) + 0.3 * (1 - over) + 0.05 * (frame - last_frame[i]) / max(max_gap, 1)
                 if greedy:
@@ -148,9 +155,9 @@ def track(detections: DataFrame, max_gap: int, reid: float = 0.75, greedy: bool
                     i = len(last_frame)
                     last_frame.append(frame)
                     boxes.append(found[d])
-                    sums.append(np.zeros_like(dets[d]))
+                    sums.append(np.zeros(dets.shape[1]))
                 last_frame[i], boxes[i] = frame, found[d]
-                sums[i] = sums[i] + dets[d]
+                sums[i] = sums[i] + weights[d] * dets[d]
                 out.append((rows["sid"].iloc[0], frame, rows["det"].iloc[d], i + 1))
         return pd.DataFrame(out, columns=["sid", "frame", "det", "track"])
 

@@ -61,16 +61,16 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return one.select(
         F.col("l_orderkey").alias("keyframe_id"), F.col("l_linenumber").alias("state"), (F.col("d") * 5).alias("x"), (F.col("t") * 6).alias("y"),
-        (F.col("q") / 100).alias("w"), (F.col("q") / 120).alias("h"), F.rint(F.col("p")).cast("bigint").alias("sharpness"),
+        (F.col("q") / 100).alias("w"), (F.col("q") / 120).alias("h"), (0.5 + F.col("d") * 5).alias("confidence"), F.rint(F.col("p")).cast("bigint").alias("sharpness"),
     )
 
 
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyframe analyses: a document is one, its source the session."""
-    words = F.split(F.lower(F.substring("text", 1, 120)), " ")
+    words = F.split(F.lower("text"), " ")
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select(
-        F.col("source").alias("sid"), F.col("doc_id").alias("keyframe_id"), F.col("lang").alias("category"), F.substring("text", 1, 60).alias("description"),
-        F.array_distinct(F.slice(words, 1, 6)).alias("objects"), F.array(F.concat(F.lit("Face-0"), (F.col("doc_id") % 4 + 1).cast("string"))).alias("faces"),
+        F.col("source").alias("sid"), F.col("doc_id").alias("keyframe_id"), F.col("lang").alias("category"), F.col("text").alias("description"),
+        F.array_distinct(words).alias("objects"), F.array(F.concat(F.lit("Face-0"), (F.col("doc_id") % 4 + 1).cast("string"))).alias("faces"),
         (F.col("doc_id") * 1000).alias("start_ms"), (F.col("doc_id") * 1000 + 1000).alias("end_ms"),
     )
 
@@ -89,9 +89,9 @@ VIEWS = {
     "scenes": """scenes AS (SELECT sid, k AS scene_id, k * 4000 AS start_ms, least(last, (k + 1) * 4000) AS end_ms FROM (
   SELECT sid, last, unnest(range(0, (last - 1) // 4000 + 1)) AS k FROM (SELECT sid, max(end_ms) AS last FROM turns GROUP BY sid) WHERE last > 0))""",
     "boxes": """boxes AS (SELECT l_orderkey AS keyframe_id, l_linenumber AS state, min(l_discount) * 5 AS x, min(l_tax) * 6 AS y, min(l_quantity) / 100 AS w,
-  min(l_quantity) / 120 AS h, round_even(min(l_extendedprice), 0)::BIGINT AS sharpness FROM lineitem GROUP BY ALL)""",
-    "analyses": """analyses AS (SELECT source AS sid, doc_id AS keyframe_id, lang AS category, substring(text, 1, 60) AS description,
-  string_split(lower(substring(text, 1, 120)), ' ')[1:6] AS objects, ['Face-0' || (doc_id % 4 + 1)::VARCHAR] AS faces,
+  min(l_quantity) / 120 AS h, 0.5::DOUBLE + min(l_discount) * 5 AS confidence, round_even(min(l_extendedprice), 0)::BIGINT AS sharpness FROM lineitem GROUP BY ALL)""",
+    "analyses": """analyses AS (SELECT source AS sid, doc_id AS keyframe_id, lang AS category, text AS description,
+  list_distinct(string_split(lower(text), ' ')) AS objects, ['Face-0' || (doc_id % 4 + 1)::VARCHAR] AS faces,
   doc_id * 1000 AS start_ms, doc_id * 1000 + 1000 AS end_ms FROM documents WHERE text IS NOT NULL)""",
 }
 NEEDS = {"speech": ["timed"], "active": ["timed"], "cuts": ["timed"], "scenes": ["turns"]}

@@ -81,20 +81,44 @@ def reconcile_fixpoint(spark, d) -> DataFrame:
     return spans.withColumns({"passes": F.lit(passes), "stable": F.lit(stable)})
 
 
-def _visibility(spark, d) -> DataFrame:
-    speech = intervals.merge_intervals(A.speech(spark, d).where("speaker IN ('A', 'B')"), ["sid", "speaker"]).select("sid", "speaker", "start_ms", "end_ms")
-    face = F.when(F.col("face_id") == "Face-01", "A").when(F.col("face_id") == "Face-02", "B")
-    cover = A.active(spark, d).withColumn("speaker", face).where("speaker IS NOT NULL")
-    cover = intervals.merge_intervals(cover, ["sid", "speaker"]).select("sid", "speaker", "start_ms", "end_ms")
-    return intervals.elementary_states(speech, cover, A.cuts(spark, d), ["sid", "speaker"], occlusion_max_ms=1_800_000, tolerance_ms=240_000)
+def _of_faces(spark, d) -> DataFrame:
+    """Merged coverage of the four speakers, by the face of the same number."""
+    speaker = F.element_at(F.create_map(*[F.lit(x) for n, s in enumerate("ABCD") for x in (f"Face-0{n + 1}", s)]), F.col("face_id"))
+    cover = A.active(spark, d).withColumn("speaker", speaker).where("speaker IS NOT NULL")
+    return intervals.merge_intervals(cover, ["sid", "speaker"]).select("sid", "speaker", "start_ms", "end_ms")
+
+
+def _spoken(spark, d) -> DataFrame:
+    return intervals.merge_intervals(A.speech(spark, d), ["sid", "speaker"]).select("sid", "speaker", "start_ms", "end_ms")
 
 
 def elementary_visibility(spark, d) -> DataFrame:
-    return _visibility(spark, d)
+    return intervals.elementary_states(_spoken(spark, d), _of_faces(spark, d), A.cuts(spark, d), ["sid", "speaker"], occlusion_max_ms=1_800_000, tolerance_ms=240_000)
 
 
 def merge_state_segments(spark, d) -> DataFrame:
-    return intervals.merge_states(_visibility(spark, d), ["sid"], ["speaker", "state", "reason"])
+    return intervals.merge_states(elementary_visibility(spark, d), ["sid"], ["speaker", "state", "reason"])
+
+
+def visibility_classification(spark, d) -> DataFrame:
+    s, a = A.speech(spark, d), A.active(spark, d)
+    bound = binding.bind(s, a, min_coverage=0.1, min_margin=0.01)
+    cover = intervals.merge_intervals(a, ["sid", "face_id"]).select("sid", "face_id", "start_ms", "end_ms")
+    return intervals.classify_visibility(_spoken(spark, d), bound, cover, A.cuts(spark, d), occlusion_max_ms=1_800_000, tolerance_ms=240_000)
+
+
+def padded_coverage(spark, d) -> DataFrame:
+    """Sessions last until the first of February."""
+    return intervals.padded_coverage(A.active(spark, d), ["sid", "face_id"], 200_000, 1706745600000)
+
+
+def shot_coverage(spark, d) -> DataFrame:
+    """Shots between the cuts of a day; sessions without cuts are one shot."""
+    t = A.timed_events(spark, d)
+    sessions = t.groupBy("sid").agg((F.max("end_ms") + 1000).alias("duration_ms"))
+    marks = A.cuts(spark, d).select("sid", F.expr("cut_ms div 86400000 * 86400000").alias("start_ms")).distinct()
+    shots = marks.withColumn("end_ms", F.lead("start_ms").over(W.partitionBy("sid").orderBy("start_ms"))).fillna({"end_ms": 0})
+    return intervals.full_coverage(shots, sessions, ["sid"])
 
 
 def cuts_semijoin(spark, d) -> DataFrame:
@@ -209,19 +233,30 @@ bound AS (SELECT sid, speaker, face_id, overlap_ms, speech_ms, active_ms, runner
 _OFFLINE = """CASE WHEN face_id IS NULL AND n > 0 THEN 'ambiguous' WHEN face_id IS NULL THEN 'offscreen' WHEN overlap_ms < 3000 THEN 'candidate'
   WHEN mg < 0.01 THEN 'ambiguous' WHEN c < 0.1 THEN 'candidate' ELSE 'confirmed' END"""
 _ONLINE = """CASE WHEN face_id IS NULL THEN 'offscreen' WHEN overlap_ms < 3000 OR c < 0.1 THEN 'candidate' WHEN mg < 0.01 THEN 'ambiguous' ELSE 'confirmed' END"""
-_STATES = f"""
-sp AS (SELECT sid, speaker, start_ms AS s0, end_ms AS e0 FROM ({merged("(SELECT * FROM speech WHERE speaker IN ('A', 'B'))", "sid, speaker")})),
-cv AS (SELECT sid, speaker, start_ms AS c0, end_ms AS c1 FROM ({merged("(SELECT sid, CASE face_id WHEN 'Face-01' THEN 'A' ELSE 'B' END AS speaker, start_ms, end_ms FROM active WHERE face_id IN ('Face-01', 'Face-02'))", "sid, speaker")})),
-pt AS (SELECT sid, speaker, s0, e0, s0 AS p FROM sp UNION SELECT sid, speaker, s0, e0, e0 FROM sp
-  UNION SELECT sp.sid, sp.speaker, s0, e0, least(greatest(c0, s0), e0) FROM sp JOIN cv ON cv.sid = sp.sid AND cv.speaker = sp.speaker
-  UNION SELECT sp.sid, sp.speaker, s0, e0, least(greatest(c1, s0), e0) FROM sp JOIN cv ON cv.sid = sp.sid AND cv.speaker = sp.speaker),
+_PIECES = f"""
+cv AS (SELECT sid, {{key}}, start_ms AS c0, end_ms AS c1 FROM ({{cover}})),
+cl AS (SELECT sp.sid, sp.speaker, s0, e0, greatest(c0, s0) AS l, least(c1, e0) AS r FROM {{sp}} sp JOIN cv ON cv.sid = sp.sid AND cv.{{key}} = sp.{{key}} AND c1 > s0 AND c0 < e0),
+pt AS (SELECT sid, speaker, s0, e0, s0 AS p FROM {{sp}} UNION SELECT sid, speaker, s0, e0, e0 FROM {{sp}} UNION SELECT sid, speaker, s0, e0, l FROM cl UNION SELECT sid, speaker, s0, e0, r FROM cl),
 pc AS (SELECT * FROM (SELECT sid, speaker, s0, e0, p AS s, lead(p) OVER (PARTITION BY sid, speaker, s0, e0 ORDER BY p) AS e FROM pt) WHERE e > s),
-st AS (SELECT pc.*, coalesce(bool_or(c0 <= (s + e) // 2 AND (s + e) // 2 < c1), false) AS cov, max(c1) FILTER (WHERE c1 <= s) AS pv, min(c0) FILTER (WHERE c0 >= e) AS nx
-  FROM pc LEFT JOIN cv ON cv.sid = pc.sid AND cv.speaker = pc.speaker GROUP BY ALL),
+st AS (SELECT pc.*, coalesce(bool_or(l <= (s + e) // 2 AND (s + e) // 2 < r), false) AS cov, max(r) FILTER (WHERE r <= s) AS pv, min(l) FILTER (WHERE l >= e) AS nx
+  FROM pc LEFT JOIN cl ON cl.sid = pc.sid AND cl.speaker = pc.speaker AND cl.s0 = pc.s0 AND cl.e0 = pc.e0 GROUP BY ALL),
 k AS (SELECT *, (s = s0 OR e = e0) AND e - s <= 240000 AS edge, pv IS NOT NULL AND nx IS NOT NULL AND nx - pv <= 1800000
   AND NOT EXISTS (SELECT 1 FROM cuts WHERE cuts.sid = st.sid AND cut_ms BETWEEN pv AND nx) AS br FROM st),
 vis AS (SELECT sid, speaker, s AS start_ms, e AS end_ms, CASE WHEN cov OR edge THEN 'visible' WHEN br THEN 'occluded' ELSE 'offscreen' END AS state,
-  CASE WHEN cov THEN 'covered' WHEN edge THEN 'timestamp_boundary_tolerance' WHEN br THEN 'short_gap' ELSE 'no_coverage' END AS reason FROM k)"""
+  CASE WHEN cov THEN 'face_track_present' WHEN edge THEN 'timestamp_boundary_tolerance' WHEN br THEN 'short_gap_within_same_shot' ELSE 'bound_face_absent' END AS reason,
+  CASE WHEN cov OR edge THEN NULL WHEN br THEN 0.65::DOUBLE ELSE 0.85::DOUBLE END AS confidence FROM k)"""
+_SPOKEN = f"sp AS (SELECT sid, speaker, start_ms AS s0, end_ms AS e0 FROM ({merged('speech', 'sid, speaker')}))"
+_STATES = f"{_SPOKEN}, " + _PIECES.format(sp="sp", key="speaker", cover=merged("(SELECT sid, chr(64 + right(face_id, 1)::INT) AS speaker, start_ms, end_ms FROM active WHERE right(face_id, 1)::INT <= 4)", "sid, speaker"))
+
+
+def _joined(src: str, same: str) -> str:
+    order = f"sid ORDER BY start_ms, end_ms, {same}"
+    agree = " AND ".join(f"lag({c}) OVER w IS NOT DISTINCT FROM {c}" for c in same.split(", "))
+    return f"""SELECT sid, {same}, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_rows FROM (
+  SELECT *, sum(f) OVER (PARTITION BY {order} ROWS UNBOUNDED PRECEDING) AS g FROM (
+    SELECT *, CASE WHEN {agree} AND start_ms <= lag(end_ms) OVER w THEN 0 ELSE 1 END AS f FROM {src} WINDOW w AS (PARTITION BY {order})))
+GROUP BY sid, g, {same}"""
+
 
 SQL = {
     "interval_merge": sql("speech", merged("speech", "sid, speaker", more=", count(*) AS n_merged")),
@@ -243,12 +278,19 @@ SELECT s.sid, s.span_id, s.speaker AS original_speaker, b.speaker, t.face_id, t.
 FROM speech s JOIN tops t ON t.sid = s.sid AND t.span_id = s.span_id JOIN bound b ON b.sid = s.sid AND b.face_id = t.face_id AND b.status = 'confirmed' AND b.confidence >= 0.1
 WHERE b.speaker <> s.speaker AND t.o >= 1200 AND t.o / (s.end_ms - s.start_ms) >= 0.6 AND (t.o - t.o2) / t.o >= 0.6"""),
     "elementary_visibility": sql("speech active cuts", f", {_STATES} SELECT * FROM vis"),
-    "merge_state_segments": sql("speech active cuts", f""", {_STATES}
-SELECT sid, speaker, state, reason, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_rows FROM (
-  SELECT *, sum(f) OVER (PARTITION BY sid ORDER BY start_ms, end_ms, speaker, state, reason ROWS UNBOUNDED PRECEDING) AS g FROM (
-    SELECT *, CASE WHEN lag(speaker) OVER w = speaker AND lag(state) OVER w = state AND lag(reason) OVER w = reason AND start_ms <= lag(end_ms) OVER w THEN 0 ELSE 1 END AS f
-    FROM vis WINDOW w AS (PARTITION BY sid ORDER BY start_ms, end_ms, speaker, state, reason)))
-GROUP BY sid, g, speaker, state, reason"""),
+    "merge_state_segments": sql("speech active cuts", f", {_STATES} {_joined('vis', 'speaker, state, reason')}"),
+    "visibility_classification": sql("speech active cuts", f""", {_BIND.format(status=_OFFLINE)}, {_SPOKEN},
+sb AS (SELECT sp.*, face_id, status, confidence AS bc FROM sp LEFT JOIN bound USING (sid, speaker)),
+sf AS (SELECT * FROM sb WHERE status NOT IN ('candidate', 'ambiguous', 'offscreen') AND face_id IS NOT NULL),
+{_PIECES.format(sp="sf", key="face_id", cover=merged("active", "sid, face_id"))},
+al AS (SELECT sid, speaker, face_id, s0 AS start_ms, e0 AS end_ms, 'unknown' AS state, 'identity_binding_unresolved' AS reason, 0.9::DOUBLE AS confidence FROM sb WHERE status IS NULL OR status IN ('candidate', 'ambiguous')
+  UNION ALL SELECT sid, speaker, NULL, s0, e0, 'offscreen', 'no_bound_visible_face', 0.75 FROM sb WHERE status = 'offscreen' OR status NOT IN ('candidate', 'ambiguous') AND face_id IS NULL
+  UNION ALL SELECT vis.sid, vis.speaker, b.face_id, vis.start_ms, vis.end_ms, state, reason, CASE WHEN vis.confidence IS NULL THEN b.confidence ELSE least(vis.confidence, b.confidence) END FROM vis JOIN bound b ON b.sid = vis.sid AND b.speaker = vis.speaker)
+{_joined('al', 'speaker, face_id, state, reason, confidence')}"""),
+    "padded_coverage": sql("active", merged("(SELECT sid, face_id, start_ms, least(1706745600000, end_ms + 200000) AS end_ms FROM active WHERE least(1706745600000, end_ms + 200000) > start_ms)", "sid, face_id")),
+    "shot_coverage": sql("timed cuts", """, m AS (SELECT DISTINCT sid, cut_ms // 86400000 * 86400000 AS start_ms FROM cuts), e AS (SELECT *, lead(start_ms) OVER (PARTITION BY sid ORDER BY start_ms) AS nx FROM m),
+u AS (SELECT sid, max(end_ms) + 1000 AS u FROM timed GROUP BY sid)
+SELECT u.sid, row_number() OVER (PARTITION BY u.sid ORDER BY start_ms) AS shot, coalesce(start_ms, 0) AS start_ms, coalesce(nx, u) AS end_ms FROM u LEFT JOIN e ON e.sid = u.sid"""),
     "cuts_semijoin": sql("active cuts", "SELECT * FROM active a WHERE EXISTS (SELECT 1 FROM cuts c WHERE c.sid = a.sid AND c.cut_ms BETWEEN a.start_ms AND a.end_ms)"),
     "split_long_intervals": sql("speech", "SELECT sid, span_id, speaker, p AS start_ms, least(end_ms, p + 1800000) AS end_ms FROM (SELECT *, unnest(range(start_ms, end_ms, 1800000)) AS p FROM speech)"),
     "shot_transcript_topk": sql("turns scenes", "SELECT * FROM (SELECT s.sid, s.scene_id, t.turn_id, row_number() OVER (PARTITION BY s.sid, s.scene_id ORDER BY t.start_ms, t.turn_id) AS n FROM scenes s JOIN turns t ON t.sid = s.sid AND t.start_ms < s.end_ms AND s.start_ms < t.end_ms) WHERE n <= 20"),
@@ -282,7 +324,7 @@ SQL = {k: v.replace("\n, ", ",\n", 1) if v.count("\n, ") else v for k, v in SQL.
 QUERIES = {
     f.__name__: f
     for f in (
-        interval_merge, interval_merge_ids, union_duration, union_duration_padded, interval_overlap_join, overlap_bucketed, overlap_closed_end, span_face_candidates,
+        interval_merge, interval_merge_ids, union_duration, union_duration_padded, interval_overlap_join, overlap_bucketed, overlap_closed_end, span_face_candidates, visibility_classification, padded_coverage, shot_coverage,
         overlap_evidence, assignment_max_overlap, binding_status, binding_status_online, relabel_corrections, reconcile_fixpoint, elementary_visibility,
         merge_state_segments, cuts_semijoin, split_long_intervals, shot_transcript_topk, resample_interpolate, moving_average, run_length_postprocess,
         exclusive_winner, activity_segments, sliding_context_window, speaking_state_machine, percentile_nearest_rank,

@@ -79,6 +79,23 @@ def test_elementary_visibility_and_cuts(spark):
     states = lambda cuts: [(r.start_ms, r.end_ms, r.state) for r in intervals.elementary_states(speech, cover, cuts, ["sid", "speaker"], 1200, 100).orderBy("start_ms").collect()]
     assert states(none) == [(0, 1000, "visible"), (1000, 1500, "occluded"), (1500, 3000, "visible"), (6000, 7000, "offscreen")]
     assert states(frame(spark, [(1, 1200)], "sid long, cut_ms long"))[1] == (1000, 1500, "offscreen")
+    assert states(frame(spark, [(1, 1500)], "sid long, cut_ms long"))[1] == (1000, 1500, "offscreen")
+    # Coverage that ends before the speech begins bridges nothing.
+    late = frame(spark, [(1, "A", 1500, 3000)], "sid long, speaker string, start_ms long, end_ms long")
+    early = frame(spark, [(1, "A", 0, 1000), (1, "A", 2000, 3000)], "sid long, speaker string, start_ms long, end_ms long")
+    got = intervals.elementary_states(late, early, none, ["sid", "speaker"], 1200, 100).orderBy("start_ms").collect()
+    assert [(r.start_ms, r.end_ms, r.state, r.reason, r.confidence) for r in got] == [(1500, 2000, "offscreen", "bound_face_absent", 0.85), (2000, 3000, "visible", "face_track_present", None)]
+
+
+def test_visibility_by_binding_status(spark):
+    speech = frame(spark, [(1, s, 0, 1000) for s in "ABCD"], "sid long, speaker string, start_ms long, end_ms long")
+    bound = frame(spark, [(1, "A", "Face-01", "confirmed", 0.7), (1, "B", "Face-02", "ambiguous", 0.4), (1, "C", None, "offscreen", 0.0)], "sid long, speaker string, face_id string, status string, confidence double")
+    cover = frame(spark, [(1, "Face-01", 0, 300), (1, "Face-01", 600, 800), (1, "Face-02", 0, 1000)], "sid long, face_id string, start_ms long, end_ms long")
+    got = intervals.classify_visibility(speech, bound, cover, frame(spark, [], "sid long, cut_ms long"), 300, 100)
+    assert sorted((r.speaker, r.start_ms, r.end_ms, r.state, r.confidence) for r in got.collect()) == [
+        ("A", 0, 300, "visible", 0.7), ("A", 300, 600, "occluded", 0.65), ("A", 600, 800, "visible", 0.7), ("A", 800, 1000, "offscreen", 0.7),
+        ("B", 0, 1000, "unknown", 0.9), ("C", 0, 1000, "offscreen", 0.75), ("D", 0, 1000, "unknown", 0.9),
+    ]
 
 
 def test_interleaved_rows_keep_states_apart(spark):
@@ -163,10 +180,18 @@ def test_cut_suppression(spark):
 
 
 def test_spatial_relations(spark):
-    rows = [(1, 1, 0.1, 0.35, 0.2, 0.1), (1, 2, 0.6, 0.4, 0.2, 0.1)]
-    df = frame(spark, rows, "keyframe_id long, state long, x double, y double, w double, h double")
-    got = {(r.predicate, r.subject, r.object) for r in spatial.relations(spatial.person_states(df)).collect()}
-    assert got == {("co_visible_with", 1, 2), ("left_of", 1, 2)}
+    rows = [(1, 1, 0.1, 0.35, 0.2, 0.1, 0.9), (1, 2, 0.6, 0.4, 0.2, 0.1, 0.8)]
+    df = frame(spark, rows, "keyframe_id long, state long, x double, y double, w double, h double, confidence double")
+    got = {(r.predicate, r.subject, r.object, round(r.confidence, 6)) for r in spatial.relations(spatial.person_states(df)).collect()}
+    assert got == {("co_visible_with", 1, 2, 0.8), ("left_of", 1, 2, 0.8)}
+
+
+def test_candidate_frames_and_their_neighbours(spark):
+    shots = frame(spark, [(1, 0, 24), (2, 100, 105), (3, 7, 7)], "shot long, first long, last long")
+    seen = frame(spark, [(1, 0), (1, 10), (1, 14), (1, 24), (2, 100)], "shot long, frame long")
+    got = spatial.candidate_frames(shots, seen, ["shot"]).groupBy("shot").agg(F.sort_array(F.collect_list("frame")).alias("f")).collect()
+    # Targets 5, 12, 19 and 101, 102 (half to even), 104; of equally near frames the earlier.
+    assert {r["shot"]: r["f"] for r in got} == {1: [0, 5, 10, 12, 14, 19], 2: [100, 101, 102, 104], 3: [7]}
 
 
 def test_keyframe_prefers_more_faces(spark):
@@ -178,6 +203,9 @@ def test_view_bridging(spark):
     schema = "sid string, keyframe_id long, group long, category string, view long, start_ms long, end_ms long"
     rows = [("s", 1, 1, "home", 7, 0, 10), ("s", 2, 2, "home", 8, 10, 20), ("s", 3, 3, "home", 7, 20, 30)]
     assert {r.group for r in graph.bridge_views(frame(spark, rows, schema)).collect()} == {1}
+    # Two short units of the middle group with a long way between them.
+    apart = [rows[0], ("s", 2, 2, "home", 8, 10, 1010), ("s", 4, 2, "home", 9, 50_010, 51_010), ("s", 3, 3, "home", 7, 60_000, 60_010)]
+    assert {r.group for r in graph.bridge_views(frame(spark, apart, schema)).collect()} == {1}
     rows[1] = ("s", 2, 2, "stage", 8, 10, 20)
     assert {r.group for r in graph.bridge_views(frame(spark, rows, schema)).collect()} == {1, 2, 3}
 
@@ -194,6 +222,7 @@ def test_event_projection_and_replay(spark):
     edges = frame(spark, [(1, 1, "e1", "person:A", "scene:1", "speaking", 200), (1, 2, "e2", "person:A", "scene:2", "present_in", 1200)], "sid long, n long, id string, source string, target string, predicate string, start_ms long")
     events = graph.graph_events(nodes, edges)
     assert [(r.t, r.type) for r in events.orderBy("sequence").collect()] == [(0, "scene_changed"), (200, "person_speaking"), (1000, "scene_changed"), (1200, "person_seen")]
+    assert {(r.what, r.id) for r in graph.revealed(events, 200).collect()} == {("node", "scene:1"), ("node", "person:A"), ("edge", "e1")}
     assert [r.sequence for r in graph.snapshot(events, 1200, 2).orderBy("sequence").collect()] == [3, 4]
     scenes = frame(spark, [(1, 1, 0, 1000), (1, 2, 1000, 2000)], "sid long, scene_id long, start_ms long, end_ms long")
     assert [graph.current_scene(scenes, t).first().scene_id for t in (999, 1000, 2000)] == [1, 2, 2]
@@ -211,5 +240,7 @@ def test_labels_and_relations(spark):
     row = spark.range(1).select(
         X.canonical_label(F.lit(" Potted-Plant ")).alias("a"), X.canonical_label(F.lit("mic")).alias("b"), X.bigrams(F.lit("A b!")).alias("c"), X.bigrams(F.lit("é")).alias("d"),
         X.join_texts(F.array(F.lit("one"), F.lit("two"), F.lit("。x"))).alias("e"), X.relation_key(F.lit("z"), F.lit("co_visible_with"), F.lit("a")).alias("f"),
+        X.object_key(F.lit("\tCoffee  Cup\n")).alias("g"), X.canonical_label(F.lit("-Potted-Plant-")).alias("h"), X.join_texts(F.array(F.lit("abc\n"), F.lit("def"))).alias("i"),
     ).first()
+    assert (row.g, row.h, row.i) == ("coffee_cup", "plant", "abc\ndef")
     assert (row.a, row.b, row.c, row.d, row.e, tuple(row.f)) == ("plant", "microphone", ["ab"], ["é"], "one two。x", ("a", "co_visible_with", "z"))
