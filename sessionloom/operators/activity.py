@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numeric import r6
+
 STEP_MS = 40
 
 
@@ -81,3 +83,60 @@ def speaking_phases(
     phases = groups.groupBy(*keys, "__h").agg(F.min(F.when(F.col("e") - F.col("s") >= confirm_ms, F.col("s"))).alias("started_ms"), F.max("e").alias("e"))
     limit = until_ms if isinstance(until_ms, Column) else F.lit(until_ms)
     return phases.where(F.col("started_ms").isNotNull()).select(*keys, "started_ms", F.when(limit - F.col("e") >= silence_ms, F.col("e")).alias("ended_ms"))
+
+
+def segment_records(df: DataFrame, keys: list[str], time: str, gap_ms: int, score: str, raw: str, tracklet: str) -> DataFrame:
+    """``segments`` with mean score and raw score (six decimals) and the sorted tracklets of each."""
+    w = W.partitionBy(*keys).orderBy(time, tracklet)
+    fresh = F.when(F.col(time) - F.lag(time).over(w) <= gap_ms, 0).otherwise(1)
+    marked = df.withColumn("__f", fresh).withColumn("__g", F.sum("__f").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    mean = lambda c: r6(F.avg(c))
+    return marked.groupBy(*keys, "__g").agg(
+        F.min(time).alias("start_ms"), (F.max(time) + STEP_MS).alias("end_ms"), mean(score).alias("score"), mean(raw).alias("raw_score"),
+        F.sort_array(F.collect_set(tracklet)).alias("tracklets"),
+    ).drop("__g")
+
+
+def score_records(df: DataFrame, session: list[str], order: list[str], prefix: str = "score-") -> DataFrame:
+    """``df`` with ``record_id``, numbered by time, face and tracklet within a session."""
+    n = F.row_number().over(W.partitionBy(*session).orderBy(*order))
+    return df.withColumn("record_id", F.format_string(f"{prefix}%06d", n))
+
+
+def ensemble_mean(df: DataFrame, keys: list[str], scores: list[str]) -> DataFrame:
+    """Mean of the scores that several context lengths gave a sample; those that gave none don't count."""
+    kept = F.filter(F.array(*scores), lambda x: x.isNotNull())
+    mean = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / F.size(kept)
+    return df.select(*keys, F.when(F.size(kept) > 0, r6(mean)).alias("score"))
+
+
+def observation_runs(df: DataFrame, keys: list[str], time: str, gap_ms: int = 500, least_ms: int = 160) -> DataFrame:
+    """Runs of observations at most ``gap_ms`` apart, of two or more over ``least_ms``, with the whole steps inside.
+
+    Returns keys, run (from 1, among all runs), n, first_step and last_step (multiples of a step).
+    """
+    w = W.partitionBy(*keys).orderBy(time)
+    fresh = F.when(F.col(time) - F.lag(time).over(w) <= gap_ms, 0).otherwise(1)
+    marked = df.withColumn("__f", fresh).withColumn("run", F.sum("__f").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    runs = marked.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("a"), F.max(time).alias("b"))
+    steps = runs.where((F.col("n") >= 2) & (F.col("b") - F.col("a") >= least_ms)).select(
+        *keys, "run", "n", (F.ceil(F.col("a") / STEP_MS) * STEP_MS).alias("first_step"), (F.floor(F.col("b") / STEP_MS) * STEP_MS).alias("last_step")
+    )
+    return steps.where("last_step >= first_step")
+
+
+def chained_segments(df: DataFrame, session: list[str], same: list[str], silence_ms: int) -> DataFrame:
+    """Segments joined to the last one of their whole session if all of ``same`` agree and it ended at most ``silence_ms`` before.
+
+    ``df``: start_ms, end_ms, score and the order ``n`` of arrival. A segment of
+    anyone else in between keeps two apart. Returns the largest score of each.
+    """
+    w = W.partitionBy(*session).orderBy("n")
+    agree = F.lit(True)
+    for c in same:
+        agree = agree & F.col(c).eqNullSafe(F.lag(c).over(w))
+    turns = df.withColumn("__t", F.when(agree, 0).otherwise(1)).withColumn("__t", F.sum("__t").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    v = W.partitionBy(*session, "__t").orderBy("n")
+    reach = F.max("end_ms").over(v.rowsBetween(W.unboundedPreceding, -1))
+    marked = turns.withColumn("__f", F.when(F.col("start_ms") <= reach + silence_ms, 0).otherwise(1)).withColumn("__g", F.sum("__f").over(v.rowsBetween(W.unboundedPreceding, 0)))
+    return marked.groupBy(*session, "__t", "__g", *same).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.max("score").alias("score"), F.count(F.lit(1)).alias("n_parts")).drop("__t", "__g")

@@ -66,5 +66,11 @@ def not_tiling(df: DataFrame, keys: list[str], entity: str, rule: str) -> DataFr
     return _violation(df.withColumn("__e", F.lag("end_ms").over(w)).where(F.col("start_ms") != F.col("__e")), rule, F.col(entity))
 
 
+def mismatched(claimed: DataFrame, counted: DataFrame, keys: list[str], claim: str, count: str, rule: str) -> DataFrame:
+    """Keys whose claimed value is not the recomputed one, those that only one side has included."""
+    both = claimed.join(counted, keys, "full_outer")
+    return _violation(both.where(~F.col(claim).eqNullSafe(F.col(count))), rule, F.concat_ws("/", *keys))
+
+
 def violations(*found: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), found)
