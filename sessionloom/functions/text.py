@@ -14,6 +14,11 @@ SYMMETRIC = ("co_visible_with", "visually_close_to", "overlaps_in_image")
 SPACES = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
+def strip(s: Column) -> Column:
+    """A string without white space at its ends."""
+    return F.regexp_replace(s, rf"\A{SPACES}|{SPACES}\z", "")
+
+
 def joined_words(s: Column, glue: str) -> Column:
     """The words of a string with ``glue`` between them and none at the ends."""
     inner = F.regexp_replace(s, SPACES, " ")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 #: Fixed value: the topic of turns without one.
 NO_TOPIC = "未归类话题"
 
@@ -22,8 +24,8 @@ def turn_topics(turns: DataFrame, scene_topics: DataFrame) -> DataFrame:
     ``turns``: sid, turn_id, topics (array); ``scene_topics``: sid, n, name,
     turn_ids. Returns sid, turn_id, name, pos.
     """
-    clean = F.filter(F.transform(F.coalesce("topics", F.array().cast("array<string>")), F.btrim), lambda x: x != "")
-    named = scene_topics.where(F.btrim("name") != "").select("sid", "n", F.btrim("name").alias("name"), F.explode("turn_ids").alias("turn_id"))
+    clean = F.filter(F.transform(F.coalesce("topics", F.array().cast("array<string>")), lambda x: strip(x)), lambda x: x != "")
+    named = scene_topics.where(strip(F.col("name")) != "").select("sid", "n", strip(F.col("name")).alias("name"), F.explode("turn_ids").alias("turn_id"))
     from_scene = named.groupBy("sid", "turn_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]).alias("theirs"))
     rows = turns.withColumn("own", clean).join(from_scene, ["sid", "turn_id"], "left")
     names = F.when(F.size("own") > 0, F.col("own")).otherwise(F.coalesce("theirs", F.array(F.lit(NO_TOPIC))))
@@ -35,7 +37,7 @@ def topic_catalog(turns: DataFrame, scene_topics: DataFrame) -> DataFrame:
 
     Returns sid, id, name, turn_ids (in order of mention, each once).
     """
-    named = scene_topics.where(F.btrim("name") != "").select("sid", F.btrim("name").alias("name"), "n", F.posexplode_outer("turn_ids").alias("pos", "turn_id"))
+    named = scene_topics.where(strip(F.col("name")) != "").select("sid", strip(F.col("name")).alias("name"), "n", F.posexplode_outer("turn_ids").alias("pos", "turn_id"))
     by_scene = named.select("sid", "name", F.struct(F.lit(0).alias("phase"), F.col("n").cast("bigint").alias("n"), F.coalesce("pos", F.lit(0)).alias("pos")).alias("at"), "turn_id")
     by_turn = turn_topics(turns, scene_topics).select("sid", "name", F.struct(F.lit(1).alias("phase"), F.col("turn_id").cast("bigint").alias("n"), "pos").alias("at"), "turn_id")
     found = by_scene.unionByName(by_turn).groupBy("sid", "name").agg(
@@ -47,7 +49,7 @@ def topic_catalog(turns: DataFrame, scene_topics: DataFrame) -> DataFrame:
 
 def intents(turns: DataFrame) -> DataFrame:
     """Intents in order of first mention: their time, turns, and speakers in order. ``turns``: sid, turn_id, speaker, intent, start_ms, end_ms."""
-    rows = turns.withColumn("name", F.btrim("intent")).where("name <> ''")
+    rows = turns.withColumn("name", strip(F.col("intent"))).where("name <> ''")
     in_order = F.array_sort(F.collect_list(F.struct("turn_id", "speaker")))
     found = rows.groupBy("sid", "name").agg(F.min("turn_id").alias("first"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), in_order.alias("seen"))
     placed = ordinal(found, ["sid"], ["first"], "intent:")
@@ -64,5 +66,5 @@ def dialogue_edges(turns: DataFrame, scene_topics: DataFrame) -> DataFrame:
     topics = topic_catalog(turns, scene_topics).select("sid", "name", "id")
     said = edge(base.withColumn("who", F.concat(F.lit("person:speaker:"), "speaker")), "who", "expresses", "opinion")
     about = edge(base.join(turn_topics(turns, scene_topics), ["sid", "turn_id"]).join(topics, ["sid", "name"]), "id", "about", "opinion")
-    meant = edge(base.withColumn("name", F.btrim("intent")).join(intents(turns).select("sid", "name", "id"), ["sid", "name"]), "opinion", "has_intent", "id")
+    meant = edge(base.withColumn("name", strip(F.col("intent"))).join(intents(turns).select("sid", "name", "id"), ["sid", "name"]), "opinion", "has_intent", "id")
     return said.unionByName(about).unionByName(meant)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
-from ..functions.text import canonical_label, joined_words
+from ..functions.text import canonical_label, strip
 
 # Words that tell a stage or a home from an office, labels of graphics, predicates of speech.
 STAGE_WORDS = ("演讲舞台", "舞台", "stage")
@@ -33,7 +33,7 @@ def repair_environment(df: DataFrame) -> DataFrame:
     text = F.lower(F.coalesce("description", F.lit("")))
     office = F.col("category") == "indoor_office"
     category = F.when(office & _has_any(text, STAGE_WORDS), "stage").when(office & _has_any(text, HOME_WORDS), "indoor_home").otherwise(F.col("category"))
-    labels = F.transform("objects", lambda o: F.lower(joined_words(o["label"], " ")))
+    labels = F.transform("objects", lambda o: F.lower(strip(o["label"])))
     graphic = (F.coalesce("confidence", F.lit(0.0)) <= 0.2) & F.arrays_overlap(labels, F.array(*map(F.lit, GRAPHIC_LABELS)))
     return df.withColumns({
         "category": F.when(graphic, "graphic_or_title").otherwise(category), "description": F.when(graphic, GRAPHIC_TEXT).otherwise(F.col("description")),
@@ -45,7 +45,7 @@ def scene_objects(df: DataFrame) -> DataFrame:
     """``df`` (repaired) without overlays, a logo only in graphic frames; labels by their canonical name."""
 
     def keep(o: Column) -> Column:
-        label = F.lower(F.btrim(o["label"]))
+        label = F.lower(strip(o["label"]))
         return ~label.isin(*OVERLAY_LABELS) & ((label != "logo") | (F.col("category") == "graphic_or_title"))
 
     cleaned = F.transform(F.filter("objects", keep), lambda o: F.struct(canonical_label(o["label"]).alias("label"), o["confidence"].alias("confidence")))

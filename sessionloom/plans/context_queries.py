@@ -217,7 +217,7 @@ rec AS (SELECT sid, speaker, face_id, segment_id, start_ms, end_ms, string_agg(s
   sid::VARCHAR || ':evidence:multimodal:' || substring(sha256('participant:' || speaker || chr(31) || face_id || chr(31) || segment_id || chr(31) || start_ms::VARCHAR || chr(31) || end_ms::VARCHAR), 1, 16) AS id,
   '{{"active_speaker_segment_id":"' || segment_id || '","binding_status":"' || status || '","duration_ms":' || (end_ms - start_ms)::VARCHAR || ',"end_ms":' || end_ms::VARCHAR || ',"speaker_label":"' || speaker || '","start_ms":'
   || start_ms::VARCHAR || ',"type":"speaker_face_temporal_overlap","visual_entity_ref":"' || face_id || '"}}' AS content FROM pairs GROUP BY sid, speaker, face_id, segment_id, status, start_ms, end_ms)"""
-_TALK = """t AS (SELECT *, list_transform(list_filter(string_split(lower(text), ' '), lambda x: length(x) >= 9), lambda x: trim(x, ' ')) AS own, trim(string_split(text, ' ')[1], ' ') AS intent FROM turns),
+_TALK = """t AS (SELECT *, list_transform(list_filter(string_split(lower(text), ' '), lambda x: length(x) >= 9), lambda x: {strip:x}) AS own, {strip:i} AS intent FROM turns),
 sc AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY speaker) AS n, 'topic ' || speaker AS name, coalesce(list(turn_id ORDER BY turn_id) FILTER (WHERE contains(text, '?')), []) AS turn_ids FROM turns GROUP BY sid, speaker),
 se AS (SELECT sid, n, name, unnest(turn_ids) AS turn_id, unnest(range(0, len(turn_ids))) AS pos FROM sc),
 th AS (SELECT sid, turn_id, list(name ORDER BY n) AS theirs FROM se GROUP BY sid, turn_id),
@@ -288,7 +288,10 @@ SELECT sid, face_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, max(score
 UNION ALL SELECT 'one_event', user_id::VARCHAR || '/' || event_type FROM events GROUP BY user_id, event_type HAVING count(*) > 1
 UNION ALL SELECT 'one_speaker', sid::VARCHAR || '/' || face_id FROM bound WHERE face_id IS NOT NULL GROUP BY sid, face_id HAVING count(*) > 1"""),
 }
-SQL["canonical_objects"] = SQL["canonical_objects"].replace("{key}", "replace(trim(regexp_replace(lower(replace(x, '-', ' ')), '[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'), ' '), ' ', '_')")
+_SPACE = "[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+_STRIP = "regexp_replace({}, '\\A" + _SPACE.replace("{", "{{").replace("}", "}}") + "|" + _SPACE.replace("{", "{{").replace("}", "}}") + "\\z', '', 'g')"
+SQL = {k: v.replace("{strip:x}", _STRIP.format("x")).replace("{strip:i}", _STRIP.format("string_split(text, ' ')[1]")).replace("lower(x)", f"lower({_STRIP.format('x')})") for k, v in SQL.items()}
+SQL["canonical_objects"] = SQL["canonical_objects"].replace("{key}", "replace(trim(regexp_replace(lower(replace(x, '-', ' ')), '" + _SPACE + "', ' ', 'g'), ' '), ' ', '_')")
 SQL = {k: v.replace("\n, ", ",\n", 1) if v.count("\n, ") else v for k, v in SQL.items()}
 QUERIES = {
     f.__name__: f

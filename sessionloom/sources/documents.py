@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,13 +25,22 @@ TIMELINE = T.StructType([
 
 
 def checkpointed(df: DataFrame, label: str) -> DataFrame:
-    """Write to the folder of ``spark.checkpoint.dir`` (our own only where none is set) and read back."""
+    """Write to the folder of ``spark.checkpoint.dir`` and read back.
+
+    Only a local master may go without that setting: it gets a folder of our
+    own, deleted at its end.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        app = spark.sparkContext.applicationId
-        root = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="sessionloom-")
-        _OWN[app] = root
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if app not in _OWN:
+            folder = tempfile.mkdtemp(prefix="sessionloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _OWN[app] = "file://" + folder
+        root = _OWN[app]
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -80,15 +91,79 @@ def provenance(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-def write_atomically(df: DataFrame, path: str) -> None:
-    """Write JSON beside ``path`` and swap it in, so that readers see the old or the new whole."""
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    return at, at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+#: The file that names the current version of a versioned document.
+CURRENT = "CURRENT"
+
+
+def write_atomically(df: DataFrame, path: str, keep: int = 1) -> str:
+    """Write JSON as a new version under ``path`` and let the pointer file name it.
+
+    The pointer is one small file that is created by a single rename onto a
+    name with the next number, so that readers see the old version or the new
+    one, whole, at any time; a writer that dies leaves the old one. ``keep``
+    versions before the new one stay for readers that have begun.
+    """
     spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    fresh, old = f"{path}.tmp-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.json(fresh)
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(conf)
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    fs.rename(at(fresh), at(path))
-    fs.delete(at(old), True)
+    at, fs = _files(spark, path)
+    numbers = _pointers(spark, path)
+    n = max(numbers, default=0) + 1
+    version = f"v{n:09d}-{uuid.uuid4().hex}"
+    df.write.json(f"{path}/{version}")
+    fresh = f"{path}/.{CURRENT}-{uuid.uuid4().hex}"
+    out = fs.create(at(fresh), False)
+    out.write(bytearray(version.encode()))
+    out.close()
+    if not fs.rename(at(fresh), at(f"{path}/{CURRENT}-{n:09d}")):
+        fs.delete(at(fresh), False)
+        fs.delete(at(f"{path}/{version}"), True)
+        raise OSError(f"another writer was first at version {n} of {path}")
+    for old in sorted(numbers)[: len(numbers) - keep]:
+        name = _named(spark, path, old)
+        fs.delete(at(f"{path}/{CURRENT}-{old:09d}"), False)
+        if name:
+            fs.delete(at(f"{path}/{name}"), True)
+    return version
+
+
+def _pointers(spark: SparkSession, path: str) -> list[int]:
+    at, fs = _files(spark, path)
+    found = fs.globStatus(at(f"{path}/{CURRENT}-*")) or []
+    return [int(x.getPath().getName().rpartition("-")[2]) for x in found]
+
+
+def _named(spark: SparkSession, path: str, n: int) -> str:
+    at, fs = _files(spark, path)
+    stream = fs.open(at(f"{path}/{CURRENT}-{n:09d}"))
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def read_current(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The current version of a document written by ``write_atomically``."""
+    numbers = _pointers(spark, path)
+    if not numbers:
+        raise FileNotFoundError(path)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.json(f"{path}/{_named(spark, path, max(numbers))}")
+
+
+def append_log(stream: DataFrame, path: str, checkpoint: str, sid: str = "sid"):
+    """A streaming query that appends events to a JSON-lines log, a folder for each session."""
+    return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).partitionBy(sid).outputMode("append").trigger(availableNow=True).start()
+
+
+def snapshot_log(stream: DataFrame, path: str, checkpoint: str):
+    """A streaming query whose complete result is the current version of a document after each batch."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        write_atomically(batch, path)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()

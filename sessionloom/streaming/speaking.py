@@ -11,15 +11,20 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STEP_MS = 40
 PHASES = "sid long, face_id string, t long, phase string"
-#: open: a phase is open; since: start of the running speech (null: silent); last: last speaking sample; live: end of the last continued report.
-STATE = "open boolean, since long, last long"
+#: speaking: a phase is open; voiced: start of the running speech; unvoiced: start of the running silence; until: how far the key was seen.
+STATE = "speaking boolean, voiced long, unvoiced long, until long"
+SILENT = (False, None, None)
 
 
 class SpeakingPhases:
-    """Samples of one face to started, continued and ended, in order of time.
-
-    Speech of ``confirm_ms`` without a gap opens a phase at its first sample;
-    ``silence_ms`` without a speaking sample ends it where the silence began.
+    """Samples of one face to started, continued and ended, a chunk of time after the other.
+
+    A silent face starts to speak once speaking samples without any other
+    between them reach ``confirm_ms``, at the first of them; a chunk without
+    samples interrupts them. A speaking face falls silent where its silence
+    began, once that lies ``silence_ms`` before the end of the chunk at hand;
+    what a chunk has no samples for at its end is silence. A chunk in which an
+    open phase goes on is reported at its first speaking sample.
     """
 
     def __init__(self, confirm_ms: int = 200, silence_ms: int = 1000, step_ms: int = STEP_MS):
@@ -27,64 +32,86 @@ class SpeakingPhases:
             raise ValueError("durations are at least one step")
         self.confirm_ms, self.silence_ms, self.step_ms = confirm_ms, silence_ms, step_ms
 
-    def advance(self, state: tuple, samples: list[tuple[int, bool]], until_ms: int) -> tuple[tuple, list[tuple[int, str]]]:
-        """The state after the samples, seen up to ``until_ms``, and the phases on the way.
-
-        At equal times a speaking sample wins.
-        """
-        is_open, since, last = state
-        merged: dict[int, bool] = {}
+    def advance(self, state: tuple, samples: list[tuple[int, bool]], start_ms: int, end_ms: int) -> tuple[tuple, list[tuple[int, str]]]:
+        """The state after the samples of [start_ms, end_ms), and the phases on the way. At equal times a speaking sample wins."""
+        speaking, voiced, unvoiced = state
+        at: dict[int, bool] = {}
         for t, on in samples:
-            merged[t] = merged.get(t, False) or on
+            if start_ms <= t < end_ms:
+                at[t] = at.get(t, False) or on
+        line = sorted(at.items())
+        if speaking:
+            rest = max(start_ms, line[-1][0] + self.step_ms) if line else start_ms
+            if rest < end_ms:
+                line.append((rest, False))
+        elif not line:
+            voiced = None
         out: list[tuple[int, str]] = []
-
-        def silent_at(t: int) -> None:
-            nonlocal is_open, since
-            if last is None:
-                return
-            if t > last + self.step_ms:
-                since = None
-            if is_open and t - (last + self.step_ms) >= self.silence_ms:
-                out.append((last + self.step_ms, "ended"))
-                is_open = False
-
-        opened_before = is_open
-        for t in sorted(merged):
-            if not merged[t]:
-                silent_at(t)
-                continue
-            silent_at(t)
-            if since is None:
-                since = t
-            last = t if last is None else max(last, t)
-            if not is_open and t + self.step_ms - since >= self.confirm_ms:
-                is_open = True
-                out.append((since, "started"))
-        silent_at(until_ms)
-        if opened_before and is_open and not out and merged:
-            out.append((max(merged), "continued"))
+        for t, on in line:
+            if on:
+                unvoiced = None
+                if not speaking:
+                    voiced = t if voiced is None else voiced
+                    if min(end_ms, t + self.step_ms) - voiced >= self.confirm_ms:
+                        speaking = True
+                        out.append((voiced, "started"))
+            else:
+                voiced = None
+                if speaking:
+                    unvoiced = t if unvoiced is None else unvoiced
+                    if end_ms - unvoiced >= self.silence_ms:
+                        out.append((unvoiced, "ended"))
+                        speaking, unvoiced = False, None
+        first = next((t for t, on in line if on), None)
+        if speaking and first is not None and not out:
+            out.append((first, "continued"))
         rank = {"ended": 0, "started": 1, "continued": 2}
-        return (is_open, since, last), sorted(out, key=lambda x: (x[0], rank[x[1]]))
+        return (speaking, voiced, unvoiced), sorted(out, key=lambda x: (x[0], rank[x[1]]))
 
 
-def speaking_stream(samples: DataFrame, confirm_ms: int = 200, silence_ms: int = 1000, step_ms: int = STEP_MS, watermark: str = "10 seconds") -> DataFrame:
+def speaking_stream(
+    samples: DataFrame, confirm_ms: int = 200, silence_ms: int = 1000, step_ms: int = STEP_MS, chunk_ms: int = 1000, watermark: str = "10 seconds"
+) -> DataFrame:
     """Phases of a stream of sid, face_id, t (ms), speaking (boolean), ts (timestamp of t).
 
-    State is one row for each face. Silence without further samples is noticed
-    by an event-time timer.
+    Chunks are the multiples of ``chunk_ms``, so that the phases don't depend on
+    how the stream falls into batches. State is one row for each face that
+    speaks or is about to; a silent face has none. Silence without further
+    samples is noticed by an event-time timer.
     """
     machine = SpeakingPhases(confirm_ms, silence_ms, step_ms)
 
+    def chunks(held: tuple, until: int, rows: list[tuple[int, bool]], end: int) -> tuple[tuple, int, list[tuple[int, str]]]:
+        """Whole chunks from ``until`` to ``end``; empty ones only as long as the state hears them."""
+        out: list[tuple[int, str]] = []
+        by: dict[int, list[tuple[int, bool]]] = {}
+        for t, on in rows:
+            by.setdefault(t // chunk_ms, []).append((t, on))
+        n, last = until // chunk_ms, end // chunk_ms
+        while n < last:
+            if n not in by and tuple(held) == SILENT:
+                n = min([k for k in by if k >= n], default=last)
+                continue
+            held, found = machine.advance(held, by.get(n, []), n * chunk_ms, (n + 1) * chunk_ms)
+            out += found
+            n += 1
+        return held, last * chunk_ms, out
+
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else (False, None, None)
+        *held, until = state.get if state.exists else (*SILENT, None)
         if state.hasTimedOut:
-            held, found = machine.advance(tuple(held), [], state.getCurrentWatermarkMs())
+            held, until, found = chunks(tuple(held), until, [], state.getCurrentWatermarkMs())
         else:
             rows = [(int(t), bool(on)) for b in batches for t, on in zip(b["t"], b["speaking"], strict=True)]
-            held, found = machine.advance(tuple(held), rows, max(t for t, _ in rows))
-        state.update(held)
-        if held[0] and held[2] is not None:
-            state.setTimeoutTimestamp(max(held[2] + step_ms + silence_ms, state.getCurrentWatermarkMs() + 1))
+            first, end = min(t for t, _ in rows), max(t for t, _ in rows) + step_ms
+            until = first // chunk_ms * chunk_ms if until is None else until
+            held, until, found = chunks(tuple(held), until, rows, -(-end // chunk_ms) * chunk_ms)
+        if tuple(held) == SILENT:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((*held, until))
+            state.setTimeoutTimestamp(max(until + silence_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(*key, t, p) for t, p in found], columns=["sid", "face_id", "t", "phase"])
 
     return (

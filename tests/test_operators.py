@@ -1,10 +1,12 @@
 """Golden cases of the relational operators."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as X
-from sessionloom.operators import activity, binding, evaluation, graph, intervals, spatial, vectors
-from sessionloom.streaming.speaking import SpeakingPhases
+from sessionloom.operators import activity, binding, dialogue, evaluation, graph, intervals, people, semantics, spatial, vectors
+from sessionloom.operators.replay import ReplayClock
+from sessionloom.streaming.speaking import SILENT, SpeakingPhases
 
 
 def frame(spark, rows, schema):
@@ -126,12 +128,105 @@ def test_speaking_machine_batch_and_incremental_agree(spark):
     got = {r.face_id: (r.started_ms, r.ended_ms) for r in activity.speaking_phases(df, ["sid", "face_id"], 2000, 200, 600).collect()}
     assert got == {"01": (0, 1000), "02": (1000, None)}
     machine = SpeakingPhases(200, 600)
-    state, first = machine.advance((False, None, None), [(t, True) for t in range(0, 1000, 40)], 1000)
+    state, first = machine.advance(SILENT, [(t, True) for t in range(0, 1000, 40)], 0, 1000)
     assert first == [(0, "started")]
-    state, second = machine.advance(state, [(t, False) for t in range(1000, 2000, 40)], 2000)
-    assert second == [(1000, "ended")]
-    state, gap = SpeakingPhases().advance((True, 0, 960), [(1960, True)], 1960)
-    assert gap == [(1960, "continued")]
+    state, second = machine.advance(state, [(t, False) for t in range(1000, 2000, 40)], 1000, 2000)
+    assert second == [(1000, "ended")] and state == SILENT
+
+
+def test_speaking_machine_over_chunks():
+    machine = SpeakingPhases(200, 1000)
+    state, first = machine.advance(SILENT, [(t, True) for t in range(0, 1000, 40)], 0, 1000)
+    assert first == [(0, "started")]
+    state, quiet = machine.advance(state, [], 1000, 1960)
+    assert quiet == []  # 960 ms of silence by the end of the chunk
+    state, again = machine.advance(state, [(t, t >= 2200) for t in range(1960, 2960, 40)], 1960, 2960)
+    # By the end of this chunk the silence from 1000 on is long enough, before its first voice.
+    assert again == [(1000, "ended"), (2200, "started")]
+    assert machine.advance((True, None, None), [(1960, True), (2000, False), (2040, True)], 1960, 2080)[1] == [(1960, "continued")]
+    # Samples before and after a chunk without any are not one run; at equal times voice wins.
+    state, _ = machine.advance(SILENT, [(0, True), (40, True), (80, True), (120, True)], 0, 160)
+    state, _ = machine.advance(state, [], 160, 320)
+    assert machine.advance(state, [(320, True), (320, False)], 320, 360)[1] == []
+
+
+def test_replay_clock():
+    now = [0.0]
+    clock = ReplayClock(10_000, 2.0, clock=lambda: now[0])
+    now[0] = 1.25
+    assert (clock.position_ms, clock.status) == (2500, "playing")
+    clock.control("pause")
+    now[0] = 9.0
+    assert (clock.position_ms, clock.status) == (2500, "paused")
+    clock.control("seek", 9000)
+    clock.control("resume")
+    now[0] = 11.0
+    assert (clock.position_ms, clock.status) == (10_000, "complete")
+    clock.control("restart")
+    assert (clock.position_ms, clock.status) == (0, "playing")
+    for action, at in (("seek", 10_001), ("seek", None), ("jump", 1)):
+        with pytest.raises(ValueError):
+            clock.control(action, at)
+    with pytest.raises(ValueError):
+        ReplayClock(10, 0.01)
+
+
+def test_disputed_faces_are_identity_candidates(spark):
+    bound = frame(spark, [(1, "A", "Face-01", "confirmed", 0.8), (1, "B", "Face-02", "ambiguous", 0.4)], "sid long, speaker string, face_id string, status string, confidence double")
+    rows = [(1, "A", "Face-01", 900, 0.9), (1, "A", "Face-02", 500, 0.5), (1, "B", "Face-02", 700, 0.7), (1, "B", "Face-01", 2000, 0.6)]
+    links = people.associations(frame(spark, rows, "sid long, speaker string, face_id string, overlap_ms long, coverage double"), bound)
+    got = {(r.speaker, r.face_id): (r.state, r.confidence) for r in links.collect()}
+    assert got == {("A", "Face-01"): ("confirmed", 0.8), ("B", "Face-02"): ("disputed", 0.4), ("B", "Face-01"): ("disputed", 0.6)}
+    who = frame(spark, [(1, "A", "Ann"), (1, "B", None), (1, "C", None)], "sid long, speaker string, display_name string")
+    nodes = people.person_nodes(frame(spark, [(1, "Face-01"), (1, "Face-02")], "sid long, face_id string"), bound, who)
+    assert {r.id: (r.label, r.identity_status) for r in nodes.collect()} == {
+        "person:speaker:A": ("Ann", "confirmed"), "visual_identity:Face-02": ("Face-02", "unconfirmed"), "person:speaker:B": ("B", "unbound"), "person:speaker:C": ("C", "unbound"),
+    }
+    evidence = frame(spark, [(1, "B", "Face-02", 5, 9), (1, "B", "Face-02", 20, 30)], "sid long, speaker string, face_id string, start_ms long, end_ms long")
+    edges = {(r.source, r.target): (r.start_ms, r.end_ms) for r in people.identity_candidates(links, evidence, nodes).collect()}
+    assert edges == {("person:speaker:B", "visual_identity:Face-02"): (5, 30), ("person:speaker:B", "person:speaker:A"): (0, 0)}
+
+
+def test_evidence_ids_do_not_collide(spark):
+    same = frame(spark, [(1, "x", "{}"), (1, "x", "{}")], "sid long, id string, content string")
+    assert people.one_payload(same).count() == 1
+    with pytest.raises(Exception, match="collision"):
+        people.one_payload(same.union(frame(spark, [(1, "x", "{1}")], "sid long, id string, content string"))).collect()
+
+
+def test_topics_opinions_and_intents(spark):
+    turns = frame(
+        spark, [(1, 1, "A", ["work", " work"], "ask", 0, 5), (1, 2, "B", [], "answer", 5, 9), (1, 3, "A", [], "ask", 9, 12)],
+        "sid long, turn_id long, speaker string, topics array<string>, intent string, start_ms long, end_ms long",
+    )
+    scene = frame(spark, [(1, 1, "home", [3]), (1, 2, "nothing", [])], "sid long, n long, name string, turn_ids array<long>")
+    got = {r.name: (r.id, r.turn_ids) for r in dialogue.topic_catalog(turns, scene).collect()}
+    assert got == {"home": ("topic:0001", [3]), "nothing": ("topic:0002", []), "work": ("topic:0003", [1]), dialogue.NO_TOPIC: ("topic:0004", [2])}
+    assert {r.name: (r.id, r.start_ms, r.end_ms, r.speakers) for r in dialogue.intents(turns).collect()} == {"ask": ("intent:0001", 0, 12, ["A"]), "answer": ("intent:0002", 5, 9, ["B"])}
+    assert dialogue.dialogue_edges(turns, scene).groupBy("predicate").count().orderBy("predicate").collect() == [("about", 3), ("expresses", 3), ("has_intent", 3)]
+
+
+def test_semantics_are_normalised(spark):
+    df = spark.sql("""SELECT 'indoor_office' AS category, 'A Stage with lights' AS description, 0.5D AS confidence, array(named_struct('label', 'logo', 'confidence', 0.5D), named_struct('label', ' Mic ', 'confidence', 0.5D)) AS objects,
+      array(named_struct('subject', 'Face-01', 'predicate', 'speaking', 'object', 'Face-02'), named_struct('subject', 'Face-01', 'predicate', 'looking_at', 'object', 'Face-09'), named_struct('subject', 'Face-01', 'predicate', 'holding', 'object', 'object:cup')) AS interactions,
+      array('Face-01') AS faces""")
+    row = semantics.scene_objects(semantics.repair_environment(df)).first()
+    assert row.category == "stage" and [o.label for o in row.objects] == ["microphone"]
+    faint = semantics.scene_objects(semantics.repair_environment(df.withColumn("confidence", F.lit(0.2)))).first()
+    assert (faint.category, faint.confidence, [o.label for o in faint.objects]) == ("graphic_or_title", 0.6, ["logo", "microphone"])
+    assert [x.predicate for x in semantics.group_speech_only(df).first().interactions] == ["looking_at", "holding"]
+    assert [x.predicate for x in semantics.visible_interactions(df, "faces").first().interactions] == ["holding"]
+
+
+def test_tracks_weigh_detections_by_quality(spark):
+    import math
+
+    side = lambda a: [math.cos(a), math.sin(a)]
+    rows = [(1, 0, 0, [0.0, 0.0, 9.0, 9.0], side(0.0), 1.0), (1, 1, 0, [0.0, 0.0, 9.0, 9.0], side(1.2), 0.0), (1, 2, 0, [50.0, 0.0, 9.0, 9.0], side(0.3), 1.0)]
+    df = frame(spark, rows, "sid long, frame long, det long, box array<double>, embedding array<double>, quality double")
+    # By quality the track stays at angle 0 and takes the third detection by likeness alone; unweighted it has turned away.
+    assert [r.track for r in vectors.track(df, 2, reid=0.94).orderBy("frame").collect()] == [1, 1, 1]
+    assert [r.track for r in vectors.track(df.drop("quality"), 2, reid=0.96).orderBy("frame").collect()] == [1, 1, 2]
 
 
 def test_segments_split_at_gaps(spark):

@@ -30,11 +30,32 @@ def test_an_unknown_speaker_is_refused_or_left_out(spark, tmp_path):
     assert documents.speech_spans(raw, 1000, strict=False).count() == 0
 
 
-def test_atomic_write_and_provenance(spark, tmp_path):
+def test_versions_are_swapped_by_their_pointer(spark, tmp_path):
     path = f"{tmp_path}/out"
-    for n in (1, 2):
+    with pytest.raises(FileNotFoundError):
+        documents.read_current(spark, path)
+    before = None
+    for n in (1, 2, 3):
         documents.write_atomically(spark.range(n), path)
-        assert spark.read.json(path).count() == n
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+        assert documents.read_current(spark, path).count() == n
+        if before is not None:
+            assert before.count() == n - 1  # a reader that has begun
+        before = documents.read_current(spark, path)
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("v")]) == 2
+    # A writer that dies before the swap leaves what was there.
+    spark.range(9).write.json(f"{path}/v000000009-dead")
+    assert documents.read_current(spark, path).count() == 3
+
+
+def test_provenance(spark, tmp_path):
     (tmp_path / "f.bin").write_bytes(b"abc")
     assert documents.provenance(spark, f"{tmp_path}/f.bin").first().sha256 == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_logs_and_snapshots_of_a_stream(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "sid long, type string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("sid long, type string").parquet(f"{tmp_path}/in")
+    documents.append_log(stream, f"{tmp_path}/log", f"{tmp_path}/c1").awaitTermination(60)
+    assert sorted(tuple(r) for r in spark.read.schema("type string, sid long").json(f"{tmp_path}/log").collect()) == [("a", 1), ("b", 1), ("c", 2)]
+    documents.snapshot_log(stream.groupBy("sid").count(), f"{tmp_path}/snap", f"{tmp_path}/c2").awaitTermination(60)
+    assert sorted((r.sid, r["count"]) for r in documents.read_current(spark, f"{tmp_path}/snap").collect()) == [(1, 2), (2, 1)]
