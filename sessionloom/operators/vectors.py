@@ -45,15 +45,18 @@ def bridged_fragments(obs: DataFrame, period_ms: int, short: int = 5, long: int
     """Short tracks inside a longer one: both its neighbours in time lie near and overlap the fragment's ends.
 
     ``obs``: sid, track, t, x, y, w, h. Returns sid, fragment, target, score.
+    Fragments meet the observations of longer tracks in time buckets.
     """
     sizes = obs.groupBy("sid", "track").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
     box = F.struct("t", "x", "y", "w", "h")
     ends = obs.groupBy("sid", "track").agg(F.min(box).alias("first"), F.max(box).alias("last"))
     fragments = sizes.where(F.col("n") <= short).join(ends, ["sid", "track"]).select("sid", F.col("track").alias("fragment"), "lo", "hi", "first", "last")
     targets = obs.join(sizes.where(F.col("n") >= long).select("sid", "track"), ["sid", "track"])
-    met = fragments.join(targets.select("sid", F.col("track").alias("target"), box.alias("o"), F.col("t")), "sid").where(
-        F.col("t").between(F.col("lo") - 2 * period_ms, F.col("hi") + 2 * period_ms)
-    )
+    reach, width = 2 * period_ms, max(1, 8 * period_ms)
+    bucket = lambda c: F.floor(c / width)
+    near = fragments.withColumn("__b", F.explode(F.sequence(bucket(F.col("lo") - reach), bucket(F.col("hi") + reach))))
+    points = targets.select("sid", F.col("track").alias("target"), box.alias("o"), F.col("t"), bucket(F.col("t")).alias("__b"))
+    met = near.join(points, ["sid", "__b"]).where(F.col("t").between(F.col("lo") - reach, F.col("hi") + reach))
     sides = met.groupBy("sid", "fragment", "target", "first", "last").agg(
         F.max(F.when(F.col("t") < F.col("lo"), F.col("o"))).alias("before"), F.min(F.when(F.col("t") > F.col("hi"), F.col("o"))).alias("after")
     )

@@ -406,6 +406,21 @@ SELECT doc_id, regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]', '', 'g') AS letters
 trim(regexp_replace(lower(replace(t || '_Ab  c', '_', ' ')), '{_SPACE.replace("{{", "{").replace("}}", "}")}', ' ', 'g'), ' ') AS label,
 CASE WHEN doc_id % 2 = 0 THEN 'plant' ELSE {_KEY.format("replace(k, '-', ' ')")} END AS canonical,
 'evidence:' || substring(sha256(lang || chr(31) || source || chr(31) || t), 1, 16) AS evidence_id FROM c""",
+    "joined_texts": sql("turns", """SELECT sid, sha256(list_reduce(list(text ORDER BY turn_id, text), lambda a, b: a || CASE WHEN regexp_matches(a, '[A-Za-z0-9]\\z') AND regexp_matches(b, '\\A[A-Za-z0-9]') THEN ' ' ELSE '' END || b)) AS sha256 FROM turns GROUP BY sid"""),
+    "strongest_cuts": "WITH RECURSIVE" + sql("active", """, o AS (SELECT sid, face_id, start_ms AS t, score_u AS s, row_number() OVER (PARTITION BY sid, face_id ORDER BY start_ms, score_u) AS n, count(*) OVER (PARTITION BY sid, face_id) AS m FROM active),
+r AS (SELECT sid, face_id, n, m, t AS lt, s AS ls, NULL::BIGINT AS et, NULL::BIGINT AS es FROM o WHERE n = 1
+  UNION ALL SELECT o.sid, o.face_id, o.n, o.m, CASE WHEN o.t - lt > 1800000 OR o.s > ls THEN o.t ELSE lt END, CASE WHEN o.t - lt > 1800000 OR o.s > ls THEN o.s ELSE ls END,
+    CASE WHEN o.t - lt > 1800000 THEN lt END, CASE WHEN o.t - lt > 1800000 THEN ls END FROM r JOIN o ON o.sid = r.sid AND o.face_id = r.face_id AND o.n = r.n + 1)
+SELECT sid, face_id, et AS start_ms, es AS score_u FROM r WHERE et IS NOT NULL UNION ALL SELECT sid, face_id, lt, ls FROM r WHERE n = m""").removeprefix("WITH"),
+    "bridged_fragments": sql("boxes", f""", ob AS (SELECT sid, track, t, min(x) AS x, min(y) AS y, min(w) AS w, min(h) AS h FROM (SELECT keyframe_id // 60 AS sid, CASE WHEN (keyframe_id // 3) % 7 = 0 THEN keyframe_id ELSE state END AS track, keyframe_id AS t, x, y, w, h FROM boxes) GROUP BY ALL),
+sz AS (SELECT sid, track, count(*) AS n, min(t) AS lo, max(t) AS hi FROM ob GROUP BY sid, track),
+fr AS (SELECT s.*, a.x AS x0, a.y AS y0, a.w AS w0, a.h AS h0, b.x AS x1, b.y AS y1, b.w AS w1, b.h AS h1 FROM sz s JOIN ob a ON a.sid = s.sid AND a.track = s.track AND a.t = s.lo JOIN ob b ON b.sid = s.sid AND b.track = s.track AND b.t = s.hi WHERE s.n <= 5),
+met AS (SELECT f.sid, f.track AS fragment, g.track AS target, max(o.t) FILTER (WHERE o.t < f.lo) AS tb, min(o.t) FILTER (WHERE o.t > f.hi) AS ta FROM fr f JOIN sz g ON g.sid = f.sid AND g.n >= 6 JOIN ob o ON o.sid = g.sid AND o.track = g.track
+  AND o.t BETWEEN f.lo - 4 AND f.hi + 4 GROUP BY ALL),
+sd AS (SELECT m.sid, m.fragment, m.target, {_IOU.replace('a.', 'p.').replace('b.', 'z.')} AS i0, {_IOU.replace('a.', 'q.').replace('b.', 'v.')} AS i1 FROM met m JOIN fr f ON f.sid = m.sid AND f.track = m.fragment
+  JOIN ob p ON p.sid = m.sid AND p.track = m.target AND p.t = m.tb JOIN ob q ON q.sid = m.sid AND q.track = m.target AND q.t = m.ta
+  JOIN ob z ON z.sid = m.sid AND z.track = m.fragment AND z.t = f.lo JOIN ob v ON v.sid = m.sid AND v.track = m.fragment AND v.t = f.hi)
+SELECT sid, fragment, target, {_R6.format("least(i0, i1)")} AS score FROM sd WHERE least(i0, i1) >= 0.35::DOUBLE QUALIFY row_number() OVER (PARTITION BY sid, fragment ORDER BY least(i0, i1) DESC, target) = 1"""),
     "relation_keys": sql("timed", """, r AS (SELECT 'p' || (user_id % 4)::VARCHAR AS s, CASE event_type WHEN 'click' THEN 'co_visible_with' WHEN 'view' THEN 'visually_close_to' ELSE 'left_of' END AS p, CASE WHEN event_id % 9 <> 0 THEN 'p' || (event_id % 4)::VARCHAR ELSE '' END AS o FROM timed)
 SELECT CASE WHEN p <> 'left_of' AND o < s THEN o ELSE s END AS subject, p AS predicate, CASE WHEN p <> 'left_of' AND o < s THEN s ELSE o END AS object, count(*) AS n FROM r GROUP BY 1, 2, 3"""),
     "unit_vectors": f"WITH {_VEC}, n AS (SELECT *, greatest(sqrt(list_dot_product(e, e)), 1e-12) AS n FROM vec) SELECT track, (i - 1)::INT AS dim, {_R4.format('(e[1] / n)')} AS c, {_R4.format('(e[i] / n)')} AS u FROM (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM n)",
