@@ -13,6 +13,7 @@ document is scored, over its whole text.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -34,7 +35,7 @@ BUCKETS = 1 << 22
 #: A word gives itself and its beginnings of these lengths.
 BEGINNINGS = (4, 5)
 #: Words of a worker's memo.
-MEMO = 100_000
+MEMO = 250_000
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -74,7 +75,7 @@ class OrdinalModel:
 
     def exceedance(self, score: float) -> list[float]:
         """P(grade >= k) for k from 1."""
-        return [1 / (1 + float(np.exp(min(50.0, max(-50.0, b - score))))) for b in self.thresholds]
+        return [1 / (1 + math.exp(min(50.0, max(-50.0, b - score)))) for b in self.thresholds]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -210,7 +211,7 @@ def _with_scores(docs: DataFrame, model: OrdinalModel, reject: float, text: str)
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = _Memo({f: i for i, f in enumerate(model.features)})
-        weights, step = np.array(model.weights), 1 << 10
+        weights, step = model.weights, 1 << 10
         try:
             for batch in texts:
                 parts = []
@@ -218,8 +219,7 @@ def _with_scores(docs: DataFrame, model: OrdinalModel, reject: float, text: str)
                     out = []
                     for x in batch.slice(lo, step):
                         found = count_features(x.as_py(), memo)
-                        at = np.array(sorted(found), dtype=np.int64)
-                        out.append(model.exceedance(float(weights[at] @ np.log1p([found[i] for i in at.tolist()])) if found else 0.0))
+                        out.append(model.exceedance(sum(weights[i] * math.log1p(n) for i, n in sorted(found.items()))))
                     parts.append(
                         pa.StructArray.from_arrays(
                             [
