@@ -197,7 +197,11 @@ def test_decontamination_against_brute_force(spark, empty):
         rows.append((30 + k, f"{noise(30)} {' '.join(own[: len(own) // 2])} {noise(30)}"))
     benchmark = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, h int")
     got = {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in contaminated(docs(spark, rows), benchmark).collect()}
-    full = lambda t: {tuple(words(t)[k : k + 5]) for k in range(len(words(t)) - 4)}
+
+    def full(t):
+        w = words(t)
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
     want = {(i, k, len(full(t)), len(full(t) & full(x))) for k, t in items[:7] for i, x in rows if len(full(t) & full(x)) * 10 >= 8 * len(full(t))}
     assert got == want and {10 + k for k in range(7)} <= {x[0] for x in want}
     shuffled = {(r.doc_id, r.item_id) for r in contaminated(docs(spark, rows), benchmark, broadcast_rows=0).collect()}
