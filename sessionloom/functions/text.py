@@ -14,6 +14,11 @@ SYMMETRIC = ("co_visible_with", "visually_close_to", "overlaps_in_image")
 SPACES = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` over a value that is computed once for a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(s: Column) -> Column:
     """A string without white space at its ends."""
     return F.regexp_replace(s, rf"\A{SPACES}|{SPACES}\z", "")
@@ -32,14 +37,12 @@ def letters(s: Column) -> Column:
 
 def bigrams(s: Column) -> Column:
     """Distinct character pairs of ``letters``; a single character stands for itself."""
-    t = letters(s)
-    chars = F.filter(F.split(t, ""), lambda c: c != "")
-    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars)), lambda a, b: F.concat(a, b))
-    return (
-        F.when(F.char_length(t) >= 2, F.array_distinct(F.filter(pairs, lambda p: p.isNotNull())))
-        .when(F.char_length(t) == 1, F.array(t))
-        .otherwise(F.array().cast("array<string>"))
-    )
+
+    def pairs(chars: Column) -> Column:
+        both = F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda a, b: F.concat(a, b))
+        return F.when(F.size(chars) >= 2, F.array_distinct(both)).otherwise(chars)
+
+    return let(F.filter(F.split(letters(s), ""), lambda c: c != ""), pairs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -48,6 +51,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def jaccard_distinct(a: Column, b: Column) -> Column:
+    """``jaccard`` of arrays that hold each value once: one look at both."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(0.0)).otherwise(let(shared, lambda n: n / (F.size(a) + F.size(b) - n)))
+
+
 def object_key(s: Column) -> Column:
     return joined_words(F.lower(s), "_")
 

@@ -8,19 +8,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
-from ..functions.text import bigrams, jaccard, object_key
+from ..functions.text import bigrams, jaccard_distinct, object_key
 from .intervals import overlap_join
 
 
 def unit_similarity(category: tuple[Column, Column], text: tuple[Column, Column], objects: tuple[Column, Column], faces: tuple[Column, Column]) -> Column:
-    """0 across categories; else 0.55 description + 0.30 objects + 0.15 faces, by Jaccard."""
-    score = 0.55 * jaccard(*text) + 0.3 * jaccard(*objects) + 0.15 * jaccard(*faces)
+    """0 across categories; else 0.55 description + 0.30 objects + 0.15 faces, by Jaccard of arrays of distinct values."""
+    score = 0.55 * jaccard_distinct(*text) + 0.3 * jaccard_distinct(*objects) + 0.15 * jaccard_distinct(*faces)
     return F.when(category[0] == category[1], score).otherwise(F.lit(0.0))
 
 
 def units(analyses: DataFrame) -> DataFrame:
     """Analyses with description bigrams and object keys, in order of time."""
-    return analyses.withColumns({"grams": bigrams(F.col("description")), "keys": F.array_distinct(F.transform("objects", object_key))})
+    return analyses.withColumns({"grams": bigrams(F.col("description")), "keys": F.array_distinct(F.transform("objects", object_key)), "faces": F.array_distinct("faces")})
 
 
 def merge_adjacent(analyses: DataFrame, threshold: float = 0.2) -> DataFrame:
