@@ -140,3 +140,20 @@ def chained_segments(df: DataFrame, session: list[str], same: list[str], silence
     reach = F.max("end_ms").over(v.rowsBetween(W.unboundedPreceding, -1))
     marked = turns.withColumn("__f", F.when(F.col("start_ms") <= reach + silence_ms, 0).otherwise(1)).withColumn("__g", F.sum("__f").over(v.rowsBetween(W.unboundedPreceding, 0)))
     return marked.groupBy(*session, "__t", "__g", *same).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.max("score").alias("score"), F.count(F.lit(1)).alias("n_parts")).drop("__t", "__g")
+
+
+def median_smooth(df: DataFrame, keys: list[str], order: list[str], value: str, kernel: int = 13) -> DataFrame:
+    """``df`` with ``smooth``: the running median of ``value``, the series continued by zeros at both ends.
+
+    The kernel is the largest odd number of at most ``kernel`` and the rows of
+    the key; series of fewer than three rows stay as they are.
+    """
+    radius = kernel // 2
+    w = W.partitionBy(*keys).orderBy(*order)
+    placed = df.withColumn("__p", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    near = placed.withColumn("__near", F.collect_list(F.struct("__p", F.col(value).cast("double").alias("v"))).over(w.rowsBetween(-radius, radius)))
+    size = F.least(F.lit(kernel), F.col("__n") - (F.col("__n") % 2 == 0).cast("int"))
+    held = F.transform(F.filter("__near", lambda x: F.abs(x["__p"] - F.col("__p")) * 2 < size), lambda x: x["v"])
+    padded = F.array_sort(F.concat(held, F.array_repeat(F.lit(0.0), (size - F.size(held)).cast("int"))))
+    median = F.element_at(padded, ((size + 1) / 2).cast("int"))
+    return near.withColumn("smooth", F.when(F.col("__n") < 3, F.col(value).cast("double")).otherwise(median)).drop("__p", "__n", "__near")

@@ -149,3 +149,14 @@ def reconcile(spans: DataFrame, segments: DataFrame, max_passes: int = 4, **thre
             return current, n, True
         seen = mark
     return current, max_passes, False
+
+
+def evidence_hash(overlaps: DataFrame) -> DataFrame:
+    """A hash of each session's evidence that doesn't depend on the order of rows or on any binding.
+
+    ``overlaps``: sid, speaker, face_id, overlap_ms. It is the SHA-256 of a JSON
+    array of objects with sorted keys, in order of speaker and face.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("speaker", "face_id", "overlap_ms")))
+    content = F.to_json(F.transform(rows, lambda x: F.struct(x["face_id"].alias("face_id"), x["overlap_ms"].alias("overlap_ms"), x["speaker"].alias("speaker"))))
+    return overlaps.groupBy("sid").agg(content.alias("content")).select("sid", F.sha2("content", 256).alias("evidence_sha256"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
-from ..functions.text import content_id
+from ..functions.text import SPACES, content_id
 from .intervals import overlap_join
 
 
@@ -100,3 +100,25 @@ def quality(score: Column, w: Column, h: Column, variance: Column) -> Column:
     """Quality of a detection from its score, size and sharpness (variance of the Laplacian)."""
     scale, sharp = F.least(F.lit(1.0), F.sqrt(w * h) / 112.0), F.least(F.lit(1.0), variance / 180.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score * (0.45 + 0.30 * scale + 0.25 * sharp)))
+
+
+def verified_evidence(evidence: DataFrame, spans: DataFrame, bucket_ms: int, tolerance_ms: int = 250) -> DataFrame:
+    """Whether a speaker's spans say what the evidence does, and when.
+
+    ``evidence``: sid, evidence_id, speaker, start_ms, end_ms, text; ``spans``:
+    sid, span_id, speaker, start_ms, end_ms, text. The texts of the overlapping
+    spans, joined in order, must hold the evidence's, white space apart, and
+    cover its time but for ``tolerance_ms`` at each end. Returns sid,
+    evidence_id, verified (false without spans).
+    """
+    pairs = overlap_join(evidence, spans.select("sid", "span_id", "speaker", "start_ms", "end_ms", "text"), ["sid", "speaker"], bucket_ms)
+    own = ["sid", "speaker", "evidence_id"]
+    said = pairs.groupBy(*own).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("r_start_ms", "r_span_id", "r_text"))), lambda x: x["r_text"]).alias("parts"),
+        F.min("r_start_ms").alias("first"), F.max("r_end_ms").alias("last"),
+    )
+    bare = lambda c: F.regexp_replace(c, SPACES, "")
+    rows = evidence.join(said, own, "left")
+    covers = (F.col("first") <= F.col("start_ms") + tolerance_ms) & (F.col("last") >= F.col("end_ms") - tolerance_ms)
+    holds = F.contains(bare(F.array_join("parts", "")), bare(F.col("text")))
+    return rows.select("sid", "evidence_id", F.coalesce(covers & holds, F.lit(False)).alias("verified"))

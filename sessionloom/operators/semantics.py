@@ -101,3 +101,13 @@ def reuse_analyses(plan: DataFrame, analyses: DataFrame, spoken: DataFrame) -> D
         F.transform("objects", lambda o: F.struct(o["label"].alias("label"), scaled(o["confidence"]).alias("confidence"))).alias("objects"),
         F.concat(kept, F.coalesce(F.filter("said", lambda s: ~F.exists(kept, lambda x: x.eqNullSafe(s))), F.slice(kept, 1, 0))).alias("interactions"),
     )
+
+
+def request_hash(*parts: Column) -> Column:
+    """Identity of a request to a model: version, model name, metadata as JSON, and image hashes."""
+    return F.sha2(F.concat_ws("\u001f", *parts), 256)
+
+
+def pending(requests: DataFrame, memo: DataFrame) -> DataFrame:
+    """Requests whose hash no earlier answer has; equal ones are asked once. Both have ``request_sha256``."""
+    return requests.dropDuplicates(["request_sha256"]).join(memo.select("request_sha256"), "request_sha256", "left_anti")

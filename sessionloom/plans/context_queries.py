@@ -182,6 +182,40 @@ def ensemble_scores(spark, d) -> DataFrame:
     return activity.ensemble_mean(b, ["keyframe_id", "state"], ["x", "y", "z"])
 
 
+def median_smoothing(spark, d) -> DataFrame:
+    return activity.median_smooth(A.active(spark, d), ["sid", "face_id"], ["start_ms", "segment_id"], "score_u").select("segment_id", "smooth")
+
+
+def evidence_hash(spark, d) -> DataFrame:
+    return binding.evidence_hash(binding.evidence(A.speech(spark, d), A.active(spark, d)))
+
+
+def scene_extent(spark, d) -> DataFrame:
+    """Extent of a session's scenes, and how many of its turns lie in none for a second or more."""
+    s, t = A.scenes(spark, d), A.turns(spark, d)
+    linked = intervals.overlap_join(t, s, ["sid"], 4000).where("overlap_ms >= 1000").select("sid", "turn_id").distinct()
+    alone = t.join(linked, ["sid", "turn_id"], "left_anti").groupBy("sid").agg(F.count(F.lit(1)).alias("unlinked"))
+    extent = s.groupBy("sid").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("scenes"))
+    return extent.join(alone, "sid", "left").fillna({"unlinked": 0})
+
+
+def pending_requests(spark, d) -> DataFrame:
+    """Keyframes are documents; those of one source have been answered already."""
+    docs = A.table(spark, d, "documents").where("text IS NOT NULL")
+    asked = docs.select("lang", "source", semantics.request_hash(F.lit("v1"), F.lit("model"), F.col("lang"), F.sha2("text", 256)).alias("request_sha256"))
+    first = docs.agg(F.min("source").alias("source"))
+    memo = asked.join(F.broadcast(first), "source").select("request_sha256")
+    return semantics.pending(asked.select("lang", "request_sha256"), memo)
+
+
+def verified_evidence(spark, d) -> DataFrame:
+    """The turn before is the evidence, said by the speaker of the turn; so few are verified."""
+    t = A.turns(spark, d)
+    w = W.partitionBy("sid").orderBy("turn_id")
+    claims = t.select("sid", F.col("turn_id").alias("evidence_id"), "speaker", "start_ms", "end_ms", F.when(F.char_length("text") > 200, F.col("text")).otherwise(F.coalesce(F.lag("text").over(w), "text")).alias("text"))
+    return people.verified_evidence(claims, t.withColumnRenamed("turn_id", "span_id"), 4000)
+
+
 def chained_segments(spark, d) -> DataFrame:
     rows = A.active(spark, d).withColumns({"n": F.struct("start_ms", "segment_id"), "score": F.col("score_u")})
     return activity.chained_segments(rows, ["sid"], ["face_id"], 600_000)
@@ -278,6 +312,18 @@ SELECT sid, face_id, run, count(*) AS n, ceil(min(t) / 40)::BIGINT * 40 AS first
 r AS (SELECT *, sum(f) OVER (PARTITION BY sid, face_id ORDER BY t, tracklet ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY sid, face_id ORDER BY t, tracklet) <= 7200 THEN 0 ELSE 1 END AS f FROM s))
 SELECT sid, face_id, min(t) AS start_ms, max(t) + 40 AS end_ms, floor(avg(score_u) * 1000000 + 0.5) / 1000000.0 AS score, floor(avg(score_u - 5000) * 1000000 + 0.5) / 1000000.0 AS raw_score,
 string_agg(DISTINCT tracklet::VARCHAR, ',' ORDER BY tracklet::VARCHAR) AS tracklets FROM r GROUP BY sid, face_id, g"""),
+    "median_smoothing": sql("active", """, a AS (SELECT *, row_number() OVER (PARTITION BY sid, face_id ORDER BY start_ms, segment_id) AS p, count(*) OVER (PARTITION BY sid, face_id) AS n FROM active),
+b AS (SELECT *, CASE WHEN n >= 13 THEN 13 WHEN n % 2 = 0 THEN n - 1 ELSE n END AS k FROM a),
+c AS (SELECT x.segment_id, x.n, x.k, x.score_u, list(y.score_u) AS v FROM b x JOIN b y ON y.sid = x.sid AND y.face_id = x.face_id AND abs(y.p - x.p) <= x.k // 2 GROUP BY ALL)
+SELECT segment_id, CASE WHEN n < 3 THEN score_u ELSE list_sort(list_concat(v, list_transform(range(0, k - len(v)), lambda i: 0::BIGINT)))[(k + 1) // 2] END::DOUBLE AS smooth FROM c"""),
+    "evidence_hash": sql("speech active timed", f""", {_BOUND} SELECT sid, sha256('[' || string_agg('{{"face_id":"' || face_id || '","overlap_ms":' || overlap_ms::VARCHAR || ',"speaker":"' || speaker || '"}}', ',' ORDER BY speaker, face_id) || ']') AS evidence_sha256 FROM ev GROUP BY sid"""),
+    "scene_extent": sql("turns scenes", """SELECT s.sid, s.start_ms, s.end_ms, s.scenes, coalesce(u.unlinked, 0) AS unlinked FROM (SELECT sid, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS scenes FROM scenes GROUP BY sid) s
+LEFT JOIN (SELECT sid, count(*) AS unlinked FROM turns t WHERE NOT EXISTS (SELECT 1 FROM scenes c WHERE c.sid = t.sid AND least(c.end_ms, t.end_ms) - greatest(c.start_ms, t.start_ms) >= 1000) GROUP BY sid) u ON u.sid = s.sid"""),
+    "pending_requests": """WITH a AS (SELECT lang, source, sha256('v1' || chr(31) || 'model' || chr(31) || lang || chr(31) || sha256(text)) AS request_sha256 FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT lang, request_sha256 FROM a WHERE request_sha256 NOT IN (SELECT request_sha256 FROM a WHERE source = (SELECT min(source) FROM documents WHERE text IS NOT NULL))""",
+    "verified_evidence": sql("turns", """, c AS (SELECT sid, turn_id, speaker, start_ms, end_ms, CASE WHEN length(text) > 200 THEN text ELSE coalesce(lag(text) OVER (PARTITION BY sid ORDER BY turn_id), text) END AS text FROM turns),
+m AS (SELECT c.sid, c.turn_id, string_agg(t.text, '' ORDER BY t.start_ms, t.turn_id) AS said, min(t.start_ms) AS f, max(t.end_ms) AS l FROM c JOIN turns t ON t.sid = c.sid AND t.speaker = c.speaker AND t.start_ms < c.end_ms AND c.start_ms < t.end_ms GROUP BY ALL)
+SELECT c.sid, c.turn_id AS evidence_id, coalesce(f <= c.start_ms + 250 AND l >= c.end_ms - 250 AND contains({bare:said}, {bare:c.text}), false) AS verified FROM c LEFT JOIN m ON m.sid = c.sid AND m.turn_id = c.turn_id"""),
     "ensemble_scores": sql("boxes", "SELECT keyframe_id, state, floor((CASE WHEN w > 0.25::DOUBLE THEN (x + y + w) / 3 ELSE (x + y) / 2 END) * 1000000 + 0.5) / 1000000.0 AS score FROM boxes"),
     "chained_segments": sql("active", """, o AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY start_ms, segment_id) AS n FROM active),
 k AS (SELECT *, sum(CASE WHEN face_id = p THEN 0 ELSE 1 END) OVER (PARTITION BY sid ORDER BY n ROWS UNBOUNDED PRECEDING) AS turn FROM (SELECT *, lag(face_id) OVER (PARTITION BY sid ORDER BY n) AS p FROM o)),
@@ -291,6 +337,8 @@ UNION ALL SELECT 'one_speaker', sid::VARCHAR || '/' || face_id FROM bound WHERE
 _SPACE = "[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
 _STRIP = "regexp_replace({}, '\\A" + _SPACE.replace("{", "{{").replace("}", "}}") + "|" + _SPACE.replace("{", "{{").replace("}", "}}") + "\\z', '', 'g')"
 SQL = {k: v.replace("{strip:x}", _STRIP.format("x")).replace("{strip:i}", _STRIP.format("string_split(text, ' ')[1]")).replace("lower(x)", f"lower({_STRIP.format('x')})") for k, v in SQL.items()}
+for _c in ("said", "c.text"):
+    SQL["verified_evidence"] = SQL["verified_evidence"].replace("{bare:" + _c + "}", f"regexp_replace({_c}, '{_SPACE}', '', 'g')")
 SQL["canonical_objects"] = SQL["canonical_objects"].replace("{key}", "replace(trim(regexp_replace(lower(replace(x, '-', ' ')), '" + _SPACE + "', ' ', 'g'), ' '), ' ', '_')")
 SQL = {k: v.replace("\n, ", ",\n", 1) if v.count("\n, ") else v for k, v in SQL.items()}
 QUERIES = {
@@ -298,6 +346,6 @@ QUERIES = {
     for f in (
         person_nodes, participant_associations, evidence_records, identity_candidates, face_summaries, detection_quality, turn_topics, topic_catalog, intent_nodes,
         dialogue_edges, environment_repair, canonical_objects, offline_interactions, live_interactions, transcript_interactions, reused_analyses, environment_accuracy,
-        score_records, observation_runs, segment_records, ensemble_scores, chained_segments, consistency_violations,
+        score_records, observation_runs, segment_records, ensemble_scores, chained_segments, consistency_violations, median_smoothing, evidence_hash, scene_extent, pending_requests, verified_evidence,
     )
 }

@@ -206,6 +206,35 @@ def test_topics_opinions_and_intents(spark):
     assert dialogue.dialogue_edges(turns, scene).groupBy("predicate").count().orderBy("predicate").collect() == [("about", 3), ("expresses", 3), ("has_intent", 3)]
 
 
+def test_running_median_with_zeros_at_the_ends(spark):
+    rows = [(1, i, float(v)) for i, v in enumerate((5, 9, 1, 7, 3))] + [(2, 0, 4.0), (2, 1, 8.0)]
+    got = activity.median_smooth(frame(spark, rows, "k long, i long, v double"), ["k"], ["i"], "v", kernel=3)
+    assert [r.smooth for r in got.orderBy("k", "i").collect()] == [5.0, 5.0, 7.0, 3.0, 3.0, 4.0, 8.0]
+
+
+def test_evidence_is_held_against_the_timeline(spark):
+    spans = frame(spark, [(1, 1, "A", 0, 1000, "good mor"), (1, 2, "A", 1000, 2000, "ning all"), (1, 3, "B", 0, 2000, "other")], "sid long, span_id long, speaker string, start_ms long, end_ms long, text string")
+    claims = [(1, 1, "A", 0, 2200, "Good morning".lower()), (1, 2, "A", 0, 2300, "good morning"), (1, 3, "B", 0, 2000, "good"), (1, 4, "C", 0, 10, "x")]
+    got = people.verified_evidence(frame(spark, claims, "sid long, evidence_id long, speaker string, start_ms long, end_ms long, text string"), spans, 500)
+    assert {r.evidence_id: r.verified for r in got.collect()} == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_hashes_of_evidence_and_requests(spark):
+    schema = "sid long, speaker string, face_id string, overlap_ms long"
+    rows = [(1, "B", "Face-01", 5), (1, "A", "Face-02", 7)]
+    one = binding.evidence_hash(frame(spark, rows, schema)).first().evidence_sha256
+    assert one == binding.evidence_hash(frame(spark, rows[::-1], schema)).first().evidence_sha256
+    assert one != binding.evidence_hash(frame(spark, [*rows[:1], (1, "A", "Face-02", 8)], schema)).first().evidence_sha256
+    asked = frame(spark, [("a", 1), ("a", 2), ("b", 3)], "request_sha256 string, n long")
+    assert [r.request_sha256 for r in semantics.pending(asked, frame(spark, [("b",)], "request_sha256 string")).collect()] == ["a"]
+
+
+def test_segments_join_the_last_one_only(spark):
+    rows = [(1, 1, "a", 0, 10, 5), (1, 2, "b", 11, 20, 1), (1, 3, "a", 15, 30, 2), (1, 4, "a", 32, 40, 9), (1, 5, "a", 60, 70, 3)]
+    got = activity.chained_segments(frame(spark, rows, "sid long, n long, face_id string, start_ms long, end_ms long, score long"), ["sid"], ["face_id"], 5)
+    assert sorted((r.start_ms, r.end_ms, r.face_id, r.score) for r in got.collect()) == [(0, 10, "a", 5), (11, 20, "b", 1), (15, 40, "a", 9), (60, 70, "a", 3)]
+
+
 def test_semantics_are_normalised(spark):
     df = spark.sql("""SELECT 'indoor_office' AS category, 'A Stage with lights' AS description, 0.5D AS confidence, array(named_struct('label', 'logo', 'confidence', 0.5D), named_struct('label', ' Mic ', 'confidence', 0.5D)) AS objects,
       array(named_struct('subject', 'Face-01', 'predicate', 'speaking', 'object', 'Face-02'), named_struct('subject', 'Face-01', 'predicate', 'looking_at', 'object', 'Face-09'), named_struct('subject', 'Face-01', 'predicate', 'holding', 'object', 'object:cup')) AS interactions,
