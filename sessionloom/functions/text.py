@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: Object labels that mean another.
 ALIASES = {"mic": "microphone", "potted_plant": "plant"}
-SYMMETRIC = ("co_visible_with", "visually_close_to", "overlaps_in_image")
+#: Predicates whose two sides may change places.
+SYMMETRIC = ("co_visible_with", "visually_close_to", "overlaps_in_image", "sitting_with", "standing_with")
 
 
 #: White space as a character class: what Unicode and the ASCII separators make one.

@@ -9,6 +9,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
+from ..functions.text import evaluation_label, relation_key, strip
+
+#: Environment categories, and the predicates of each kind of relation.
+ENVIRONMENT_CATEGORIES = (
+    "indoor_meeting", "indoor_office", "indoor_studio", "indoor_home", "indoor_public", "outdoor_public", "outdoor_nature", "stage", "vehicle", "graphic_or_title",
+    "other", "unknown",
+)
+PREDICATES = {
+    "interactions": ("speaking", "listening", "presenting", "showing", "holding", "using", "pointing_to", "sitting_with", "standing_with", "touching", "other"),
+    "spatial_relations": ("co_visible_with", "left_of", "above", "visually_close_to", "overlaps_in_image"),
+}
 
 
 def set_metrics(df: DataFrame, expected: str, predicted: str, by: list[str]) -> DataFrame:
@@ -72,5 +83,58 @@ def mismatched(claimed: DataFrame, counted: DataFrame, keys: list[str], claim: s
     return _violation(both.where(~F.col(claim).eqNullSafe(F.col(count))), rule, F.concat_ws("/", *keys))
 
 
+def shared_bucket(df: DataFrame, keys: list[str], time: str, entity: str, rule: str, step_ms: int = 40) -> DataFrame:
+    """Time buckets (half to even) in which more than one ``entity`` of a key is active."""
+    bucket = F.rint(F.col(time) / step_ms).cast("bigint").alias("bucket")
+    found = df.groupBy(*keys, bucket).agg(F.min(entity).alias("a"), F.max(entity).alias("b")).where("a <> b")
+    return _violation(found, rule, F.concat_ws("/", *keys, "bucket"))
+
+
+def annotation_violations(
+    frames: DataFrame, relations: DataFrame, keys: list[str], vocabulary: list[str] | None = None,
+    categories: tuple[str, ...] = ENVIRONMENT_CATEGORIES, predicates: dict[str, tuple[str, ...]] = PREDICATES,
+) -> DataFrame:
+    """Faults of hand-made annotations: rule and entity (keys, joined by ``/``).
+
+    ``frames``: keys, keyframe_id, timestamp_ms, environment_category and
+    object_labels (null: not annotated). ``relations``: keys, keyframe_id, field
+    (a key of ``predicates``), subject, predicate, object. A frame's labels
+    break one rule at most: blank, else named twice, else outside ``vocabulary``.
+    """
+    id_ = F.concat_ws("/", *keys, "keyframe_id")
+    labels = F.transform("object_labels", evaluation_label)
+    blank = F.exists("object_labels", lambda x: F.coalesce(strip(x) == "", F.lit(True)))
+    known = F.transform(F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>"), evaluation_label)
+    fault = F.when(blank, F.lit("blank_label")).when(F.size(F.array_distinct(labels)) < F.size(labels), F.lit("label_twice"))
+    if vocabulary is not None:
+        fault = fault.when(F.size(F.array_except(labels, known)) > 0, F.lit("outside_vocabulary"))
+    named = frames.where("object_labels IS NOT NULL").select(fault.alias("rule"), id_.alias("entity")).where("rule IS NOT NULL")
+    bare = frames.where("environment_category IS NULL AND object_labels IS NULL").withColumn("__e", id_)
+    allowed = F.lit(False)
+    for field, names in predicates.items():
+        allowed = allowed | ((F.col("field") == field) & F.col("predicate").isin(*names))
+    keyed = relations.withColumn("__k", relation_key(F.col("subject"), F.col("predicate"), F.col("object"))).withColumn("__e", id_)
+    twice = keyed.groupBy(*keys, "keyframe_id", "field", "__k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    wrong_id = ~F.coalesce(F.col("keyframe_id").rlike(r"\Akeyframe-[0-9]{5}\z"), F.lit(False))
+    return violations(
+        _violation(frames.where(wrong_id), "keyframe_id", id_),
+        not_unique(frames, [*keys, "keyframe_id"], "keyframe_twice"),
+        _violation(frames.where(F.coalesce(F.col("timestamp_ms") < 0, F.lit(True))), "timestamp", id_),
+        dangling(bare, relations, [*keys, "keyframe_id"], "__e", "no_dimension"),
+        _violation(frames.where(~F.col("environment_category").isin(*categories)), "category", id_),
+        named,
+        _violation(keyed.where(F.coalesce(F.col("subject") == "", F.lit(True))), "no_subject", F.col("__e")),
+        _violation(keyed.where(~F.coalesce(allowed, F.lit(False))), "predicate", F.col("__e")),
+        _violation(twice, "relation_twice", id_),
+    )
+
+
+def lineage_violations(claimed: DataFrame, found: DataFrame) -> DataFrame:
+    """Documents whose recorded digest of another isn't that file's: ``claimed`` (document, path, sha256), ``found`` (path, sha256)."""
+    seen = found.select("path", F.col("sha256").alias("__s"))
+    both = claimed.join(seen, "path", "left").where(~F.col("sha256").eqNullSafe(F.col("__s")))
+    return _violation(both, "lineage", F.concat_ws("/", "document", "path"))
+
+
 def violations(*found: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), found)
