@@ -59,6 +59,10 @@ spans AS (SELECT DISTINCT conv_id, span FROM p),
 again AS (
   SELECT p.conv_id, p.len, p.n, x.span FROM p JOIN spans x ON x.conv_id = p.conv_id AND x.span = p.span + 1
   WHERE p.begin >= (p.span + 1) * 1024 - 256
+  UNION ALL
+  -- a long turn leaves the span before its window empty: the turns right before it, of at most 256 tokens together
+  SELECT p.conv_id, p.len, p.n, x.span FROM p JOIN p x ON x.conv_id = p.conv_id AND p.e <= x.begin AND p.begin >= x.begin - 256
+  WHERE x.tokens > 1024 AND x.begin > 0 AND (x.begin - 1) // 1024 < x.span - 1
 ), heads AS (
   SELECT p.conv_id, p.len, x.span FROM p JOIN spans x ON x.conv_id = p.conv_id AND x.span <> p.span
   WHERE p.n = 1 AND p.role = 'system'

@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ import corpus_pipeline
 from sessionloom.llm.chat_format import ESCAPES, escape, format_chats, read_windows, unescape
 from sessionloom.llm.hnsw import Graph, search_vectors
 from sessionloom.llm.html_extract import extract, extract_pages
-from sessionloom.llm.queries_chat import chat_digests
+from sessionloom.llm.queries_chat import OP4_SQL, chat_digests, op4_chat_format
 from sessionloom.llm.toxicity import OrdinalModel, SparseRows, fit_cumulative_link, fit_toxicity, keep_clean, score_toxicity, word_features
 
 CHAT = "conv_id long, turn long, role string, text string, window string"
@@ -79,6 +80,23 @@ def test_long_turns_keep_their_history(spark):
     assert {r.conv_id: r.n_turns for r in chat_digests(spark.createDataFrame(windows)).collect()} == {1: 9, None: 2, 2: 1, 3: 2}
 
 
+def test_chat_sql_follows_long_turns(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = []
+    for c in range(60):
+        head = [(c, 0, "system", "rules & <|end|>")] if c % 2 else []
+        sizes = [int(rng.choice([3, 200, 900, 4000, 4100, 6000, 20_000])) for _ in range(12)]
+        rows += head + [(c, k + 1, ("user", "assistant")[k % 2], "é<s> word "[: n % 11] + "x" * n) for k, n in enumerate(sizes)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    duck = duckdb.connect()
+    duck.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    found = duck.execute(f"select {', '.join(names)} from ({OP4_SQL})").fetchall()
+    assert sorted(found) == sorted(map(tuple, op4_chat_format(spark, str(tmp_path)).select(names).collect()))
+    without = duck.execute(f"select sum(formatted_chars) from ({OP4_SQL.replace('x.tokens > 1024', 'false')})").fetchone()[0]
+    assert sum(r[-1] for r in found) > without
+
+
 VEC = "vec_id long, embedding array<float>, score string"
 
 
