@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,10 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
     One JSON document for each session. Times become milliseconds, half to even.
     """
     docs = spark.read.schema(TIMELINE).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return _raw_spans(docs)
+
+
+def _raw_spans(docs: DataFrame) -> DataFrame:
     spans = docs.select(F.col("session_id").alias("sid"), F.posexplode(F.coalesce("speech_spans", "utterances", "segments")).alias("n", "s"))
     ms = lambda a, b: F.rint(F.coalesce(F.col(f"s.{a}"), F.col(f"s.{b}")) * 1000).cast("bigint")
     return spans.select(
@@ -61,9 +65,26 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def speech_spans(raw: DataFrame, duration_ms: int, offset_ms: int = 0, strict: bool = True) -> DataFrame:
+def read_timeline_leniently(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """``read_timeline`` that never raises for its files: a missing path has no spans, a broken document none of its own.
+
+    Returns the spans and warnings. The broken documents are counted in one pass.
+    """
+    empty = spark.createDataFrame([], TIMELINE)
+    at, fs = _files(spark, path)
+    if not fs.globStatus(at(path)):
+        return _raw_spans(empty), [f"no speech timeline at {path}"]
+    marked = T.StructType([*TIMELINE.fields, T.StructField("_broken", T.StringType())])
+    docs = spark.read.schema(marked).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
+    n = docs.select(F.count("_broken"), F.count_if(F.coalesce("speech_spans", "utterances", "segments").isNull() & F.col("_broken").isNull())).first()
+    told = [f"{k} speech timelines {what}" for k, what in zip(n, ("can't be read", "have no spans")) if k]
+    return _raw_spans(docs.where("_broken IS NULL").drop("_broken")), told
+
+
+def speech_spans(raw: DataFrame, duration_ms: int | Column, offset_ms: int = 0, strict: bool = True) -> DataFrame:
     """Spans that can bind: final, of one canonical speaker, shifted and clipped to the session.
 
+    ``duration_ms`` is a number, or a column of ``raw``.
     ``strict`` raises on a speaker that is not A to D; else such spans are left out.
     """
     known = raw.where(F.col("speaker").isNotNull() & (F.col("speaker") != "unresolved"))
@@ -73,7 +94,8 @@ def speech_spans(raw: DataFrame, duration_ms: int, offset_ms: int = 0, strict: b
         known = known.withColumn("speaker", speaker)
     else:
         known = known.where(canonical)
-    inside = lambda c: F.greatest(F.lit(0), F.least(F.lit(duration_ms), F.col(c) + offset_ms)).cast("bigint")
+    limit = duration_ms if isinstance(duration_ms, Column) else F.lit(duration_ms)
+    inside = lambda c: F.greatest(F.lit(0), F.least(limit, F.col(c) + offset_ms)).cast("bigint")
     return (
         known.where("status = 'final' AND attribution = 'single_speaker'")
         .withColumns({"start_ms": inside("start_ms"), "end_ms": inside("end_ms")})
@@ -81,7 +103,7 @@ def speech_spans(raw: DataFrame, duration_ms: int, offset_ms: int = 0, strict: b
     )
 
 
-def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Versioned session documents, refused if they don't fit the schema."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
