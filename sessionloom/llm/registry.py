@@ -5,7 +5,7 @@ from __future__ import annotations
 from .queries_chat import OP4_SQL, op4_chat_format
 from .queries_leaks import OP3_SQL, op3_decontaminate
 from .queries_lines import OP1_SQL, op1_line_dedup
-from .queries_near import op2_ngram_join
+from .queries_near import OP2_SQL, op2_ngram_join
 from .queries_pages import op9_html_extract
 from .queries_secrets import op10_secret_scan
 from .queries_shards import op8_sharding
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_secret_scan": op10_secret_scan,
 }
-SQL = {"op1_line_dedup": OP1_SQL, "op3_decontaminate": OP3_SQL, "op4_chat_format": OP4_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op2_ngram_join": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_chat_format": OP4_SQL}

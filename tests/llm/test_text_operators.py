@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from sessionloom.llm.components import connected_components
 from sessionloom.llm.decontaminate import contaminated, decontaminate, needed_hits
 from sessionloom.llm.line_dedup import LineRuns, dedup_lines, line_table
 from sessionloom.llm.ngram_join import Threshold, link_documents, one_of_each, shingle_sets
+from sessionloom.llm.queries_near import OP2_SQL, op2_ngram_join
 from sessionloom.llm.queries_tokens import rank_path
 from sessionloom.llm.secret_scan import scan_secrets
 from sessionloom.llm.shard_shuffle import external_shuffle, scatter
@@ -368,3 +370,16 @@ def test_digests_of_the_queries(spark):
     for r in QUERIES["op10_secret_scan"](spark, sf).collect():
         found = brute_secrets(rows[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in found).encode()).hexdigest()
+
+
+def test_near_copy_sql_on_edge_cases(spark, tmp_path):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(base[: 57 + k % 4]).replace("w30", "w30" if k % 3 else "W30")) for k in range(12)]  # chains of near copies
+    rows += [(20, None), (21, ""), (22, " \t\n"), (23, "one"), (24, "ONE "), (25, "one two"), (26, "one  two"), (27, "a b a b a b"), (28, "a b a b"), (29, "\u00a0x y")]
+    rows += [(40 + k, " ".join(base[k:] + [f"z{j}" for j in range(k)])) for k in range(0, 12, 2)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(duck.execute(f"select doc_id, n_shingles, component_id from ({OP2_SQL})").fetchall())
+    assert want == sorted(map(tuple, op2_ngram_join(spark, str(tmp_path)).select("doc_id", "n_shingles", "component_id").collect()))
+    assert sum(a != c for a, _, c in want) > 12
