@@ -425,6 +425,12 @@ SELECT sid, fragment, target, {_R6.format("least(i0, i1)")} AS score FROM sd WHE
 SELECT CASE WHEN p <> 'left_of' AND o < s THEN o ELSE s END AS subject, p AS predicate, CASE WHEN p <> 'left_of' AND o < s THEN s ELSE o END AS object, count(*) AS n FROM r GROUP BY 1, 2, 3"""),
     "unit_vectors": f"WITH {_VEC}, n AS (SELECT *, greatest(sqrt(list_dot_product(e, e)), 1e-12) AS n FROM vec) SELECT track, (i - 1)::INT AS dim, {_R4.format('(e[1] / n)')} AS c, {_R4.format('(e[i] / n)')} AS u FROM (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM n)",
     "histogram_distance": f"WITH {_VEC}, h AS (SELECT sid, track, list_transform(e, lambda x: abs(x)) AS h, lag(list_transform(e, lambda x: abs(x))) OVER (PARTITION BY sid ORDER BY track) AS p FROM vec) SELECT sid, track, {_R4.format('sqrt(greatest(0.0, 1 - list_sum(list_transform(list_zip(h, p), lambda z: sqrt(z[1] * z[2]))) / sqrt(list_sum(h) * list_sum(p))))')} AS distance FROM h WHERE p IS NOT NULL",
+    "leader_clusters": f"""WITH RECURSIVE {_VEC}, h AS (SELECT sid::VARCHAR AS sid, track AS item, list_transform(e, lambda x: abs(x)) AS h, row_number() OVER (PARTITION BY sid ORDER BY track) AS n FROM vec),
+r AS (SELECT sid, n, item, [{{'item': item, 'h': h}}] AS kept, item AS leader, 0.0::DOUBLE AS distance FROM h WHERE n = 1
+  UNION ALL SELECT sid, n, item, CASE WHEN best.d <= 0.35 THEN kept ELSE list_append(kept, {{'item': item, 'h': h}}) END, CASE WHEN best.d <= 0.35 THEN best.item ELSE item END, CASE WHEN best.d <= 0.35 THEN best.d ELSE 0.0 END
+  FROM (SELECT o.sid, o.n, o.item, o.h, kept, list_sort(list_transform(kept, lambda k: {{'d': sqrt(greatest(0.0, 1 - list_sum(list_transform(list_zip(o.h, k.h), lambda z: sqrt(z[1] * z[2]))) / sqrt(list_sum(o.h) * list_sum(k.h)))), 'item': k.item}}))[1] AS best
+    FROM r JOIN h o ON o.sid = r.sid AND o.n = r.n + 1))
+SELECT sid, item, leader, round(distance, 6) AS distance FROM r""",
     "logistic_scores": sql("timed", "SELECT event_id, floor(1 / (1 + exp(-((score_u - 5000) / 1000.0::DOUBLE))) * 100000 + 0.5) / 100000.0 AS probability FROM timed"),
 }
 SQL = {k: v.replace("\n, ", ",\n", 1) if v.startswith("WITH timed") or v.startswith("WITH turns") or v.startswith("WITH boxes") or v.startswith("WITH analyses") else v for k, v in SQL.items()}

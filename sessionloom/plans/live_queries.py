@@ -165,6 +165,13 @@ SELECT sid, face_id, speaker FROM acts QUALIFY row_number() OVER (PARTITION BY s
 SELECT sid, count(*) AS sampled_frames, floor(avg(score_u) * 1000000 + 0.5) / 1000000.0 AS mean_latency, (quantile_disc(score_u, 0.5) FILTER (WHERE r <= 1000))::DOUBLE AS p50_recent,
   (quantile_disc(score_u, 0.95) FILTER (WHERE r <= 1000))::DOUBLE AS p95_recent, max(score_u) AS max_latency, greatest(0, max(score_u - 2000)) AS max_lag FROM ra GROUP BY sid"""),
     "event_window": sql("timed", "SELECT sid, event_id, event_type FROM timed QUALIFY row_number() OVER (PARTITION BY sid ORDER BY event_id DESC) <= 100"),
+    "semantic_requests": """WITH d AS (SELECT doc_id // 50 AS sid, doc_id, length(text) AS n, doc_id % 97 = 96 AND coalesce(lang, '') = 'en' AS refused,
+  row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL),
+b AS (SELECT *, (k + 2) // 3 AS batch, sum(n) OVER w AS total, count(*) OVER w AS size, row_number() OVER (w ORDER BY doc_id) AS part FROM d WINDOW w AS (PARTITION BY sid, (k + 2) // 3)),
+f AS (SELECT b.*, coalesce(batch - stop, -1) AS late FROM b LEFT JOIN (SELECT sid, min(batch) AS stop FROM b WHERE refused GROUP BY sid) USING (sid))
+SELECT sid, doc_id::VARCHAR AS keyframe_id, 'semantic-batch-' || lpad(batch::VARCHAR, 5, '0') || CASE WHEN late < 0 AND size > 1 AND total % 3 = 0 THEN '-part-' || lpad(part::VARCHAR, 2, '0') ELSE '' END AS batch_id,
+  CASE WHEN late < 0 THEN '{"keyframe_id": "' || doc_id::VARCHAR || '", "n": ' || n::VARCHAR || '}' END AS analysis,
+  CASE WHEN late < 0 THEN 'done' WHEN late = 0 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN late = 0 THEN 'no answer' END AS error FROM f""",
     "frame_metadata": sql("boxes", """, pe AS (SELECT keyframe_id, state, 'Face-0' || state::VARCHAR || ':' || CASE WHEN x + w / 2 < 1 / 3 THEN 'left' WHEN x + w / 2 > 2 / 3 THEN 'right' ELSE 'center' END
   || ':' || CASE WHEN y + h / 2 < 1 / 3 THEN 'top' WHEN y + h / 2 > 2 / 3 THEN 'bottom' ELSE 'middle' END AS p FROM boxes WHERE state <> 3),
 g AS (SELECT keyframe_id, string_agg(p, ',' ORDER BY p) AS people FROM pe GROUP BY keyframe_id)
