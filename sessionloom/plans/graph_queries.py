@@ -425,6 +425,15 @@ SELECT sid, fragment, target, {_R6.format("least(i0, i1)")} AS score FROM sd WHE
 SELECT CASE WHEN p <> 'left_of' AND o < s THEN o ELSE s END AS subject, p AS predicate, CASE WHEN p <> 'left_of' AND o < s THEN s ELSE o END AS object, count(*) AS n FROM r GROUP BY 1, 2, 3"""),
     "unit_vectors": f"WITH {_VEC}, n AS (SELECT *, greatest(sqrt(list_dot_product(e, e)), 1e-12) AS n FROM vec) SELECT track, (i - 1)::INT AS dim, {_R4.format('(e[1] / n)')} AS c, {_R4.format('(e[i] / n)')} AS u FROM (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM n)",
     "histogram_distance": f"WITH {_VEC}, h AS (SELECT sid, track, list_transform(e, lambda x: abs(x)) AS h, lag(list_transform(e, lambda x: abs(x))) OVER (PARTITION BY sid ORDER BY track) AS p FROM vec) SELECT sid, track, {_R4.format('sqrt(greatest(0.0, 1 - list_sum(list_transform(list_zip(h, p), lambda z: sqrt(z[1] * z[2]))) / sqrt(list_sum(h) * list_sum(p))))')} AS distance FROM h WHERE p IS NOT NULL",
+    "view_bridging": "WITH RECURSIVE" + sql("analyses", f""", {_GROUPS},
+gs AS (SELECT sid, grp, {{'cat': first(category ORDER BY start_ms, keyframe_id), 'n': count(*), 'ms': sum(end_ms - start_ms)::BIGINT, 'views': list(keyframe_id % 3), 'ids': list(keyframe_id ORDER BY start_ms, keyframe_id)}} AS x FROM g GROUP BY sid, grp),
+b AS (SELECT sid, list(x ORDER BY grp) AS held, 1::BIGINT AS i FROM gs GROUP BY sid
+  UNION ALL SELECT sid, CASE WHEN ok THEN list_concat(list_concat(held[:i - 1], [{{'cat': l.cat, 'n': l.n + m.n + r.n, 'ms': l.ms + m.ms + r.ms, 'views': list_concat(list_concat(l.views, m.views), r.views), 'ids': list_concat(list_concat(l.ids, m.ids), r.ids)}}]), held[i + 3:]) ELSE held END,
+    CASE WHEN ok THEN greatest(1, i - 2) ELSE i + 1 END
+  FROM (SELECT *, l.cat IS NOT DISTINCT FROM m.cat AND m.cat IS NOT DISTINCT FROM r.cat AND m.n <= 2 AND m.ms <= 60000 AND list_has_any(l.views, r.views) AS ok
+    FROM (SELECT *, held[i] AS l, held[i + 1] AS m, held[i + 2] AS r FROM b WHERE i + 2 <= len(held)))),
+o AS (SELECT sid, held, unnest(range(1, len(held) + 1)) AS "group" FROM b WHERE i + 2 > len(held))
+SELECT sid, unnest(held["group"].ids) AS keyframe_id, "group" FROM o""").removeprefix("WITH"),
     "leader_clusters": f"""WITH RECURSIVE {_VEC}, h AS (SELECT sid::VARCHAR AS sid, track AS item, list_transform(e, lambda x: abs(x)) AS h, row_number() OVER (PARTITION BY sid ORDER BY track) AS n FROM vec),
 r AS (SELECT sid, n, item, [{{'item': item, 'h': h}}] AS kept, item AS leader, 0.0::DOUBLE AS distance FROM h WHERE n = 1
   UNION ALL SELECT sid, n, item, CASE WHEN best.d <= 0.35 THEN kept ELSE list_append(kept, {{'item': item, 'h': h}}) END, CASE WHEN best.d <= 0.35 THEN best.item ELSE item END, CASE WHEN best.d <= 0.35 THEN best.d ELSE 0.0 END
