@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .live import _in_order
+from .semantics import request_hash
 
 
 class RateLimited(Exception):
@@ -141,6 +142,21 @@ def analyse(requests: DataFrame, transport: Callable[[list[dict]], str], order:
     return _in_order(rows, ["sid"], ["__o", "keyframe_id"]).mapInArrow(run, "sid long, " + ", ".join(f"{n} string" for n in names[1:]))
 
 
+def cached_answers(cache: DataFrame, version: str) -> DataFrame:
+    """The newest kept answer for each keyframe, from cache files that are what their names say.
+
+    ``cache``: sid, path, modified, model, metadata (JSON text), images (array
+    of hashes) and answers (array of keyframe_id, analysis). A file counts only
+    if its name is the hash of its request. Of equally new ones the last by
+    path is taken. Returns sid, keyframe_id, analysis, path.
+    """
+    hashed = request_hash(F.lit(version), F.col("model"), F.col("metadata"), F.array_join("images", ","))
+    sound = cache.where(F.regexp_extract("path", r"([^/]+)\.json\z", 1) == hashed)
+    each = sound.select("sid", "modified", "path", F.inline("answers")).where("keyframe_id IS NOT NULL")
+    best = F.max_by(F.struct("analysis", "path"), F.struct("modified", "path")).alias("b")
+    return each.groupBy("sid", "keyframe_id").agg(best).select("sid", "keyframe_id", "b.analysis", "b.path")
+
+
 def session_status(results: DataFrame) -> DataFrame:
     """Whether a session's analyses are ``complete`` or ``partial``, with the counts."""
     n = lambda s: F.count_if(F.col("status") == s).alias(s)

@@ -1,5 +1,6 @@
 """Golden cases of the live, model-request and annotation operators."""
 
+import hashlib
 import json
 import random
 
@@ -117,6 +118,15 @@ def test_batches_fall_back_to_single_requests_and_stop_at_a_failure(spark):
     assert scoring.analyse(spark.createDataFrame([], REQUESTS), transport(), "position").count() == 0
 
 
+def test_only_cache_files_named_by_their_request_count(spark):
+    stem = hashlib.sha256("v1\u001fm\u001f{}\u001fa,b".encode()).hexdigest()
+    file = lambda path, when, *answers: (1, path, when, "m", "{}", ["a", "b"], list(answers))
+    rows = [file(f"/c/{stem}.json", 1, ("k1", "old"), ("k2", "x")), file(f"/d/{stem}.json", 2, ("k1", "new"), (None, "y")), file("/c/other.json", 3, ("k1", "wrong")), file(f"/c/{stem}.json.tmp", 4, ("k1", "part"))]
+    df = spark.createDataFrame(rows, "sid long, path string, modified long, model string, metadata string, images array<string>, answers array<struct<keyframe_id:string,analysis:string>>")
+    assert [r[1:3] for r in rows_of(scoring.cached_answers(df, "v1"), "keyframe_id")] == [("k1", "new"), ("k2", "x")]
+    assert scoring.cached_answers(df, "v2").count() == 0
+
+
 def test_retry_waits_as_told_and_gives_up():
     assert scoring.retry_delay("", "2.5", 0) == 2.5 and scoring.retry_delay("", "-1", 0) == 0
     assert scoring.retry_delay("Try again in 250ms", None, 0) == 0.25 and scoring.retry_delay("try again in 7.5s.", "soon", 0) == 7.5
