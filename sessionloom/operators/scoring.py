@@ -150,7 +150,7 @@ def cached_answers(cache: DataFrame, version: str) -> DataFrame:
     if its name is the hash of its request. Of equally new ones the last by
     path is taken. Returns sid, keyframe_id, analysis, path.
     """
-    hashed = request_hash(F.lit(version), F.col("model"), F.col("metadata"), F.array_join("images", ","))
+    hashed = request_hash(F.lit(version), F.col("model"), F.col("metadata"), F.array_join("images", ""))
     sound = cache.where(F.regexp_extract("path", r"([^/]+)\.json\z", 1) == hashed)
     each = sound.select("sid", "modified", "path", F.inline("answers")).where("keyframe_id IS NOT NULL")
     best = F.max_by(F.struct("analysis", "path"), F.struct("modified", "path")).alias("b")

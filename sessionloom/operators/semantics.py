@@ -104,8 +104,8 @@ def reuse_analyses(plan: DataFrame, analyses: DataFrame, spoken: DataFrame) -> D
 
 
 def request_hash(*parts: Column) -> Column:
-    """Identity of a request to a model: version, model name, metadata as JSON, and image hashes."""
-    return F.sha2(F.concat_ws("\u001f", *parts), 256)
+    """Identity of a request to a model: the SHA-256 of version, model name, metadata as JSON and image hashes, end to end."""
+    return F.sha2(F.concat(*parts), 256)
 
 
 def pending(requests: DataFrame, memo: DataFrame) -> DataFrame:

@@ -319,7 +319,7 @@ SELECT segment_id, CASE WHEN n < 3 THEN score_u ELSE list_sort(list_concat(v, li
     "evidence_hash": sql("speech active timed", f""", {_BOUND} SELECT sid, sha256('[' || string_agg('{{"face_id":"' || face_id || '","overlap_ms":' || overlap_ms::VARCHAR || ',"speaker":"' || speaker || '"}}', ',' ORDER BY speaker, face_id) || ']') AS evidence_sha256 FROM ev GROUP BY sid"""),
     "scene_extent": sql("turns scenes", """SELECT s.sid, s.start_ms, s.end_ms, s.scenes, coalesce(u.unlinked, 0) AS unlinked FROM (SELECT sid, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS scenes FROM scenes GROUP BY sid) s
 LEFT JOIN (SELECT sid, count(*) AS unlinked FROM turns t WHERE NOT EXISTS (SELECT 1 FROM scenes c WHERE c.sid = t.sid AND least(c.end_ms, t.end_ms) - greatest(c.start_ms, t.start_ms) >= 1000) GROUP BY sid) u ON u.sid = s.sid"""),
-    "pending_requests": """WITH a AS (SELECT lang, source, sha256('v1' || chr(31) || 'model' || chr(31) || lang || chr(31) || sha256(text)) AS request_sha256 FROM documents WHERE text IS NOT NULL)
+    "pending_requests": """WITH a AS (SELECT lang, source, sha256('v1' || 'model' || lang || sha256(text)) AS request_sha256 FROM documents WHERE text IS NOT NULL)
 SELECT DISTINCT lang, request_sha256 FROM a WHERE request_sha256 NOT IN (SELECT request_sha256 FROM a WHERE source = (SELECT min(source) FROM documents WHERE text IS NOT NULL))""",
     "verified_evidence": sql("turns", """, c AS (SELECT sid, turn_id, speaker, start_ms, end_ms, CASE WHEN length(text) > 200 THEN text ELSE coalesce(lag(text) OVER (PARTITION BY sid ORDER BY turn_id), text) END AS text FROM turns),
 m AS (SELECT c.sid, c.turn_id, string_agg(t.text, '' ORDER BY t.start_ms, t.turn_id) AS said, min(t.start_ms) AS f, max(t.end_ms) AS l FROM c JOIN turns t ON t.sid = c.sid AND t.speaker = c.speaker AND t.start_ms < c.end_ms AND c.start_ms < t.end_ms GROUP BY ALL)

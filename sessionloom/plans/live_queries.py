@@ -81,7 +81,7 @@ def semantic_requests(spark, d) -> DataFrame:
 def cached_answers(spark, d) -> DataFrame:
     docs = A.table(spark, d, "documents").where("text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL")
     images = F.array("source", F.col("doc_id").cast("string"))
-    named = F.when(F.col("doc_id") % 5 == 0, F.sha2("text", 256)).otherwise(request_hash(F.lit("v1"), F.col("lang"), F.col("text"), F.array_join(images, ",")))
+    named = F.when(F.col("doc_id") % 5 == 0, F.sha2("text", 256)).otherwise(request_hash(F.lit("v1"), F.col("lang"), F.col("text"), F.array_join(images, "")))
     answers = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct((F.col("doc_id") % 40 * 2 + i).cast("string").alias("keyframe_id"), F.col("lang").alias("analysis")))
     cache = docs.select(
         F.col("source").alias("sid"), F.concat(F.lit("/cache/"), named, F.lit(".json")).alias("path"), F.col("n_chars").alias("modified"), F.col("lang").alias("model"),
@@ -185,7 +185,7 @@ f AS (SELECT b.*, coalesce(batch - stop, -1) AS late FROM b LEFT JOIN (SELECT si
 SELECT sid, doc_id::VARCHAR AS keyframe_id, 'semantic-batch-' || lpad(batch::VARCHAR, 5, '0') || CASE WHEN late < 0 AND size > 1 AND total % 3 = 0 THEN '-part-' || lpad(part::VARCHAR, 2, '0') ELSE '' END AS batch_id,
   CASE WHEN late < 0 THEN '{"keyframe_id": "' || doc_id::VARCHAR || '", "n": ' || n::VARCHAR || '}' END AS analysis,
   CASE WHEN late < 0 THEN 'done' WHEN late = 0 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN late = 0 THEN 'no answer' END AS error FROM f""",
-    "cached_answers": """WITH c AS (SELECT source AS sid, doc_id, n_chars AS modified, lang, sha256('v1' || chr(31) || lang || chr(31) || text || chr(31) || source || ',' || doc_id::VARCHAR) AS stem
+    "cached_answers": """WITH c AS (SELECT source AS sid, doc_id, n_chars AS modified, lang, sha256('v1' || lang || text || source || doc_id::VARCHAR) AS stem
   FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL AND doc_id % 5 <> 0),
 a AS (SELECT sid, modified, '/cache/' || stem || '.json' AS path, lang AS analysis, (doc_id % 40 * 2 + unnest(range(0, 3)))::VARCHAR AS keyframe_id FROM c)
 SELECT sid, keyframe_id, analysis, path FROM a QUALIFY row_number() OVER (PARTITION BY sid, keyframe_id ORDER BY modified DESC, path DESC) = 1""",

@@ -119,7 +119,7 @@ def test_batches_fall_back_to_single_requests_and_stop_at_a_failure(spark):
 
 
 def test_only_cache_files_named_by_their_request_count(spark):
-    stem = hashlib.sha256("v1\u001fm\u001f{}\u001fa,b".encode()).hexdigest()
+    stem = hashlib.sha256("v1m{}ab".encode()).hexdigest()
     file = lambda path, when, *answers: (1, path, when, "m", "{}", ["a", "b"], list(answers))
     rows = [file(f"/c/{stem}.json", 1, ("k1", "old"), ("k2", "x")), file(f"/d/{stem}.json", 2, ("k1", "new"), (None, "y")), file("/c/other.json", 3, ("k1", "wrong")), file(f"/c/{stem}.json.tmp", 4, ("k1", "part"))]
     df = spark.createDataFrame(rows, "sid long, path string, modified long, model string, metadata string, images array<string>, answers array<struct<keyframe_id:string,analysis:string>>")
