@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import nearest_rank, r6
 from ..operators import activity, binding, intervals
+from ..sources.documents import checkpointed
 from . import adapter as A
 from .adapter import sql
 
@@ -102,7 +103,7 @@ def merge_state_segments(spark, d) -> DataFrame:
 
 def visibility_classification(spark, d) -> DataFrame:
     s, a = A.speech(spark, d), A.active(spark, d)
-    bound = binding.bind(s, a, min_coverage=0.1, min_margin=0.01)
+    bound = checkpointed(binding.bind(s, a, min_coverage=0.1, min_margin=0.01), "bindings")  # four rows for a session, read several times
     cover = intervals.merge_intervals(a, ["sid", "face_id"]).select("sid", "face_id", "start_ms", "end_ms")
     return intervals.classify_visibility(_spoken(spark, d), bound, cover, A.cuts(spark, d), occlusion_max_ms=1_800_000, tolerance_ms=240_000)
 
