@@ -23,17 +23,66 @@ def units(analyses: DataFrame) -> DataFrame:
     return analyses.withColumns({"grams": bigrams(F.col("description")), "keys": F.array_distinct(F.transform("objects", object_key)), "faces": F.array_distinct("faces")})
 
 
-def merge_adjacent(analyses: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """``group``: neighbouring units in time of one category and at least ``threshold`` similar share it."""
-    w = W.partitionBy("sid").orderBy("start_ms", "keyframe_id")
+#: Rows of a slice, and the most slices of a session.
+SLICE_ROWS, SLICES = 1000, 512
+
+
+def sliced(rows: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``rows`` dealt to slices of time of their session, so that no task holds a whole one.
+
+    ``rows``: sid, start_ms, keyframe_id and others. Adds ``__p``, the slice
+    (in order of time), and ``__ghost``: each slice but the first begins with a
+    copy of the last row before it, which is true there. A window over sid and
+    ``__p`` finds the row before in it; ghosts are left out afterwards.
+
+    The limits are approximate quantiles, so they are written once; any limits
+    give the same result. There is at most one for each ``slice_rows`` rows,
+    which is why they are broadcast.
+    """
+    from ..sources.documents import checkpointed
+
+    light = rows.select("sid", "start_ms", "keyframe_id")
+    shares = [k / SLICES for k in range(1, SLICES)]
+    sizes = light.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("start_ms", shares).alias("q")).where(F.col("n") > slice_rows)
+    k = F.least(F.lit(SLICES), F.ceil(F.col("n") / slice_rows)).cast("int")
+    limits = F.array_distinct(F.transform(F.sequence(F.lit(1), k - 1), lambda j: F.get("q", (j * SLICES / k).cast("int") - 1)))
+    bounds = F.broadcast(checkpointed(sizes.select("sid", limits.alias("__q")), "slices"))
+    place = F.size(F.filter("__q", lambda q: q < F.col("start_ms")))
+    last = light.join(bounds, "sid").groupBy("sid", place.alias("__p")).agg(F.max(F.struct("start_ms", "keyframe_id")).alias("__last"))
+    ends = last.withColumn("__next", F.lead("__p").over(W.partitionBy("sid").orderBy("__p"))).where("__next IS NOT NULL")
+    own = rows.join(bounds, "sid", "left").withColumn("__p", F.when(F.col("__q").isNull(), F.lit(0)).otherwise(place)).drop("__q")
+    met = own.join(F.broadcast(ends), ["sid", "__p"], "left")
+    ghost = F.struct("start_ms", "keyframe_id") == F.col("__last")
+    here, there = F.struct(F.col("__p").alias("p"), F.lit(False).alias("ghost")), F.struct(F.col("__next").alias("p"), F.lit(True).alias("ghost"))
+    dealt = met.withColumn("__x", F.explode(F.when(ghost, F.array(here, there)).otherwise(F.array(here))))
+    return dealt.select(*rows.columns, F.col("__x.p").alias("__p"), F.col("__x.ghost").alias("__ghost")).repartition("sid", "__p")
+
+
+def merge_adjacent(analyses: DataFrame, threshold: float = 0.2, columns: list[str] | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``group``: neighbouring units in time of one category and at least ``threshold`` similar share it.
+
+    Returns ``columns`` of the units (all by default), similarity and group.
+    Rows are compared within slices of a session; they are written once, with
+    the number of groups that begin in their slice, to which the groups of the
+    slices before are added.
+    """
+    from ..sources.documents import checkpointed
+
+    w = W.partitionBy("sid", "__p").orderBy("start_ms", "keyframe_id")
     prev = lambda c: F.lag(c).over(w)
-    u = units(analyses)
+    u = units(sliced(analyses, slice_rows))
+    columns = columns or [c for c in u.columns if not c.startswith("__")]
     u = u.withColumns({f"p_{c}": prev(c) for c in ("category", "grams", "keys", "faces")})
     pair = lambda c: (F.col(f"p_{c}"), F.col(c))
     u = u.withColumn("similarity", F.coalesce(unit_similarity(pair("category"), pair("grams"), pair("keys"), pair("faces")), F.lit(0.0)))
-    fresh = F.when((F.col("p_category") == F.col("category")) & (F.col("similarity") >= threshold), 0).otherwise(1)
-    u = u.withColumn("__f", fresh).withColumn("group", F.sum("__f").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return u.drop("__f", "p_category", "p_grams", "p_keys", "p_faces")
+    fresh = F.when(F.col("__ghost") | ((F.col("p_category") == F.col("category")) & (F.col("similarity") >= threshold)), 0).otherwise(1)
+    u = u.withColumn("__f", fresh).withColumn("__g", F.sum("__f").over(w.rowsBetween(W.unboundedPreceding, 0))).where("NOT __ghost")
+    marked = checkpointed(u.select(*columns, "similarity", "__p", "__g"), "units")
+    counts = marked.groupBy("sid", "__p").agg(F.max("__g").alias("n"))
+    before = F.sum("n").over(W.partitionBy("sid").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)).alias("__before")
+    offsets = F.broadcast(counts.select("sid", "__p", before).where("__before IS NOT NULL"))
+    placed = marked.join(offsets, ["sid", "__p"], "left")
+    return placed.select(*columns, "similarity", (F.col("__g") + F.coalesce("__before", F.lit(0))).alias("group"))
 
 
 def bridge_views(groups: DataFrame, max_ms: int = 30_000) -> DataFrame:

@@ -88,13 +88,14 @@ def live_regions(spark, d) -> DataFrame:
 
 
 def bigram_jaccard(spark, d) -> DataFrame:
-    u = graph.units(A.analyses(spark, d))
-    w = W.partitionBy("sid").orderBy("start_ms", "keyframe_id")
-    return u.select("sid", "keyframe_id", F.size("grams").alias("n_grams"), r6(F.coalesce(X.jaccard(F.lag("grams").over(w), F.col("grams")), F.lit(0.0))).alias("similarity"))
+    u = graph.units(graph.sliced(A.analyses(spark, d)))
+    w = W.partitionBy("sid", "__p").orderBy("start_ms", "keyframe_id")
+    found = u.select("sid", "keyframe_id", F.size("grams").alias("n_grams"), r6(F.coalesce(X.jaccard(F.lag("grams").over(w), F.col("grams")), F.lit(0.0))).alias("similarity"), "__ghost")
+    return found.where("NOT __ghost").drop("__ghost")
 
 
-def _groups(spark, d) -> DataFrame:
-    return graph.merge_adjacent(A.analyses(spark, d), 0.3)
+def _groups(spark, d, *columns: str) -> DataFrame:
+    return graph.merge_adjacent(A.analyses(spark, d), 0.3, ["sid", "keyframe_id", "start_ms", "end_ms", *columns])
 
 
 def adjacent_scene_merge(spark, d) -> DataFrame:
@@ -102,22 +103,22 @@ def adjacent_scene_merge(spark, d) -> DataFrame:
 
 
 def view_bridging(spark, d) -> DataFrame:
-    rows = _groups(spark, d).select("sid", "keyframe_id", "group", "category", (F.col("keyframe_id") % 3).alias("view"), "start_ms", "end_ms")
+    rows = _groups(spark, d, "category").select("sid", "keyframe_id", "group", "category", (F.col("keyframe_id") % 3).alias("view"), "start_ms", "end_ms")
     return graph.bridge_views(rows, 60_000)
 
 
 def graph_nodes(spark, d) -> DataFrame:
-    nodes = graph.scene_nodes(_groups(spark, d))
+    nodes = graph.scene_nodes(_groups(spark, d, "description", "faces"))
     spell = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return nodes.select("sid", "scene_id", "label", "start_ms", "end_ms", spell("keyframes"), spell("faces"))
 
 
 def present_in(spark, d) -> DataFrame:
-    return graph.present_in(_groups(spark, d))
+    return graph.present_in(_groups(spark, d, "faces"))
 
 
 def graph_objects(spark, d) -> DataFrame:
-    return graph.object_nodes(_groups(spark, d))
+    return graph.object_nodes(_groups(spark, d, "keys"))
 
 
 def followed_by(spark, d) -> DataFrame:
