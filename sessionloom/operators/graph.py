@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import r6
 from ..functions.text import bigrams, jaccard_distinct, object_key
 from .intervals import overlap_join
+from .live import _in_order
 
 
 def unit_similarity(category: tuple[Column, Column], text: tuple[Column, Column], objects: tuple[Column, Column], faces: tuple[Column, Column]) -> Column:
@@ -90,26 +93,47 @@ def bridge_views(groups: DataFrame, max_ms: int = 30_000) -> DataFrame:
 
     ``groups``: sid, keyframe_id, group, category, view, start_ms, end_ms.
     Returns sid, keyframe_id, group (from 1). The scan starts again at the left
-    after each merge, so a session is one task.
+    after each merge. No merge crosses two categories or two long groups side
+    by side (a merge needs one category and a short group in the middle, and
+    groups only grow), so a session falls into pieces that are scanned alone.
+    A task streams one row for each group and holds those of one piece.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_ms", "keyframe_id"], kind="stable")
-        held = [list(g.itertuples(index=False)) for _, g in pdf.groupby("group", sort=True)]
-        i = 0
-        while i + 2 < len(held):
-            left, mid, right = held[i : i + 3]
-            one = left[0].category == mid[0].category == right[0].category
-            lasting = sum(x.end_ms - x.start_ms for x in mid)
-            if one and len(mid) <= 2 and lasting <= max_ms and {x.view for x in left} & {x.view for x in right}:
-                held[i : i + 3] = [left + mid + right]
-                i = max(0, i - 2)  # further left nothing has changed
-            else:
-                i += 1
-        rows = [(x.sid, x.keyframe_id, n + 1) for n, g in enumerate(held) for x in g]
-        return pd.DataFrame(rows, columns=["sid", "keyframe_id", "group"])
-
-    return groups.groupBy("sid").applyInPandas(run, "sid string, keyframe_id long, group long")
+    at = F.struct("start_ms", "keyframe_id")
+    view = F.coalesce(F.col("view").cast("string"), F.lit("\0"))
+    one = groups.groupBy("sid", "group").agg(
+        F.min_by("category", at).alias("category"), F.count(F.lit(1)).alias("n"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"), F.collect_set(view).alias("views")
+    )
+    w = W.partitionBy("sid").orderBy("group")
+    one = one.withColumn("short", (F.col("n") <= 2) & (F.col("ms") <= max_ms))
+    joins = F.lag("group").over(w).isNotNull() & F.lag("category").over(w).eqNullSafe(F.col("category")) & (F.col("short") | F.lag("short").over(w))
+    one = one.withColumn("__f", F.when(joins, 0).otherwise(1)).withColumn("piece", F.sum("__f").over(w.rowsBetween(W.unboundedPreceding, 0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, set, list]] = []  # n, ms, views and groups
+        sid = None
+        for batch in batches:
+            done: list[tuple] = []
+            for row in zip(*[batch.column(c).to_pylist() for c in ("sid", "group", "n", "ms", "views", "__first")]):
+                if row[-1]:
+                    done += [(sid, g, x[3][0]) for x in held for g in x[3]]
+                    held, sid = [], row[0]
+                held.append((row[2], row[3], set(row[4]), [row[1]]))
+                while len(held) >= 3 and held[-2][0] <= 2 and held[-2][1] <= max_ms and held[-3][2] & held[-1][2]:
+                    parts = held[-3:]
+                    held[-3:] = [(sum(x[0] for x in parts), sum(x[1] for x in parts), set().union(*[x[2] for x in parts]), [g for x in parts for g in x[3]])]
+            yield out(done)
+        yield out([(sid, g, x[3][0]) for x in held for g in x[3]])
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["__s", "__g", "head"])
+
+    light = one.select(F.col("sid").cast("string").alias("sid"), "piece", F.col("group").cast("bigint").alias("group"), "n", "ms", "views")
+    heads = _in_order(light, ["sid", "piece"], ["group"]).mapInArrow(run, "__s string, __g long, head long")
+    number = F.sum(F.when(F.col("head") == F.col("__g"), 1).otherwise(0)).over(W.partitionBy("__s").orderBy("__g").rowsBetween(W.unboundedPreceding, 0))
+    found = heads.select("__s", "__g", number.alias("__n"))
+    rows = groups.select(F.col("sid").cast("string").alias("sid"), F.col("keyframe_id").cast("bigint").alias("keyframe_id"), F.col("group").cast("bigint").alias("group"))
+    return rows.join(found, F.col("sid").eqNullSafe(F.col("__s")) & (F.col("group") == F.col("__g"))).select("sid", "keyframe_id", F.col("__n").alias("group"))
 
 
 def scene_nodes(grouped: DataFrame) -> DataFrame:

@@ -48,3 +48,30 @@ def test_merge_adjacent_in_slices(spark, slice_rows):
             group += 0 if same and s >= 0.5 else 1
             want[u.keyframe_id], before = (group, round(s, 9)), u
     assert got == want
+
+
+def test_bridge_views_in_pieces(spark):
+    r, rows = random.Random(9), []
+    for sid in "abc":
+        k = 0
+        for group in range(1, 120):
+            category, long = r.choice(["x", "x", "x", None]), r.random() < 0.4
+            for _ in range(r.randint(3, 4) if long else r.randint(1, 2)):
+                rows.append((sid, k, group, category, r.choice("uvw"), k * 10, k * 10 + r.choice([5, 40])))
+                k += 1
+    df = spark.createDataFrame(rows, "sid string, keyframe_id long, group long, category string, view string, start_ms long, end_ms long")
+    got = {(x.sid, x.keyframe_id): x.group for x in graph.bridge_views(df, 60).collect()}
+    want = {}
+    for sid in "abc":
+        held = [[x for x in rows if x[0] == sid and x[2] == g] for g in range(1, 120)]
+        i = 0
+        while i + 2 < len(held):
+            left, mid, right = held[i : i + 3]
+            if left[0][3] == mid[0][3] == right[0][3] and len(mid) <= 2 and sum(x[6] - x[5] for x in mid) <= 60 and {x[4] for x in left} & {x[4] for x in right}:
+                held[i : i + 3] = [left + mid + right]
+                i = max(0, i - 2)
+            else:
+                i += 1
+        want |= {(sid, x[1]): n + 1 for n, g in enumerate(held) for x in g}
+    assert len(set(want.values())) < 119
+    assert got == want
