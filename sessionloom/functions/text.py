@@ -14,6 +14,9 @@ SYMMETRIC = ("co_visible_with", "visually_close_to", "overlaps_in_image", "sitti
 #: White space as a character class: what Unicode and the ASCII separators make one.
 SPACES = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
+#: The same, one by one.
+SPACE_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 
 def let(value: Column, body) -> Column:
     """``body`` over a value that is computed once for a row."""
@@ -22,13 +25,12 @@ def let(value: Column, body) -> Column:
 
 def strip(s: Column) -> Column:
     """A string without white space at its ends."""
-    return F.regexp_replace(s, rf"\A{SPACES}|{SPACES}\z", "")
+    return F.btrim(s, F.lit(SPACE_CHARS))
 
 
 def joined_words(s: Column, glue: str) -> Column:
     """The words of a string with ``glue`` between them and none at the ends."""
-    inner = F.regexp_replace(s, SPACES, " ")
-    return F.replace(F.btrim(inner, F.lit(" ")), F.lit(" "), F.lit(glue))
+    return F.regexp_replace(strip(s), SPACES, glue)
 
 
 def letters(s: Column) -> Column:
@@ -63,13 +65,13 @@ def object_key(s: Column) -> Column:
 
 
 def evaluation_label(s: Column) -> Column:
-    return joined_words(F.lower(F.translate(s, "_", " ")), " ")
+    return joined_words(F.lower(F.replace(s, F.lit("_"), F.lit(" "))), " ")
 
 
 def canonical_label(s: Column) -> Column:
-    key = joined_words(F.lower(F.translate(s, "-", " ")), "_")
+    key = joined_words(F.lower(F.replace(s, F.lit("-"), F.lit(" "))), "_")
     named = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    return F.coalesce(F.element_at(named, key), key)
+    return let(key, lambda k: F.coalesce(F.element_at(named, k), k))
 
 
 def join_texts(parts: Column) -> Column:

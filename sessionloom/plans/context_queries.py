@@ -122,8 +122,8 @@ def environment_repair(spark, d) -> DataFrame:
 
 
 def canonical_objects(spark, d) -> DataFrame:
-    rows = semantics.scene_objects(semantics.repair_environment(_semantics(spark, d)))
-    return rows.select("doc_id", F.explode("objects").alias("o")).groupBy("doc_id", F.col("o.label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    rows = semantics.object_labels(semantics.repair_environment(_semantics(spark, d)), ["doc_id"])
+    return rows.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _interactions(df: DataFrame) -> DataFrame:

@@ -75,3 +75,25 @@ def test_bridge_views_in_pieces(spark):
         want |= {(sid, x[1]): n + 1 for n, g in enumerate(held) for x in g}
     assert len(set(want.values())) < 119
     assert got == want
+
+
+def test_object_labels_are_those_of_scene_objects(spark):
+    """Rows and arrays give the same labels; no step asks for the size of an array that it would have to compute."""
+    from pyspark.sql import functions as F
+
+    from sessionloom.functions import text as X
+    from sessionloom.operators import semantics
+
+    labels = [" Mic", "subtitle", "Potted-Plant　", "LOGO", "two\t words", "text ", "", " ", " -x-\x85", "a_b", "Σ-ΑΣ", None]
+    rows = [(k, "x", "seen", c, [(n, 0.5) for n in labels[: len(labels) - k]]) for k, c in enumerate([0.1, 0.5, 0.2])] + [(9, "x", "none", 0.5, []), (10, "x", None, 0.5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, category string, description string, confidence double, objects array<struct<label:string,confidence:double>>")
+    repaired = semantics.repair_environment(df)
+    whole = semantics.scene_objects(repaired).select("doc_id", F.explode("objects").alias("o")).select("doc_id", "o.label")
+    found = semantics.object_labels(repaired, ["doc_id"])
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(map(tuple, whole.collect()))
+    assert (0, "logo") in got and (1, "logo") not in got and (1, "two_words") in got and (1, "plant") in got
+    assert "size(objects" not in found._jdf.queryExecution().optimizedPlan().toString()
+    spaces = spark.createDataFrame([(f"{c}a{c}{c}b{c}",) for c in [*X.SPACE_CHARS, "​", "-"]], "s string")
+    old = F.regexp_replace("s", rf"\A{X.SPACES}|{X.SPACES}\z", "")
+    assert spaces.where(~X.strip(F.col("s")).eqNullSafe(old)).count() == 0
