@@ -53,12 +53,26 @@ def _violation(df: DataFrame, rule: str, entity: Column) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), entity.cast("string").alias("entity"))
 
 
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` by key in a fixed number of partitions, which adaptive execution doesn't join to tasks of many rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def not_unique(df: DataFrame, keys: list[str], rule: str) -> DataFrame:
-    return _violation(df.groupBy(*keys).count().where("count > 1"), rule, F.concat_ws("/", *keys))
+    """Keys of more than one row.
+
+    Most keys are held once, so combining before the shuffle would fill a task's
+    memory for nothing; a frequent key is one group and takes no more memory
+    than another, but its rows (keys alone) pass through one task.
+    """
+    return _violation(_dealt(df.select(*keys), keys).groupBy(*keys).count().where("count > 1"), rule, F.concat_ws("/", *keys))
 
 
 def dangling(df: DataFrame, parent: DataFrame, keys: list[str], entity: str, rule: str) -> DataFrame:
-    return _violation(df.join(parent.select(*keys).distinct(), keys, "left_anti"), rule, F.col(entity))
+    """Rows without a parent. The rows of one parent are sorted in one task."""
+    rows = _dealt(df.select(*dict.fromkeys([*keys, entity])), keys)
+    known = _dealt(parent.select(*keys), keys).distinct().hint("merge")
+    return _violation(rows.join(known, keys, "left_anti"), rule, F.col(entity))
 
 
 def out_of_range(df: DataFrame, bad: Column, entity: str, rule: str) -> DataFrame:

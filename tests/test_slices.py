@@ -97,3 +97,17 @@ def test_object_labels_are_those_of_scene_objects(spark):
     spaces = spark.createDataFrame([(f"{c}a{c}{c}b{c}",) for c in [*X.SPACE_CHARS, "​", "-"]], "s string")
     old = F.regexp_replace("s", rf"\A{X.SPACES}|{X.SPACES}\z", "")
     assert spaces.where(~X.strip(F.col("s")).eqNullSafe(old)).count() == 0
+
+
+def test_uniqueness_and_parents_keep_tasks_small(spark):
+    """No combining before the shuffle, no broadcast of an uncounted parent; the rows are the same."""
+    from sessionloom.operators import evaluation
+
+    rows = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 1), (None, 1), (None, 1), (3, 5)], "k long, n long")
+    twice = evaluation.not_unique(rows, ["k", "n"], "twice")
+    lost = evaluation.dangling(rows, spark.createDataFrame([(1,), (1,), (3,)], "k long"), ["k"], "n", "lost")
+    assert sorted(r.entity for r in twice.collect()) == ["1", "1/2"]
+    assert sorted(r.entity for r in lost.collect()) == ["1", "1", "1"]
+    plan = twice._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan[plan.rindex("Exchange") :]
+    assert "Broadcast" not in lost._jdf.queryExecution().executedPlan().toString()
